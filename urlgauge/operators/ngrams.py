@@ -36,7 +36,7 @@ def gram_counts(df: DataFrame, key: str, text: str, low: int = 2, high: int = 3)
     return starts.select(key, F.explode(runs).alias("_r")).select(key, "_r.*")
 
 
-def document_frequency(df: DataFrame, key: str, text: str, low: int = 2, high: int = 3, min_df: int = 2) -> DataFrame:
+def document_frequency(df: DataFrame, text: str, low: int = 2, high: int = 3, min_df: int = 2) -> DataFrame:
     """``gram, df`` for grams found in at least ``min_df`` texts."""
     grams = df.select(F.explode(F.array_distinct(char_ngrams(text, low, high))).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
