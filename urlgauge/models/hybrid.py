@@ -61,16 +61,20 @@ def score_urls(df: DataFrame, model: PipelineModel, threshold: float | None = No
     """Add ``pred`` and ``proba`` to a table with a ``url`` column.
 
     A given ``threshold`` decides on the probability instead of the model's own
-    rule.  URLs that are NULL keep NULL scores.
+    rule.  A NULL URL gets NULL scores; it goes through the model as empty text,
+    since a second branch for it would run all that lies upstream twice.
     """
-    usable = df.filter("url is not null")
-    scored = with_prediction(with_url_features(usable), model).drop(*FEATURES)
-    if threshold is not None:
-        scored = scored.withColumn("pred", decide(F.col("proba"), threshold))
-    missing = df.filter("url is null")
-    return scored.unionByName(
-        missing.withColumns({"pred": F.lit(None).cast("int"), "proba": F.lit(None).cast("double")})
-    )
+    filled = df.withColumns({"_given": F.col("url"), "url": F.coalesce("url", F.lit(""))})
+    scored = with_prediction(with_url_features(filled), model)
+    pred = F.col("pred") if threshold is None else decide(F.col("proba"), threshold)
+    given = F.col("_given")
+    return scored.withColumns(
+        {
+            "url": given,
+            "pred": F.when(given.isNotNull(), pred),
+            "proba": F.when(given.isNotNull(), F.col("proba")),
+        }
+    ).select(*df.columns, "pred", "proba")
 
 
 def attack_hybrid(

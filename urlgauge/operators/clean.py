@@ -36,6 +36,15 @@ def feed_urls(raw: DataFrame, source: str = FEED_SOURCE, order: str = "ordinal")
     )
 
 
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row with the size of each table, from one aggregate over all of them."""
+    named = [table.select(F.lit(name).alias("name")) for name, table in tables.items()]
+    together = named[0]
+    for table in named[1:]:
+        together = together.unionByName(table)
+    return together.agg(*[F.count_if(F.col("name") == name).alias(name) for name in tables])
+
+
 def audit_table(counts: DataFrame, stages: list[tuple[str, str, str]]) -> DataFrame:
     """One-row counts -> ``stage, rows_before, rows_after, removed`` rows."""
     rows = F.explode(

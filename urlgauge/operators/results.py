@@ -151,22 +151,15 @@ def comparison(summary: DataFrame) -> DataFrame:
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
-def metrics_struct(*extra: Column) -> Column:
-    """A metrics row as the struct stored in a metrics file."""
-    return F.struct(*extra, *METRICS, "confusion_matrix")
-
-
 def single_payload(metrics: DataFrame, meta: Column) -> DataFrame:
     """``payload``: ``{meta, metrics}`` per row."""
-    body = F.struct(meta.alias("meta"), metrics_struct().alias("metrics"))
+    body = F.struct(meta.alias("meta"), F.struct(*METRICS, "confusion_matrix").alias("metrics"))
     return metrics.select(F.to_json(body, _KEEP_NULLS).alias("payload"))
 
 
-def several_payload(metrics: DataFrame, meta: Column) -> DataFrame:
-    """``payload``: ``{meta, results}`` of a table with one row per ``model``.
-
-    ``meta`` may use aggregate functions over these rows.
-    """
-    results = F.array_sort(F.collect_list(metrics_struct(F.col("model"))))
-    body = F.struct(meta.alias("meta"), results.alias("results"))
-    return metrics.agg(F.to_json(body, _KEEP_NULLS).alias("payload"))
+def several_payload(metrics: DataFrame, meta: Column, *extra: Column) -> DataFrame:
+    """``payload``: ``{meta, results}`` of a table with one row per ``model``."""
+    entry = F.struct("model", *METRICS, "confusion_matrix", *extra)
+    by_name = lambda a, b: F.when(a["model"] < b["model"], -1).when(a["model"] > b["model"], 1).otherwise(0)
+    results = metrics.agg(F.array_sort(F.collect_list(entry), by_name).alias("results"))
+    return results.select(F.to_json(F.struct(meta.alias("meta"), "results"), _KEEP_NULLS).alias("payload"))
