@@ -70,13 +70,14 @@ FROM b LEFT JOIN v ON x >= low AND (x < high OR (bin = 49 AND x <= high)) GROUP
 def grams(source: str, key: str, text: str) -> str:
     """``key, pos, gram``, twos before threes."""
     folded = f"regexp_replace(lower({text}), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]{{2,}}', ' ', 'g')"
+    chars = f"SELECT {key}, regexp_extract_all({folded}, '(?s).') AS c FROM ({source})"
     return f"""
 SELECT {key}, CAST(pos AS INTEGER) AS pos, gram FROM (
-  SELECT {key}, i - 1 AS pos, substr(t, i, 2) AS gram
-  FROM (SELECT {key}, {folded} AS t FROM ({source})), unnest(range(1, length(t))) AS u(i)
+  SELECT {key}, i - 1 AS pos, c[i] || c[i + 1] AS gram
+  FROM ({chars}), unnest(range(1, len(c))) AS u(i)
   UNION ALL
-  SELECT {key}, greatest(length(t) - 1, 0) + i - 1, substr(t, i, 3)
-  FROM (SELECT {key}, {folded} AS t FROM ({source})), unnest(range(1, length(t) - 1)) AS u(i))"""
+  SELECT {key}, greatest(len(c) - 1, 0) + i - 1, c[i] || c[i + 1] || c[i + 2]
+  FROM ({chars}), unnest(range(1, len(c) - 1)) AS u(i))"""
 
 
 def document_frequency(source: str, key: str, text: str) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +58,7 @@ def count_digits(text: Column) -> Column:
 
 def count_letters(text: Column) -> Column:
     """ASCII letters."""
-    return F.length(text) - F.length(F.translate(text, string.ascii_letters, ""))
+    return F.length(text) - F.length(F.regexp_replace(text, "[A-Za-z]+", ""))
 
 
 def feature_columns(url: str = "url", netloc: str = "netloc", path: str = "path") -> dict[str, Column]:

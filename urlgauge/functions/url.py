@@ -23,9 +23,7 @@ UNSAFE_HOST_CHARS = (
 
 INVALID_HOST = "invalid"
 
-_AUTHORITY = r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
-_PATH = r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
-
+_REST = 2**31 - 1  # "to the end" for substring
 
 def _ipv6_pattern() -> str:
     """Regex for an IPv6 literal, built from the group-counting rule."""
@@ -50,15 +48,33 @@ def _ipv6_pattern() -> str:
 _BRACKETED_HOST = rf"(?s)^(?:{_ipv6_pattern()}|v[a-fA-F0-9]+\..+)\z"
 
 
-def with_scheme(url: Column) -> Column:
-    """Prefix ``http://`` unless the URL already starts (case-sensitively) with a web scheme."""
-    has_scheme = url.startswith("http://") | url.startswith("https://")
-    return F.when(has_scheme, url).otherwise(F.concat(F.lit("http://"), url))
-
-
 def drop_line_chars(url: Column) -> Column:
     """Tabs and line ends are ignored anywhere in a URL."""
-    return F.translate(url, "\t\r\n", "")
+    for char in "\t\r\n":
+        url = F.replace(url, F.lit(char), F.lit(""))
+    return url
+
+
+def scheme(url: Column) -> Column:
+    """``https`` or ``http``; a URL without a (lower-case) web scheme reads as ``http``."""
+    return F.when(url.startswith("https://"), "https").otherwise("http")
+
+
+def after_scheme(url: Column) -> Column:
+    """What follows ``://``, or the whole text of a URL without a web scheme."""
+    rest = (
+        F.when(url.startswith("http://"), F.substring(url, 8, _REST))
+        .when(url.startswith("https://"), F.substring(url, 9, _REST))
+        .otherwise(url)
+    )
+    return drop_line_chars(rest)
+
+
+def before(text: Column, *marks: str) -> Column:
+    """``text`` up to the first of the marks; a byte search, cheaper than a regex."""
+    for mark in marks:
+        text = F.substring_index(text, mark, 1)
+    return text
 
 
 def malformed_authority(netloc: Column) -> Column:
@@ -79,51 +95,60 @@ def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
     per row.  A malformed URL reads as host ``invalid`` with an empty path.
     """
     return (
-        df.withColumn("_abs", drop_line_chars(with_scheme(F.col(url))))
-        .withColumns(
-            {
-                "_host": F.regexp_extract("_abs", _AUTHORITY, 1),
-                "_path": F.regexp_extract("_abs", _PATH, 1),
-            }
-        )
+        df.withColumn("_rest", after_scheme(F.col(url)))
+        .withColumns({"_host": before(F.col("_rest"), "/", "?", "#"), "_front": before(F.col("_rest"), "?", "#")})
         .withColumn("_bad", malformed_authority(F.col("_host")))
         .withColumns(
             {
                 "netloc": F.when(F.col("_bad"), INVALID_HOST).otherwise(F.lower("_host")),
-                "path": F.when(F.col("_bad"), "").otherwise(F.lower("_path")),
+                "path": F.when(F.col("_bad"), "").otherwise(F.lower(_tail("_front", "_host"))),
             }
         )
-        .drop("_abs", "_host", "_path", "_bad")
+        .drop("_rest", "_host", "_front", "_bad")
     )
 
 
+def _tail(text: str, head: str) -> Column:
+    """What follows the prefix ``head`` of ``text``."""
+    return F.substring(F.col(text), F.length(head) + 1, F.lit(_REST))
+
+
 def with_split_url(df: DataFrame, url: str, into: str) -> DataFrame:
     """Add ``into``: STRUCT<scheme, netloc, path, query, fragment> in original case.
 
     NULL where the URL is malformed.
     """
-    body = F.col("_abs")
-    no_fragment = F.substring_index(body, "#", 1)
     return (
-        df.withColumn("_abs", drop_line_chars(with_scheme(F.col(url))))
-        .withColumn("_host", F.regexp_extract("_abs", _AUTHORITY, 1))
+        df.withColumn("_rest", after_scheme(F.col(url)))
+        .withColumns(
+            {
+                "_host": before(F.col("_rest"), "/", "?", "#"),
+                "_front": before(F.col("_rest"), "?", "#"),
+                "_main": before(F.col("_rest"), "#"),
+            }
+        )
         .withColumn(
             into,
             F.when(
-                ~malformed_authority(F.col("_host")) & body.isNotNull(),
+                F.col("_rest").isNotNull() & ~malformed_authority(F.col("_host")),
                 F.struct(
-                    F.substring_index(body, "://", 1).alias("scheme"),
+                    scheme(F.col(url)).alias("scheme"),
                     F.col("_host").alias("netloc"),
-                    F.regexp_extract(body, _PATH, 1).alias("path"),
-                    F.regexp_extract(no_fragment, r"(?s)\?(.*)", 1).alias("query"),
-                    F.regexp_extract(body, r"(?s)#(.*)", 1).alias("fragment"),
+                    _tail("_front", "_host").alias("path"),
+                    _after_mark("_main", "_front").alias("query"),
+                    _after_mark("_rest", "_main").alias("fragment"),
                 ),
             ),
         )
-        .drop("_abs", "_host")
+        .drop("_rest", "_host", "_front", "_main")
     )
 
 
+def _after_mark(text: str, head: str) -> Column:
+    """What follows the prefix ``head`` of ``text`` and one mark."""
+    return F.substring(F.col(text), F.length(head) + 2, F.lit(_REST))
+
+
 def exploration_domain(url: Column) -> Column:
     """Host as read by the data-exploration report.
 

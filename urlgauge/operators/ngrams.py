@@ -10,30 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlgauge.functions.text import char_ngrams
+from urlgauge.session import broadcast_if_small, materialize
 
 
 def gram_counts(df: DataFrame, key: str, text: str, low: int = 2, high: int = 3) -> DataFrame:
     """``<key>, gram, tf``: how often each gram occurs in each text.
 
-    Sorts a row's grams and measures the runs, all inside the row: counting needs
-    no shuffle, and a long text costs n log n.  The steps are separate
-    projections, so each array is built once.
+    ``key`` identifies texts.  The short rows are shuffled before they grow a
+    hundredfold: once texts are spread by key, counting - and any later window by
+    key - stays in place.  The number of partitions is fixed, because adaptive
+    merging would judge them by their size before the growth.
     """
-    sorted_grams = df.select(key, F.array_sort(char_ngrams(text, low, high)).alias("_g"))
-    index = F.sequence(F.lit(0), F.size("_g") - 1)
-    starts = sorted_grams.filter(F.size("_g") > 0).select(
-        key,
-        "_g",
-        F.filter(index, lambda i: (i == 0) | (F.get("_g", i) != F.get("_g", i - 1))).alias("_i"),
-    )
-    runs = F.transform(
-        F.col("_i"),
-        lambda i, k: F.struct(
-            F.get("_g", i).alias("gram"),
-            (F.coalesce(F.get("_i", k + 1), F.size("_g")) - i).cast("bigint").alias("tf"),
-        ),
-    )
-    return starts.select(key, F.explode(runs).alias("_r")).select(key, "_r.*")
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.select(key, text).repartition(partitions, key)
+    grams = spread.select(key, F.explode(char_ngrams(text, low, high)).alias("gram"))
+    return grams.groupBy(key, "gram").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(df: DataFrame, text: str, low: int = 2, high: int = 3, min_df: int = 2) -> DataFrame:
@@ -48,11 +39,16 @@ def idf(df: Column, documents: Column) -> Column:
 
 
 def tfidf_rows(df: DataFrame, key: str, text: str, low: int = 2, high: int = 3, min_df: int = 2) -> DataFrame:
-    """``<key>, gram, tf, df, tfidf``: L2-normalised weights, one row per text and gram."""
+    """``<key>, gram, tf, df, tfidf``: L2-normalised weights, one row per text and gram.
+
+    Document frequencies are counted and stored first, so that their size is
+    known; as a rule they can be broadcast, and then nothing but the texts moves.
+    """
     documents = F.lit(df.count())
+    frequency = materialize(document_frequency(df, text, low, high, min_df))
     counts = gram_counts(df, key, text, low, high)
-    frequency = counts.groupBy("gram").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
-    weighted = counts.join(frequency, "gram").withColumn("_w", F.col("tf") * idf(F.col("df"), documents))
+    matched = counts.join(broadcast_if_small(frequency, "gram"), "gram")
+    weighted = matched.withColumn("_w", F.col("tf") * idf(F.col("df"), documents))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return weighted.select(key, "gram", "tf", "df", (F.col("_w") / norm).alias("tfidf"))
 

@@ -120,16 +120,20 @@ def evaluate_models(
 ) -> DataFrame:
     """``model`` and its metrics on ``test``, one row per model (and group).
 
-    All models are scored in one table, so they share one pass of the metrics.
+    Every model adds its columns to the same rows, so the test table is read
+    once however many models there are.
     """
-    tables = [
-        with_prediction(test, model).select(F.lit(name).alias("model"), *by, "label", "pred", "proba")
-        for name, model in models.items()
-    ]
-    scored = tables[0]
-    for table in tables[1:]:
-        scored = scored.unionByName(table)
-    return classification_metrics(scored, score="proba", by=("model", *by))
+    scored = test
+    for i, model in enumerate(models.values()):
+        scored = with_prediction(scored, model, f"_pred_{i}", f"_proba_{i}")
+    results = F.array(
+        *[
+            F.struct(F.lit(name).alias("model"), F.col(f"_pred_{i}").alias("pred"), F.col(f"_proba_{i}").alias("proba"))
+            for i, name in enumerate(models)
+        ]
+    )
+    rows = scored.select(*by, "label", F.explode(results).alias("_r")).select(*by, "label", "_r.*")
+    return classification_metrics(rows, score="proba", by=("model", *by))
 
 
 def train_tabular(
