@@ -27,9 +27,19 @@ def gram_counts(df: DataFrame, key: str, text: str, low: int = 2, high: int = 3)
     return grams.groupBy(key, "gram").agg(F.count("*").alias("tf"))
 
 
-def document_frequency(df: DataFrame, text: str, low: int = 2, high: int = 3, min_df: int = 2) -> DataFrame:
-    """``gram, df`` for grams found in at least ``min_df`` texts."""
-    grams = df.select(F.explode(F.array_distinct(char_ngrams(text, low, high))).alias("gram"))
+def document_frequency(
+    df: DataFrame, text: str, low: int = 2, high: int = 3, min_df: int = 2, spread: int = 0
+) -> DataFrame:
+    """``gram, df`` for grams found in at least ``min_df`` texts.
+
+    Grams every text has are combined before the shuffle.  Input that comes in
+    very few row groups can be spread over ``spread`` tasks first; large tables
+    have tasks enough, and need no shuffle there.
+    """
+    texts = df.select(text)
+    if spread:
+        texts = texts.repartition(spread)
+    grams = texts.select(F.explode(F.array_distinct(char_ngrams(text, low, high))).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
 
 
