@@ -40,7 +40,7 @@ from urlgauge.sources.writers import (
     read_error_slice,
     write_csv,
     write_error_slices,
-    write_metrics_json,
+    write_payload,
     write_splits,
 )
 
@@ -260,14 +260,14 @@ def exact_sample_orders(spark, sf_dir):
 @query
 def full_split(spark, sf_dir):
     labelled = materialize(labelled_urls(urls_raw(spark, sf_dir), source="site"))
-    splits = make_splits(labelled, feed_urls(feed_raw(spark, sf_dir), source="feed"))
+    splits = make_splits(labelled, materialize(feed_urls(feed_raw(spark, sf_dir), source="feed")))
     return _marked(splits.train, splits.test)
 
 
 @query
 def full_split_audit(spark, sf_dir):
     labelled = materialize(labelled_urls(urls_raw(spark, sf_dir), source="site"))
-    return make_splits(labelled, feed_urls(feed_raw(spark, sf_dir), source="feed"), unique=True).audit
+    return make_splits(labelled, materialize(feed_urls(feed_raw(spark, sf_dir), source="feed")), unique=True).audit
 
 
 # --- exploration -----------------------------------------------------------
@@ -519,16 +519,12 @@ def results_markdown(spark, sf_dir):
 def metrics_json_files(spark, sf_dir):
     """Stored metrics files, one of the four missing, read back and summarised."""
     path = scratch(spark)
-    record = _rule_metrics(spark, sf_dir, 0.4).withColumn("meta", _meta(spark, sf_dir))
-    body = record.select("meta", F.struct(*metrics.METRICS, "confusion_matrix").alias("metrics"))
-    write_metrics_json(body, f"{path}/ngram_results.json")
+    single = results.single_payload(_rule_metrics(spark, sf_dir, 0.4), _meta(spark, sf_dir))
     several = results.several_payload(_rule_metrics(spark, sf_dir, 0.3), _meta(spark, sf_dir))
-    several.write.text(f"{path}/ml_results.json")
-    payloads = read_metrics(spark, path, skip_missing=True)
-    named = payloads.withColumn(
-        "source_file", F.when(F.col("payload").contains('"results"'), "ml_results.json").otherwise("ngram_results.json")
-    )
-    return rounded(results.comparison(results.summarize(named)), "accuracy", "f1", "roc_auc", "pr_auc")
+    write_payload(single, f"{path}/ngram_results.json")
+    write_payload(several, f"{path}/ml_results.json")
+    summary = results.summarize(read_metrics(spark, path, skip_missing=True))
+    return rounded(results.comparison(summary), "accuracy", "f1", "roc_auc", "pr_auc")
 
 
 # --- models: rows only, checked by our own tests ---------------------------

@@ -21,7 +21,7 @@ from urlgauge.operators.metrics import classification_metrics
 from urlgauge.operators.ngrams import tfidf_rows
 from urlgauge.operators.results import summarize
 from urlgauge.operators.robustness import success_rates
-from urlgauge.plans.pipeline import evaluate_models, train_tabular
+from urlgauge.plans.pipeline import evaluate_models, run_all, train_tabular
 from urlgauge.sources import registry
 
 
@@ -144,6 +144,28 @@ def test_several_models_in_one_pass(tables):
     assert "Exchange" not in plan and evaluated.count() == 2
 
 
+def test_full_run_on_files(spark, tmp_path):
+    rows = [
+        f"http://secure-{i % 11}.evil.tk/login?id={i}&x={i * 7},bad" if i % 3 == 0 else f"www.shop{i}.example/{i % 13},good"
+        for i in range(240)
+    ]
+    (tmp_path / "raw.csv").write_text("URL,Label\n" + "\n".join(rows + rows[:40]) + "\n")
+    (tmp_path / "feed.txt").write_text("\n".join(f"http://secure-9.evil.tk/login?id={i}&x=1" for i in range(900, 920)))
+    summary = run_all(
+        spark,
+        str(tmp_path / "raw.csv"),
+        str(tmp_path / "feed.txt"),
+        str(tmp_path / "run"),
+        {"forest": random_forest(numTrees=3)},
+        boosted_small_trees(maxIter=1),
+    )
+    rows = {r["model"]: r for r in summary.collect()}
+    assert set(rows) == {"forest", "CharTFIDF(2-3)+LogReg", "Hybrid(LGBM+BERT)"}
+    assert all(r["n_train"] == 192 and r["n_test"] == 68 and r["f1"] > 0.9 for r in rows.values())
+    assert any((tmp_path / "run" / "summary" / "summary_md").glob("part-*"))
+    assert registry.find_model(spark, str(tmp_path / "run" / "models" / "hybrid"))
+
+
 def test_batch_scoring_builds_the_model_in_the_worker(spark):
     def make():
         weight = 2.0

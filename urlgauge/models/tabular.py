@@ -8,6 +8,7 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Params
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,6 @@ def with_prediction(df: DataFrame, model: PipelineModel, pred: str = "pred", pro
     return scored.select(*df.columns, *columns)
 
 
-def learner_params(learner: Estimator) -> dict[str, str]:
+def learner_params(learner: Params) -> dict[str, str]:
     """All settings of a learner, for the metadata of its metrics."""
     return {param.name: str(value) for param, value in learner.extractParamMap().items()}

@@ -8,8 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ONE_TASK = 100_000  # values that may be ordered in a single task
-MAX_BUCKETS = 2_000
+ONE_TASK = 500_000  # values that may be ordered in a single task
+MAX_BUCKETS = 100_000
 
 
 def value_bounds(df: DataFrame, value: str, one_task: int = ONE_TASK) -> list[float]:
@@ -42,7 +42,7 @@ def with_running_totals(
     ``df`` holds one row per group and value and is read twice, so pass a stored
     table.  Each bucket of values is summed
     up on its own; what precedes a bucket comes from the per-bucket totals, of
-    which there are at most a few thousand per group.
+    which there are at most ``MAX_BUCKETS`` per group.
     """
     by = list(by)
     direction = (lambda name: F.col(name).desc()) if descending else (lambda name: F.col(name).asc())

@@ -10,11 +10,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.param import Params
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlgauge.contracts import require_columns, require_same_features
-from urlgauge.functions.features import url_features
+from urlgauge.functions.features import FEATURES, url_features
+from urlgauge.models.hybrid import TEST_ROWS, TEXT_SCORES, TRAIN_ROWS, fit_hybrid
 from urlgauge.models.tabular import (
     boosted_small_trees,
     boosted_trees,
@@ -23,14 +25,16 @@ from urlgauge.models.tabular import (
     random_forest,
     with_prediction,
 )
+from urlgauge.models.text import HIGH, LOW, MIN_DF, fit_text_model, with_text_scores
 from urlgauge.operators.clean import audit_table, feed_urls, labelled_urls, row_counts
 from urlgauge.operators.metrics import classification_metrics
 from urlgauge.operators.overlap import only_new, union_keep_first
-from urlgauge.operators.results import several_payload
-from urlgauge.operators.split import SEED, stratified_split
+from urlgauge.operators.results import require_rows, several_payload, single_payload, summarize, summary_order
+from urlgauge.operators.split import SEED, exact_sample, stratified_split
 from urlgauge.session import materialize
-from urlgauge.sources.readers import read_feed, read_labelled_csv
-from urlgauge.sources.writers import write_splits
+from urlgauge.sources.readers import read_feed, read_labelled_csv, read_metrics
+from urlgauge.sources.registry import save_run
+from urlgauge.sources.writers import write_payload, write_splits, write_summary
 
 
 @dataclass(frozen=True)
@@ -151,6 +155,80 @@ def train_tabular(
     return models, several_payload(rows, meta.scalar(), F.col("params"))
 
 
-def _params(learner: Estimator) -> Column:
+def train_text(train: DataFrame, test: DataFrame, **options) -> tuple[PipelineModel, DataFrame]:
+    """Fit the n-gram model; return it and a one-row ``payload`` to store."""
+    model = fit_text_model(train, **options)
+    scored = with_text_scores(test, model).withColumnsRenamed({"text_pred": "pred", "text_proba": "proba"})
+    vectorizer = F.struct(
+        F.array(F.lit(LOW), F.lit(HIGH)).alias("ngram_range"),
+        F.lit(MIN_DF).alias("min_df"),
+        F.lit(True).alias("lowercase"),
+    )
+    classifier = _params(model.stages[-1])
+    meta = run_meta(train, test, vectorizer=vectorizer, classifier=classifier)
+    return model, single_payload(classification_metrics(scored, score="proba"), meta.scalar())
+
+
+def train_hybrid(
+    train: DataFrame,
+    test: DataFrame,
+    text_model: PipelineModel,
+    learner: Estimator | None = None,
+    train_rows: int = TRAIN_ROWS,
+    test_rows: int = TEST_ROWS,
+    seed: int = SEED,
+) -> tuple[PipelineModel, DataFrame]:
+    """Fit the stacked model on samples; return it and a one-row ``payload``.
+
+    ``train`` and ``test`` are feature tables.
+    """
+    train = materialize(exact_sample(train, train_rows, seed=seed))
+    test = materialize(exact_sample(test, test_rows, seed=seed))
+    model = fit_hybrid(train, text_model, learner, rows=None, seed=seed)
+    metrics = classification_metrics(with_prediction(test, model), score="proba")
+    names = F.array(*[F.lit(name) for name in (*FEATURES, *TEXT_SCORES)])
+    sizes = {"n_train_sampled": F.count_if(F.col("side") == "train"), "n_test_sampled": F.count_if(F.col("side") == "test")}
+    meta = run_meta(
+        train,
+        test,
+        **sizes,
+        params=_params(model.stages[-1]),
+        feature_count=F.size(names),
+        feature_cols_head=F.slice(names, 1, 30),
+    )
+    return model, single_payload(metrics, meta.scalar())
+
+
+def run_all(
+    spark: SparkSession,
+    labelled_csv: str,
+    feed_text: str,
+    folder: str,
+    learners: Mapping[str, Estimator] | None = None,
+    stacker: Estimator | None = None,
+) -> DataFrame:
+    """Everything in order; returns the summary, also stored under ``folder``.
+
+    Splits, features, models and metrics land in sub-folders that later runs and
+    other tools can read on their own.
+    """
+    splits = prepare(spark, labelled_csv, feed_text, f"{folder}/splits")
+    train, test = feature_tables(splits.train, splits.test, f"{folder}/features")
+    inputs = ["url", "label", *FEATURES]
+    train, test = train.select(inputs), test.select(inputs)
+    _, tabular = train_tabular(train, test, learners)
+    text_model, text = train_text(train, test)
+    save_run(text_model, f"{folder}/models/text")
+    hybrid_model, hybrid = train_hybrid(train, test, text_model, stacker)
+    save_run(hybrid_model, f"{folder}/models/hybrid")
+    stored = {"ml_results.json": tabular, "ngram_results.json": text, "hybrid_results.json": hybrid}
+    for name, payload in stored.items():
+        write_payload(payload, f"{folder}/metrics/{name}")
+    summary = require_rows(summarize(read_metrics(spark, f"{folder}/metrics")))
+    write_summary(summary, f"{folder}/summary", summary_order())
+    return summary
+
+
+def _params(learner: Params) -> Column:
     pairs = [F.lit(text) for item in learner_params(learner).items() for text in item]
     return F.create_map(*pairs)

@@ -93,14 +93,15 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
 def read_metrics(
     spark: SparkSession, folder: str, names: Sequence[str] = METRICS_FILES, skip_missing: bool = True
 ) -> DataFrame:
-    """``source_file, payload``: each metrics file as one JSON text."""
-    paths = present_paths(spark, [f"{folder}/{name}" for name in names], skip_missing)
-    if not paths:
-        return spark.createDataFrame([], "source_file string, payload string")
-    return spark.read.text(paths, wholetext=True).select(
-        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"),
-        F.col("value").alias("payload"),
-    )
+    """``source_file, payload``: each metrics file (or folder of one) as JSON text."""
+    found = present_paths(spark, [f"{folder}/{name}" for name in names], skip_missing)
+    payloads = spark.createDataFrame([], "source_file string, payload string")
+    for path in found:
+        text = spark.read.text(path, wholetext=True).filter(F.trim("value") != "")
+        payloads = payloads.unionByName(
+            text.select(F.lit(path.rsplit("/", 1)[-1]).alias("source_file"), F.col("value").alias("payload"))
+        )
+    return payloads
 
 
 def preview(df: DataFrame, rows: int = 5) -> DataFrame:

@@ -30,9 +30,9 @@ def read_error_slice(spark, folder: str, error_type: str | None = None) -> DataF
     return df if error_type is None else df.filter(F.col("error_type") == error_type)
 
 
-def write_metrics_json(payload: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Rows of ``meta`` and ``metrics``/``results`` structs as JSON lines."""
-    payload.write.mode(mode).option("ignoreNullFields", False).json(path)
+def write_payload(payload: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Store a one-row ``payload`` of JSON text under the name of a metrics file."""
+    payload.select("payload").coalesce(1).write.mode(mode).text(path)
 
 
 def _cell(field: T.StructField) -> Column:
