@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from urlgauge.functions.text import char_ngrams_sql
 from urlgauge.operators.ngrams import class_weights, document_frequency, idf
 
-# N-gram sizes, document-frequency cut and iteration limit.
-LOW, HIGH, MIN_DF, MAX_ITER = 2, 3, 2, 2000
+# N-gram sizes, document-frequency cut, iteration limit, tolerance.
+LOW, HIGH, MIN_DF, MAX_ITER, TOLERANCE = 2, 3, 2, 2000, 1e-4
 
 # A linear model keeps a weight per gram on the driver, so the vocabulary has to
 # fit there.  Beyond this many grams we stop rather than drop some.
@@ -87,6 +87,7 @@ def fit_text_model(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
+        tol=TOLERANCE,
         rawPredictionCol="_text_raw",
         probabilityCol="_text_probability",
         predictionCol="_text_prediction",
