@@ -21,6 +21,7 @@ from urlgauge.operators.metrics import classification_metrics
 from urlgauge.operators.ngrams import tfidf_rows
 from urlgauge.operators.results import summarize
 from urlgauge.operators.robustness import success_rates
+from urlgauge.plans.analysis import analyse_errors, analyse_robustness
 from urlgauge.plans.pipeline import evaluate_models, run_all, train_tabular
 from urlgauge.sources import registry
 
@@ -118,6 +119,26 @@ def test_hybrid_attack(spark, tables, text_model, tmp_path):
     assert {r["label"] for r in attacked.collect()} == {1}
 
 
+def test_error_and_robustness_reports(spark, tables, text_model, tmp_path):
+    def score(df):
+        scored = with_text_scores(df.filter("url is not null"), text_model)
+        return scored.drop("text_logit").withColumnsRenamed({"text_pred": "pred", "text_proba": "proba"})
+
+    test = tables[1].select("url", F.when(F.length("url") % 5 == 0, 1 - F.col("label")).otherwise(F.col("label")).alias("label"))
+    report = analyse_errors(test, score, str(tmp_path / "errors"))
+    counts = {r["error_type"]: r["count"] for r in report.counts.collect()}
+    assert sum(counts.values()) == test.count() and counts["FP"] > 0 and counts["FN"] > 0
+    assert report.profile.count() == len(counts)
+    probas = [r["proba"] for r in report.false_positives.collect()]
+    assert probas == sorted(probas, reverse=True) and len(probas) == min(15, counts["FP"])
+    assert "PartitionFilters: [isnotnull(error_type" in report.false_negatives._jdf.queryExecution().executedPlan().toString()
+
+    robust = analyse_robustness(tables[1], score, rows=12)
+    rates = robust.rates.collect()
+    assert len(rates) == 4 and all(r["n_total"] <= 12 for r in rates)
+    assert robust.examples.count() == sum(min(5, r["n_missed"]) for r in rates)
+
+
 def test_scoring_keeps_null_urls(spark, tables, text_model):
     model = fit_hybrid(tables[0], text_model, boosted_small_trees(maxIter=1))
     rows = score_urls(spark.createDataFrame([("a.com",), (None,)], "url string"), model, 0.5).collect()
@@ -161,6 +182,9 @@ def test_full_run_on_files(spark, tmp_path):
     )
     rows = {r["model"]: r for r in summary.collect()}
     assert set(rows) == {"forest", "CharTFIDF(2-3)+LogReg", "Hybrid(LGBM+BERT)"}
+    slices = {(r["model"], r["source"]): r for r in spark.read.parquet(str(tmp_path / "run/metrics_by_source")).collect()}
+    assert {source for _, source in slices} == {"github", "openphish"}
+    assert slices["Hybrid", "openphish"]["roc_auc"] is None and slices["Hybrid", "openphish"]["recall"] > 0.9
     assert all(r["n_train"] == 192 and r["n_test"] == 68 and r["f1"] > 0.9 for r in rows.values())
     assert any((tmp_path / "run" / "summary" / "summary_md").glob("part-*"))
     assert registry.find_model(spark, str(tmp_path / "run" / "models" / "hybrid"))

@@ -93,6 +93,10 @@ def test_registry_picks_the_newest_complete_run(spark, tmp_path):
     assert registry.find_model(spark, newest) == newest  # a model folder given as the root
     with pytest.raises(FileNotFoundError, match="complete"):
         registry.find_model(spark, root, f"{root}/run_20250101_000000")
+    payload = [("hybrid_results.json", json.dumps({"meta": {"bert_dir": "", "bert_model_dir": f"{root}/run_20240102_030405"}}))]
+    recorded = registry.recorded_path(spark.createDataFrame(payload, "source_file string, payload string"), payload[0][0])
+    assert registry.find_model(spark, root, recorded=recorded) == f"{root}/run_20240102_030405"
+    assert registry.find_model(spark, root, recorded=f"{root}/gone").endswith("run_20241001_000000")
     assert len(registry.load_model(spark, root, newest).stages) == 1
 
 

@@ -210,13 +210,12 @@ def run_all(
     """Everything in order; returns the summary, also stored under ``folder``.
 
     Splits, features, models and metrics land in sub-folders that later runs and
-    other tools can read on their own.
+    other tools can read on their own.  Metrics are also stored per source: the
+    holdout and the feed, which has positives only, say different things.
     """
     splits = prepare(spark, labelled_csv, feed_text, f"{folder}/splits")
     train, test = feature_tables(splits.train, splits.test, f"{folder}/features")
-    inputs = ["url", "label", *FEATURES]
-    train, test = train.select(inputs), test.select(inputs)
-    _, tabular = train_tabular(train, test, learners)
+    models, tabular = train_tabular(train, test, learners)
     text_model, text = train_text(train, test)
     save_run(text_model, f"{folder}/models/text")
     hybrid_model, hybrid = train_hybrid(train, test, text_model, stacker)
@@ -224,6 +223,8 @@ def run_all(
     stored = {"ml_results.json": tabular, "ngram_results.json": text, "hybrid_results.json": hybrid}
     for name, payload in stored.items():
         write_payload(payload, f"{folder}/metrics/{name}")
+    by_source = evaluate_models({**models, "Hybrid": hybrid_model}, test, ("source",))
+    by_source.write.parquet(f"{folder}/metrics_by_source")
     summary = require_rows(summarize(read_metrics(spark, f"{folder}/metrics")))
     write_summary(summary, f"{folder}/summary", summary_order())
     return summary

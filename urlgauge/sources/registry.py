@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlgauge.operators.results import unless_empty
 from urlgauge.sources.readers import path_exists
 
 RUN_FORMAT = "%Y%m%d_%H%M%S"
@@ -47,14 +48,32 @@ def latest_valid(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def find_model(spark: SparkSession, root: str, override: str | None = None) -> str:
-    """Folder to load: an explicit one, the root if it is a model, or the newest run."""
+def recorded_path(payloads: DataFrame, source_file: str) -> str | None:
+    """The model folder a stored metrics file names, if any."""
+    meta = F.get_json_object("payload", "$.meta")
+    named = F.coalesce(
+        unless_empty(F.get_json_object(meta, "$.bert_dir")), F.get_json_object(meta, "$.bert_model_dir")
+    )
+    row = payloads.filter(F.col("source_file") == source_file).select(named.alias("path")).first()
+    return row["path"] if row is not None else None
+
+
+def find_model(
+    spark: SparkSession, root: str, override: str | None = None, recorded: str | None = None
+) -> str:
+    """Folder to load: an explicit one, the root if it is a model, or the newest run.
+
+    A ``recorded`` folder, as named by stored metrics, is preferred to the newest
+    run as long as it is there.
+    """
     if override is not None:
         if not path_exists(spark, override):
             raise FileNotFoundError(f"no such model folder: {override}")
         if not is_complete(spark, override):
             raise FileNotFoundError(f"not a complete model: {override}")
         return override
+    if recorded is not None and is_complete(spark, recorded):
+        return recorded
     if not path_exists(spark, root):
         raise FileNotFoundError(f"no such model root: {root}")
     if is_complete(spark, root):
