@@ -49,9 +49,12 @@ def test_metrics_of_nothing(spark):
     assert row["n"] == 0 and all(row[name] is None for name in metrics.METRICS)
 
 
-def test_missing_score_makes_ranking_undefined(spark):
-    row = metrics.classification_metrics(scored(spark, [(1, 0.9), (0, None), (0, 0.1)]), score="proba").first()
-    assert row["roc_auc"] is None and row["pr_auc"] is None and row["n"] == 3
+@pytest.mark.parametrize("one_task", [10, 1])
+@pytest.mark.parametrize("odd", [None, float("nan")])
+def test_missing_score_makes_ranking_undefined(spark, odd, one_task):
+    df = scored(spark, [(1, 0.9), (0, odd), (0, 0.1), (1, 0.5)])
+    row = metrics.classification_metrics(df, score="proba", one_task=one_task).first()
+    assert row["roc_auc"] is None and row["pr_auc"] is None and row["n"] == 4
 
 
 def brute_ranking(rows):
