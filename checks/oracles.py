@@ -138,6 +138,10 @@ ORACLES: dict[str, str] = {
     "url_features_table": features(URLS, "label, source"),
     "url_parts": parts(URLS, "ordinal"),
     "link_features": features(LINKS, "page_id, pos"),
+    "url_with_scheme": r"""
+SELECT ordinal, CASE WHEN regexp_matches(u, '^https?://') THEN u ELSE 'http://' || u END AS absolute
+FROM (SELECT page_id AS ordinal,
+             CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, '^https?://', '') ELSE url END AS u FROM pages)""",
     "url_domain_explore": f"SELECT url, {DOMAIN} AS domain FROM pages",
     "url_num_params": f"SELECT url, {N_PARAMS} AS n_params FROM pages",
     "clean_urls": CLEAN,
@@ -235,6 +239,11 @@ SELECT url, label, pred, proba, source FROM ({SCORED}) WHERE label = 1 AND pred
 ORDER BY proba, url LIMIT 15""",
     "attacks_long": attacks(URLS, "ordinal", *MAIL),
     "attacks_links": attacks(LINKS, "page_id, pos", "sec-check", "utm_source=mail&utm_campaign=security"),
+    "attack_by_name": f"""
+SELECT l.page_id, l.pos, coalesce(a.attack, 'unknown') AS attack, coalesce(a.url_adv, l.url) AS url_adv
+FROM ({LINKS}) AS l LEFT JOIN ({attacks(LINKS, 'page_id, pos', *MAIL)}) AS a
+  ON l.page_id = a.page_id AND l.pos = a.pos
+ AND a.attack = list_extract(['subdomain', 'tracking', 'encode', 'homoglyph'], 1 + l.page_id % 5)""",
     "attack_success": f"""
 SELECT a AS attack, count(url_orig) AS n_total, count(url_orig) FILTER (proba < 0.5) AS n_missed,
        round(coalesce(count(url_orig) FILTER (proba < 0.5) / nullif(count(url_orig), 0)::DOUBLE, 0), 9) AS adv_success_rate
@@ -259,6 +268,11 @@ SELECT ordinal, gram, tf, df, round(w / sqrt(sum(w * w) OVER (PARTITION BY ordin
     "class_weights": f"""
 SELECT label, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*))::DOUBLE, 9) AS weight
 FROM ({URLS}) GROUP BY label""",
+    "safe_numbers": """
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN value WHEN 1 THEN user_id::DOUBLE END AS number FROM events""",
+    "meta_fallback": """
+SELECT event_id, coalesce(nullif(event_id % 3, 0), nullif(CASE WHEN event_id % 7 <> 0 THEN user_id % 2 END, 0),
+                          CASE WHEN event_id % 11 <> 0 THEN event_id % 4 END) AS n_train FROM events""",
     "results_summary": SUMMARY,
     "results_legacy": compared(("rule_0.3", 0.3), ("rule_0.5", 0.5)),
     "results_markdown": f"""

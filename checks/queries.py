@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from checks.views import feed_raw, links, scored, scored_items, short_url_score, table, urls, urls_raw
 from urlgauge.contracts import require_columns
 from urlgauge.functions.features import FEATURES, url_features
-from urlgauge.functions.perturb import HYBRID_MODEL_ATTACK, explode_attacks
+from urlgauge.functions.perturb import ATTACKS, HYBRID_MODEL_ATTACK, apply_attack, explode_attacks
 from urlgauge.functions.text import binary_label, char_ngrams
-from urlgauge.functions.url import exploration_domain, query_param_count, with_url_parts
+from urlgauge.functions.url import ensure_http, exploration_domain, query_param_count, with_url_parts
 from urlgauge.models.batch import score_batches
 from urlgauge.models.hybrid import attack_hybrid, fit_hybrid
 from urlgauge.models.tabular import (
@@ -80,6 +80,12 @@ def link_features(spark, sf_dir):
     return url_features(links(spark, sf_dir), keep=("page_id", "pos"))
 
 
+@query
+def url_with_scheme(spark, sf_dir):
+    bare = F.when(F.col("ordinal") % 2 == 0, F.regexp_replace("url", "^https?://", "")).otherwise(F.col("url"))
+    return urls(spark, sf_dir).select("ordinal", ensure_http(bare).alias("absolute"))
+
+
 @query
 def url_domain_explore(spark, sf_dir):
     return urls(spark, sf_dir).select("url", exploration_domain(F.col("url")).alias("domain"))
@@ -397,6 +403,13 @@ def attacks_links(spark, sf_dir):
     return explode_attacks(links(spark, sf_dir), text=HYBRID_MODEL_ATTACK)
 
 
+@query
+def attack_by_name(spark, sf_dir):
+    names = F.array(*[F.lit(name) for name in (*ATTACKS, "unknown")])
+    named = links(spark, sf_dir).withColumn("attack", F.get(names, (F.col("page_id") % 5).cast("int")))
+    return apply_attack(named, "attack").select("page_id", "pos", "attack", "url_adv")
+
+
 def _attacked(spark, sf_dir):
     positives = urls(spark, sf_dir).filter("label = 1").select("url", "label", "ordinal")
     return robustness.attack_detected(positives, short_url_score)
@@ -494,6 +507,32 @@ def _summary(spark, sf_dir) -> DataFrame:
     return results.require_rows(results.summarize(materialize(_payloads(spark, sf_dir))))
 
 
+@query
+def safe_numbers(spark, sf_dir):
+    """Metric values as they may be spelled in a stored file."""
+    n = F.col("event_id") % 5
+    text = (
+        F.when(n == 0, F.col("value").cast("string"))
+        .when(n == 1, F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit(" ")))
+        .when(n == 2, F.col("event_type"))
+        .when(n == 3, F.concat(F.col("user_id").cast("string"), F.lit("d")))
+    )
+    return table(spark, sf_dir, "events").select("event_id", results.safe_double(text).alias("number"))
+
+
+@query
+def meta_fallback(spark, sf_dir):
+    """The first meta value that is neither missing nor zero; the last one as it is."""
+    fields = F.struct(
+        (F.col("event_id") % 3).alias("n_train_sampled"),
+        F.when(F.col("event_id") % 7 != 0, F.col("user_id") % 2).alias("n_train"),
+        F.when(F.col("event_id") % 11 != 0, F.col("event_id") % 4).alias("train_size"),
+    )
+    meta = table(spark, sf_dir, "events").select("event_id", F.to_json(fields).alias("meta"))
+    value = results.first_present(F.col("meta"), results.META_KEYS["n_train"])
+    return meta.select("event_id", results.safe_double(value).cast("bigint").alias("n_train"))
+
+
 @query
 def results_summary(spark, sf_dir):
     return rounded(_summary(spark, sf_dir), "pos_rate_train", "pos_rate_test", *metrics.METRICS)

@@ -75,6 +75,18 @@ def attack_expression(attack: str, url: Column, parts: Column, text: AttackText)
     return url
 
 
+def apply_attack(
+    df: DataFrame, attack: str, url: str = "url", into: str = "url_adv", text: AttackText = TEXT_MODEL_ATTACK
+) -> DataFrame:
+    """Add ``into``: each row's URL after the attack that its ``attack`` column names."""
+    split = with_split_url(df, url, "_parts")
+    changed = F.col(url)
+    for name in ATTACKS:
+        variant = attack_expression(name, F.col(url), F.col("_parts"), text)
+        changed = F.when(F.col(attack) == name, variant).otherwise(changed)
+    return split.withColumn(into, changed).drop("_parts")
+
+
 def explode_attacks(
     df: DataFrame,
     url: str = "url",

@@ -55,6 +55,12 @@ def drop_line_chars(url: Column) -> Column:
     return url
 
 
+def ensure_http(url: Column) -> Column:
+    """Prefix ``http://`` unless the URL starts (case-sensitively) with a web scheme."""
+    absolute = url.startswith("http://") | url.startswith("https://")
+    return F.when(absolute, url).otherwise(F.concat(F.lit("http://"), url))
+
+
 def scheme(url: Column) -> Column:
     """``https`` or ``http``; a URL without a (lower-case) web scheme reads as ``http``."""
     return F.when(url.startswith("https://"), "https").otherwise("http")

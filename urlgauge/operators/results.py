@@ -57,14 +57,14 @@ def _field(document: Column, name: str) -> Column:
     return F.get_json_object(document, f"$.{name}")
 
 
-def _first_present(meta: Column, names: Sequence[str]) -> Column:
+def first_present(meta: Column, names: Sequence[str]) -> Column:
     """First value that is not empty; the last spelling is taken as it is."""
     found = [unless_empty(_field(meta, name)) for name in names[:-1]]
     return F.coalesce(*found, _field(meta, names[-1]))
 
 
 def _record(model: Column, metrics: Column, meta: Column) -> list[Column]:
-    values = {name: _first_present(meta, keys) for name, keys in META_KEYS.items()}
+    values = {name: first_present(meta, keys) for name, keys in META_KEYS.items()}
     return [
         model.alias("model"),
         F.col("source_file"),

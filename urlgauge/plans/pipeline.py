@@ -32,7 +32,7 @@ from urlgauge.operators.overlap import only_new, union_keep_first
 from urlgauge.operators.results import require_rows, several_payload, single_payload, summarize, summary_order
 from urlgauge.operators.split import SEED, exact_sample, stratified_split
 from urlgauge.session import materialize
-from urlgauge.sources.readers import read_feed, read_labelled_csv, read_metrics
+from urlgauge.sources.readers import read_features, read_feed, read_labelled_csv, read_metrics
 from urlgauge.sources.registry import save_run
 from urlgauge.sources.writers import write_payload, write_splits, write_summary
 
@@ -90,10 +90,7 @@ def feature_tables(train: DataFrame, test: DataFrame, folder: str) -> tuple[Data
     for split in (train, test):
         require_columns(split, ["url", "label"], "split")
     write_splits(url_features(train), url_features(test), folder)
-    stored = train.sparkSession.read.parquet(folder)
-    pair = [stored.filter(F.col("split") == name).drop("split") for name in ("train", "test")]
-    require_same_features(*pair)
-    return pair[0], pair[1]
+    return read_features(train.sparkSession, folder)[:2]
 
 
 def default_learners() -> dict[str, Estimator]:

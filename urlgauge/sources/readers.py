@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlgauge.contracts import require_columns
+from urlgauge.contracts import require_columns, require_same_features
 from urlgauge.functions.text import LINE_BREAKS, drop_invalid_utf8, strip_whitespace
 
 # The metrics files a full run leaves behind.
@@ -90,6 +90,14 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({"url": F.col("url").cast("string"), "label": F.col("label").cast("int")})
 
 
+def read_features(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Stored feature tables ``(train, test)`` and their common feature names."""
+    stored = read_split(spark, folder)
+    require_columns(stored, ["split"], folder)
+    train, test = (stored.filter(F.col("split") == name).drop("split") for name in ("train", "test"))
+    return train, test, require_same_features(train, test)
+
+
 def read_metrics(
     spark: SparkSession, folder: str, names: Sequence[str] = METRICS_FILES, skip_missing: bool = True
 ) -> DataFrame:
