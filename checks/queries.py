@@ -30,7 +30,7 @@ from urlgauge.operators.clean import audit_labelled, clean_labelled, feed_urls,
 from urlgauge.operators.dedup import keep_first
 from urlgauge.operators.errors import error_profile, top_false_negatives, top_false_positives, with_error_type
 from urlgauge.operators.overlap import common_urls, only_new, overlap_count, union_keep_first
-from urlgauge.operators.split import exact_sample, stratified_split
+from urlgauge.operators.split import exact_sample, mark_split, stratified_split
 from urlgauge.plans.pipeline import make_splits, run_meta, train_tabular
 from urlgauge.session import materialize, work_folder
 from urlgauge.sources.readers import preview, read_feed, read_labelled_csv, read_metrics, read_split
@@ -41,7 +41,7 @@ from urlgauge.sources.writers import (
     write_csv,
     write_error_slices,
     write_payload,
-    write_splits,
+    write_marked,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,8 +159,7 @@ def text_feed_scan(spark, sf_dir):
 @query
 def split_scan(spark, sf_dir):
     path = scratch(spark)
-    train, test = stratified_split(urls(spark, sf_dir))
-    write_splits(train, test, path)
+    write_marked(mark_split(urls(spark, sf_dir)), path)
     return read_split(spark, path).filter("split = 'test'").select("url", "label", "source")
 
 
@@ -224,19 +223,15 @@ def test_union(spark, sf_dir):
 # --- splits and samples ----------------------------------------------------
 
 
-def _marked(train: DataFrame, test: DataFrame) -> DataFrame:
-    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
-
-
 @query
 def stratified_split_urls(spark, sf_dir):
-    return _marked(*stratified_split(urls(spark, sf_dir).select("url", "label")))
+    return mark_split(urls(spark, sf_dir).select("url", "label"))
 
 
 @query
 def stratified_split_docs(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return _marked(*stratified_split(labels, label="toxic", key="doc_id"))
+    return mark_split(labels, label="toxic", key="doc_id")
 
 
 @query
@@ -249,7 +244,7 @@ def stratified_split_items(spark, sf_dir):
 
 @query
 def split_class_share(spark, sf_dir):
-    marked = _marked(*stratified_split(urls(spark, sf_dir).select("url", "label")))
+    marked = mark_split(urls(spark, sf_dir).select("url", "label"))
     return rounded(explore.value_shares(marked, "label", ["split"]), "share")
 
 
@@ -266,8 +261,7 @@ def exact_sample_orders(spark, sf_dir):
 @query
 def full_split(spark, sf_dir):
     labelled = materialize(labelled_urls(urls_raw(spark, sf_dir), source="site"))
-    splits = make_splits(labelled, materialize(feed_urls(feed_raw(spark, sf_dir), source="feed")))
-    return _marked(splits.train, splits.test)
+    return make_splits(labelled, materialize(feed_urls(feed_raw(spark, sf_dir), source="feed"))).marked
 
 
 @query

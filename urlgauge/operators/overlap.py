@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlgauge.operators.dedup import keep_first
-from urlgauge.session import BROADCAST_LIMIT, broadcast_if_small, materialize
+from urlgauge.session import BROADCAST_LIMIT, broadcast_if_small, materialize, text_bytes
 
 
 def common_urls(left: DataFrame, right: DataFrame, key: str = "url") -> DataFrame:
@@ -30,13 +30,18 @@ def only_new(feed: DataFrame, known: DataFrame, key: str = "url", limit: int = B
     The feed is the small side, yet an anti join can only broadcast its right
     side.  So the big table is first cut down to the keys the feed asks about,
     with those broadcast when their measured size allows, and the anti join runs
-    on what is left; the big table is then never shuffled.  Both small tables are
+    on what is left; the big table is then never shuffled whole.  Both small tables are
     stored, which makes sure that either input is read only once for them; this
     happens when the function is called.
     """
     asked = materialize(feed.select(key).distinct())
-    hits = known.select(key).join(broadcast_if_small(asked, key, limit), key, "left_semi")
-    return feed.join(materialize(hits.distinct()), key, "left_anti")
+    keys = known.select(key)
+    if text_bytes(asked, key) <= limit:
+        hits = keys.join(F.broadcast(asked), key, "left_semi").distinct()
+    else:
+        # Copies go before the shuffle the join needs anyway, so none can be hot.
+        hits = keys.distinct().join(asked, key, "left_semi")
+    return feed.join(broadcast_if_small(materialize(hits), key, limit), key, "left_anti")
 
 
 def union_keep_first(first: DataFrame, second: DataFrame, key: str = "url", order: str = "ordinal") -> DataFrame:

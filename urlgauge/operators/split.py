@@ -131,16 +131,17 @@ def class_quotas(totals: dict[str, int], size: int) -> dict[str, int]:
     return quota
 
 
-def stratified_split(
+def mark_split(
     df: DataFrame,
     fraction: float = 0.8,
     label: str = "label",
     key: str | Sequence[str] = "url",
     seed: int = SEED,
-) -> tuple[DataFrame, DataFrame]:
-    """``(train, test)`` with exact sizes and the class shares kept.
+) -> DataFrame:
+    """Add ``split`` (``train`` or ``test``), with exact sizes and the class shares kept.
 
-    Runs jobs when called; give it a stored table.
+    Runs jobs when called; give it a stored table.  Storing the result by
+    ``split`` reads that table once for both parts.
     """
     if not 0 < fraction < 1:
         raise ValueError(f"fraction must lie between 0 and 1: {fraction}")
@@ -160,7 +161,12 @@ def stratified_split(
     finally:
         counts.unpersist()
     marked = _with_strata(keyed, list(cuts.items()), "_cut string")
-    return (
-        marked.filter(F.col("_h") <= F.col("_cut")).select(*df.columns),
-        marked.filter(F.col("_h") > F.col("_cut")).select(*df.columns),
-    )
+    split = F.when(F.col("_h") <= F.col("_cut"), "train").otherwise("test")
+    return marked.select(*df.columns, split.alias("split"))
+
+
+def stratified_split(df: DataFrame, *args, **options) -> tuple[DataFrame, DataFrame]:
+    """``(train, test)`` of :func:`mark_split`, which takes the same arguments."""
+    marked = mark_split(df, *args, **options)
+    train, test = (marked.filter(F.col("split") == name).drop("split") for name in ("train", "test"))
+    return train, test

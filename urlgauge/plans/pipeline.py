@@ -30,21 +30,28 @@ from urlgauge.operators.clean import audit_table, feed_urls, labelled_urls, row_
 from urlgauge.operators.metrics import classification_metrics
 from urlgauge.operators.overlap import only_new, union_keep_first
 from urlgauge.operators.results import require_rows, several_payload, single_payload, summarize, summary_order
-from urlgauge.operators.split import SEED, exact_sample, stratified_split
+from urlgauge.operators.split import SEED, exact_sample, mark_split
 from urlgauge.session import materialize
-from urlgauge.sources.readers import read_features, read_feed, read_labelled_csv, read_metrics
+from urlgauge.sources.readers import read_features, read_feed, read_labelled_csv, read_metrics, read_split
 from urlgauge.sources.registry import save_run
-from urlgauge.sources.writers import write_payload, write_splits, write_summary
+from urlgauge.sources.writers import write_marked, write_payload, write_splits, write_summary
 
 
 @dataclass(frozen=True)
 class Splits:
-    """Train and test tables of ``url, label, source``, with the counts behind them."""
+    """``url, label, source, split`` for all rows, and the counts behind it."""
 
-    train: DataFrame
-    test: DataFrame
+    marked: DataFrame
     audit: DataFrame
 
+    @property
+    def train(self) -> DataFrame:
+        return self.marked.filter("split = 'train'").drop("split")
+
+    @property
+    def test(self) -> DataFrame:
+        return self.marked.filter("split = 'test'").drop("split")
+
 
 def make_splits(
     labelled: DataFrame,
@@ -60,18 +67,23 @@ def make_splits(
     the loaders guarantee: the united test is then free of copies already and is
     not shuffled again.  Runs jobs when called; give it stored tables.
     """
-    columns = ["url", "label", "source"]
-    train, holdout = stratified_split(labelled, fraction, seed=seed)
-    new = only_new(feed, labelled)
+    columns = ["url", "label", "source", "split"]
+    marked = mark_split(labelled, fraction, seed=seed)
+    new = only_new(feed, labelled).withColumn("split", F.lit("test"))
     if unique:
-        test = holdout.select(columns).unionByName(new.select(columns))
+        united = marked.select(columns).unionByName(new.select(columns))
     else:
-        test = union_keep_first(holdout, new).select(columns)
-    counts = row_counts({"feed": feed, "new": new, "holdout": holdout, "test": test}).withColumn(
-        "united", F.col("new") + F.col("holdout")
-    )
+        test = union_keep_first(marked.filter("split = 'test'"), new)
+        united = marked.filter("split = 'train'").select(columns).unionByName(test.select(columns))
+    names = {
+        "feed": feed,
+        "new": new,
+        "holdout": marked.filter("split = 'test'"),
+        "test": united.filter("split = 'test'"),
+    }
+    counts = row_counts(names).withColumn("united", F.col("new") + F.col("holdout"))
     audit = audit_table(counts, [("feed_overlap", "feed", "new"), ("test_dedup", "united", "test")])
-    return Splits(train.select(columns), test, audit)
+    return Splits(united, audit)
 
 
 def prepare(spark: SparkSession, labelled_csv: str, feed_text: str, folder: str, **options) -> Splits:
@@ -79,10 +91,8 @@ def prepare(spark: SparkSession, labelled_csv: str, feed_text: str, folder: str,
     labelled = materialize(labelled_urls(read_labelled_csv(spark, labelled_csv)))
     feed = materialize(feed_urls(read_feed(spark, feed_text)))
     splits = make_splits(labelled, feed, unique=True, **options)
-    write_splits(splits.train, splits.test, folder)
-    stored = spark.read.parquet(folder)
-    parts = [stored.filter(F.col("split") == name).drop("split") for name in ("train", "test")]
-    return Splits(*parts, splits.audit)
+    write_marked(splits.marked, folder)
+    return Splits(read_split(spark, folder), splits.audit)
 
 
 def feature_tables(train: DataFrame, test: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -16,6 +16,11 @@ def write_splits(train: DataFrame, test: DataFrame, folder: str, mode: str = "er
     test.write.mode(mode).parquet(f"{folder}/split=test")
 
 
+def write_marked(marked: DataFrame, folder: str, mode: str = "errorifexists") -> None:
+    """Store a table by its ``split`` column: both parts from one pass over it."""
+    marked.write.mode(mode).partitionBy("split").parquet(folder)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
