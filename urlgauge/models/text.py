@@ -30,13 +30,14 @@ def fit_vectorizer(
     high: int = HIGH,
     min_df: int = MIN_DF,
     max_vocabulary: int = MAX_VOCABULARY,
+    documents: int | None = None,
 ) -> list[Transformer]:
     """Stages turning ``text`` into an L2-normalised TF-IDF vector.
 
     Document frequencies come from one aggregate; only the vocabulary itself,
     whose size is checked, reaches the driver.  Transforming is map-side.
     """
-    documents = train.count()
+    documents = train.count() if documents is None else documents
     frequency = document_frequency(train, text, low, high, min_df)
     weighted = frequency.select("gram", idf(F.col("df"), F.lit(documents)).alias("idf"))
     rows = weighted.limit(max_vocabulary + 1).collect()
@@ -55,14 +56,6 @@ def fit_vectorizer(
     ]
 
 
-def with_class_weight(df: DataFrame, label: str = "label", into: str = "_weight") -> DataFrame:
-    """Add the balanced weight of each row's class (a handful of literals)."""
-    weight = F.lit(None).cast("double")
-    for row in class_weights(df, label).collect():
-        weight = F.when(F.col(label) == row[label], row["weight"]).otherwise(weight)
-    return df.withColumn(into, weight)
-
-
 def fit_text_model(
     train: DataFrame,
     text: str = "url",
@@ -76,9 +69,13 @@ def fit_text_model(
     usual C = 1.  The intercept is left out of the penalty.
     """
     narrow = train.select(text, label)
-    stages = fit_vectorizer(narrow, text, **vectorizer)
-    rows = narrow.count()
-    vectors = PipelineModel(stages).transform(with_class_weight(narrow, label)).select(VECTOR, label, "_weight")
+    classes = class_weights(narrow, label).collect()
+    rows = sum(row["n"] for row in classes)
+    stages = fit_vectorizer(narrow, text, documents=rows, **vectorizer)
+    weight = F.lit(None).cast("double")
+    for row in classes:
+        weight = F.when(F.col(label) == row[label], row["weight"]).otherwise(weight)
+    vectors = PipelineModel(stages).transform(narrow).select(VECTOR, label, weight.alias("_weight"))
     classifier = LogisticRegression(
         featuresCol=VECTOR,
         labelCol=label,

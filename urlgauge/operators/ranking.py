@@ -8,21 +8,21 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ONE_TASK = 500_000  # values that may be ordered in a single task
+ONE_TASK = 100_000  # values that may be ordered in a single task
 MAX_BUCKETS = 100_000
 
 
 def value_bounds(df: DataFrame, value: str, one_task: int = ONE_TASK) -> list[float]:
     """Boundaries cutting ``value`` into runs of about equally many rows.
 
-    Empty when the column is short enough for one task.  The boundaries steer
+    Empty when a stored table is short enough for one task.  The boundaries steer
     load only: a rough quantile gives the same result as an exact one.
     """
-    number = F.col(value).cast("double")
-    usable = df.select(F.when(~F.isnan(number), number).alias("v")).na.drop()
-    rows = usable.count()
+    rows = df.count()
     if rows <= one_task:
         return []
+    number = F.col(value).cast("double")
+    usable = df.select(F.when(~F.isnan(number), number).alias("v")).na.drop()
     buckets = min(MAX_BUCKETS, -(-rows // one_task))
     cuts = [i / buckets for i in range(1, buckets)]
     return sorted(set(usable.approxQuantile("v", cuts, 1 / (4 * buckets))))
