@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,19 +39,16 @@ def fit_hybrid(
     """
     learner = boosted_small_trees() if learner is None else learner
     sample = train if rows is None else exact_sample(train, rows, "url", seed)
-    columns = [*FEATURES, *TEXT_SCORES]
-    if folds:
-        scored = out_of_fold_text_scores(sample, folds, seed)
-        vectors = VectorAssembler(inputCols=columns, outputCol=INPUT).transform(scored)
-    else:
-        vectors = None
     slices = [
         VectorSlicer(inputCol="_text_raw", outputCol="_text_logit", indices=[1]),
         VectorSlicer(inputCol="_text_probability", outputCol="_text_proba", indices=[1]),
         VectorAssembler(inputCols=[*FEATURES, "_text_logit", "_text_proba"], outputCol=INPUT),
     ]
     prepared = PipelineModel([*text_model.stages, *slices])
-    if vectors is None:
+    if folds:
+        scored = out_of_fold_text_scores(sample, folds, seed)
+        vectors = VectorAssembler(inputCols=[*FEATURES, *TEXT_SCORES], outputCol=INPUT).transform(scored)
+    else:
         vectors = prepared.transform(sample)
     trees = learner.fit(materialize(vectors.select("label", INPUT)))
     return PipelineModel([*prepared.stages, trees])
