@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from urlgauge.llm.decontaminate import op5_query
+from urlgauge.llm.near_duplicates import op3_query
 
-QUERIES = {"op5_decontaminate": op5_query}
+QUERIES = {"op3_near_duplicates": op3_query, "op5_decontaminate": op5_query}
 ORACLES: dict[str, str] = {}
