@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from urlgauge.llm.decontaminate import op5_query
+from urlgauge.llm.language import op7_query
 from urlgauge.llm.near_duplicates import op3_query
 from urlgauge.llm.phrase_dedup import op10_query
+from urlgauge.llm.quality import op1_query
 from urlgauge.llm.suffix_dedup import op4_query
 
 QUERIES = {
+    "op1_quality": op1_query,
     "op3_near_duplicates": op3_query,
     "op4_suffix_dedup": op4_query,
     "op5_decontaminate": op5_query,
+    "op7_language": op7_query,
     "op10_phrase_dedup": op10_query,
 }
 ORACLES: dict[str, str] = {}
