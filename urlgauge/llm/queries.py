@@ -6,6 +6,7 @@ from urlgauge.llm.decontaminate import op5_query
 from urlgauge.llm.language import op7_query
 from urlgauge.llm.near_duplicates import op3_query
 from urlgauge.llm.phrase_dedup import op10_query
+from urlgauge.llm.pieces import op8_query
 from urlgauge.llm.quality import op1_query
 from urlgauge.llm.suffix_dedup import op4_query
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_query,
     "op5_decontaminate": op5_query,
     "op7_language": op7_query,
+    "op8_pieces": op8_query,
     "op10_phrase_dedup": op10_query,
 }
 ORACLES: dict[str, str] = {}
