@@ -9,6 +9,7 @@ from urlgauge.llm.phrase_dedup import op10_query
 from urlgauge.llm.pieces import op8_query
 from urlgauge.llm.quality import op1_query
 from urlgauge.llm.suffix_dedup import op4_query
+from urlgauge.llm.top_k import OP9_SQL, op9_query
 
 QUERIES = {
     "op1_quality": op1_query,
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_decontaminate": op5_query,
     "op7_language": op7_query,
     "op8_pieces": op8_query,
+    "op9_top_k": op9_query,
     "op10_phrase_dedup": op10_query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_top_k": OP9_SQL}
