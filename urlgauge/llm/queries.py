@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from urlgauge.llm.chat import OP6_SQL, op6_query
 from urlgauge.llm.decontaminate import op5_query
 from urlgauge.llm.language import op7_query
 from urlgauge.llm.near_duplicates import op3_query
@@ -16,9 +17,10 @@ QUERIES = {
     "op3_near_duplicates": op3_query,
     "op4_suffix_dedup": op4_query,
     "op5_decontaminate": op5_query,
+    "op6_chat": op6_query,
     "op7_language": op7_query,
     "op8_pieces": op8_query,
     "op9_top_k": op9_query,
     "op10_phrase_dedup": op10_query,
 }
-ORACLES = {"op9_top_k": OP9_SQL}
+ORACLES = {"op6_chat": OP6_SQL, "op9_top_k": OP9_SQL}
