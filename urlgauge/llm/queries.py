@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from urlgauge.llm.brown import op2_query
 from urlgauge.llm.chat import OP6_SQL, op6_query
 from urlgauge.llm.decontaminate import op5_query
 from urlgauge.llm.language import op7_query
@@ -14,6 +15,7 @@ from urlgauge.llm.top_k import OP9_SQL, op9_query
 
 QUERIES = {
     "op1_quality": op1_query,
+    "op2_brown": op2_query,
     "op3_near_duplicates": op3_query,
     "op4_suffix_dedup": op4_query,
     "op5_decontaminate": op5_query,
