@@ -11,17 +11,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from urlgauge.llm.decontaminate import clean_documents
+from urlgauge.llm.language import fit_language, known_language
+from urlgauge.llm.near_duplicates import without_near_duplicates
+from urlgauge.llm.pieces import encode_pieces
+from urlgauge.llm.suffix_dedup import without_repeated_passages
 from urlgauge.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is not recognised go: null and letterless texts, and texts of no known language."""
+    return known_language(docs, fit_language(docs))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return without_near_duplicates(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages lose their later copies; the first one stays. Documents stay, with what is left of their text."""
+    return without_repeated_passages(docs)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES: list[tuple[str, Stage]] = [("benchmark decontamination", without_benchmark)]
+def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their pieces, and whether these decode to the text."""
+    return encode_pieces(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language identification", in_known_language),
+    ("near-duplicate removal", without_near_copies),
+    ("repeated-passage removal", without_repeats),
+    ("benchmark decontamination", without_benchmark),
+    ("piece encoding", as_pieces),
+]
 #: SQL can express neither the learned language model nor the pieces.
 ORACLE_SQL = None
 
