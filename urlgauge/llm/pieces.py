@@ -31,7 +31,7 @@ from urlgauge.llm import _text as T
 BLANK = "▁"
 #: Parts of texts, and pairs of pieces, whose answers a worker keeps. Of parts the store before is
 #: kept too, so frequent ones stay.
-KEPT_PARTS = 300_000
+KEPT_PARTS = 500_000
 KEPT_PAIRS = 600_000
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -68,7 +68,10 @@ class Transducer:
             else:
                 surface = b""
             self.surface.append(surface)
-        self.begins = {p[:k] for p in self.ids for k in range(1, len(p))}
+        # of each beginning of a piece: 1 if it is a piece, 2 if longer ones begin with it, 3 if both
+        self.trie = {p[:k]: 2 for p in self.ids for k in range(1, len(p))}
+        for p in self.ids:
+            self.trie[p] = self.trie.get(p, 0) | 1
         self.worst = min(self.scores.values(), default=0.0) - 10
         across = any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.parts = re.compile("(?s).+" if across else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
@@ -108,17 +111,25 @@ class Transducer:
     def path(self, part: str) -> tuple[int, ...]:
         """Ids along the path of least weight."""
         found = self.merge_path(part) if self.bpe else self.least_path(part)
-        return tuple(chain.from_iterable(self.arc_ids(p) for p in found))
+        ids = self.ids
+        try:
+            return tuple([ids[p] for p in found])
+        except KeyError:  # characters without a piece
+            return tuple(chain.from_iterable(self.arc_ids(p) for p in found))
 
     def arcs(self, part: str, start: int) -> list[int]:
-        """Lengths of the arcs that read from `start`, rising."""
-        out, ids, begins = [], self.ids, self.begins
-        for end in range(start + 1, len(part) + 1):
-            piece = part[start:end]
-            if piece in ids or end == start + 1:
-                out.append(end - start)
-            if piece not in begins:
+        """Ends of the arcs that read from `start`, rising; a character that no piece has is an arc, too."""
+        trie, end, out = self.trie, start + 1, []
+        kind = trie.get(part[start:end], 0)
+        if not kind & 1:
+            out.append(end)
+        while kind:
+            if kind & 1:
+                out.append(end)
+            if kind == 1:
                 break
+            end += 1
+            kind = trie.get(part[start:end], 0) if end <= len(part) else 0
         return out
 
     def least_path(self, part: str) -> list[str]:
@@ -126,11 +137,11 @@ class Transducer:
         weight = [0.0] + [np.inf] * n
         last = [""] * (n + 1)
         for start in range(n):
-            for size in self.arcs(part, start):
-                piece = part[start : start + size]
+            for end in self.arcs(part, start):
+                piece = part[start:end]
                 total = weight[start] - scores.get(piece, self.worst)
-                if total < weight[start + size]:
-                    weight[start + size], last[start + size] = total, piece
+                if total < weight[end]:
+                    weight[end], last[end] = total, piece
         found, at = [], n
         while at:
             found.append(last[at])
@@ -142,23 +153,23 @@ class Transducer:
 
         One path leads to each place, so a place that cannot be left is never tried again.
         """
-        pairs, found, dead, at, n = self.pairs, [], set(), 0, len(part)
+        pairs, found, dead, at, before, n = self.pairs, [], set(), 0, "", len(part)
         while at < n:
-            before = found[-1] if found else ""
-            for size in reversed(self.arcs(part, at)):
-                if at + size in dead:
+            for end in reversed(self.arcs(part, at)):
+                if end in dead:
                     continue
-                piece = part[at : at + size]
+                piece = part[at:end]
                 fits = pairs.get((before, piece))
                 if fits is None:
                     fits = self.follow(before, piece)
                 if fits:
                     found.append(piece)
-                    at += size
+                    at, before = end, piece
                     break
             else:
                 dead.add(at)
                 at -= len(found.pop())
+                before = found[-1] if found else ""
         return found
 
     def arc_ids(self, piece: str) -> tuple[int, ...]:
