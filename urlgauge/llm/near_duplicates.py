@@ -21,6 +21,13 @@ PERCENT = 75
 #: At the similarity of 0.75 a pair shares no band with probability (1 - 0.75 ** 3) ** 24, about 2 in a million.
 BAND_VALUES = 3
 BANDS = 24
+#: Leaders that a bucket's members are compared with at first.
+FIRST_LEADERS = 2
+#: The most frequent shingles that the order of shingles tells apart; the order never changes the result.
+ORDERED_SHINGLES = 1 << 16
+#: Of a set's map of shingles, words of 64 bits. A bit that only one of two sets has stands for a shingle that only it has.
+MAP_WORDS = 16
+BITS = [f"bits_{i}" for i in range(MAP_WORDS)]
 
 
 def shingle_sets(w: T.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +108,101 @@ def _confirmed(size: int, percent: int):
     return run
 
 
+def _rarest_first(size: int, percent: int, common: dict[int, int]):
+    """(key, row, id, size, pos) of the shingles by which sets that are alike enough must meet, common ones last.
+
+    Sets with `percent` of their union in common share one of each one's first n - ceil(percent * n / 100) + 1
+    shingles in any order that holds for all sets; the order decides only how many others meet there.
+    """
+    keys = np.array(sorted(common), np.int64)
+    ranks = np.array([common[k] for k in keys.tolist()], np.int64)
+
+    def run(batches):
+        for batch in batches:
+            data, bounds = T.flat(batch.column(2))
+            row, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for a, b in T.chunks(bounds):
+                values, at = shingle_sets(T.words(data, bounds[a : b + 1]), size)
+                values = values.view(np.int64)
+                n = np.diff(at)
+                of = np.repeat(np.arange(b - a), n)
+                found = np.minimum(np.searchsorted(keys, values), max(len(keys) - 1, 0))
+                rank = np.where(keys[found] == values, ranks[found], 0) if len(keys) else np.zeros(len(values), np.int64)
+                order = np.lexsort((values, rank, of))
+                nth = np.arange(len(values)) - at[of]
+                keep = nth < (n - (percent * n + 99) // 100 + 1)[of]
+                yield pa.record_batch([values[order][keep], row[a + of[keep]], ids[a + of[keep]], n[of[keep]], nth[keep]], names=["key", "row", "id", "size", "pos"])
+
+    return run
+
+
+def _all_shingles(size: int):
+    """(key, row) of every shingle of each set."""
+
+    def run(batches):
+        for batch in batches:
+            data, bounds = T.flat(batch.column(2))
+            row = np.asarray(batch.column(0))
+            for a, b in T.chunks(bounds):
+                values, at = shingle_sets(T.words(data, bounds[a : b + 1]), size)
+                yield pa.record_batch([values.view(np.int64), np.repeat(row[a:b], np.diff(at))], names=["key", "row"])
+
+    return run
+
+
+def _maps(size: int):
+    """(row, bits...) of each set: the bits that its shingles hash to."""
+
+    def run(batches):
+        for batch in batches:
+            data, bounds = T.flat(batch.column(2))
+            for a, b in T.chunks(bounds):
+                values, at = shingle_sets(T.words(data, bounds[a : b + 1]), size)
+                flags = np.zeros((b - a, 64 * MAP_WORDS), bool)
+                flags[np.repeat(np.arange(b - a), np.diff(at)), values % np.uint64(64 * MAP_WORDS)] = True
+                words = np.packbits(flags, axis=1).view(np.int64)
+                yield pa.record_batch([batch.column(0).slice(a, b - a), *(np.ascontiguousarray(w) for w in words.T)], names=["row", *BITS])
+
+    return run
+
+
+def _by_rare_shingles(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(key, id, size, most, pos, bits...) of the sets in texts: rarest shingles, how many shingles another one has too, and maps."""
+    texts = materialize(texts.select(F.xxhash64("id", "text").alias("row"), "id", "text").dropDuplicates(["row"]))
+    times = materialize(texts.mapInArrow(_all_shingles(size), "key bigint, row bigint").groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("row")))
+    often = times.where("n >= 8").select("key", "n").orderBy(F.desc("n"), "key").limit(ORDERED_SHINGLES)
+    common = {key: n for key, n in often.collect()}  # only an order
+    alone = times.where("n = 1").groupBy("row").agg(F.count("*").alias("alone"))
+    maps = texts.mapInArrow(_maps(size), ", ".join(["row bigint", *(f"{b} bigint" for b in BITS)])).join(alone, "row", "left")
+    rows = texts.mapInArrow(_rarest_first(size, percent, common), "key bigint, row bigint, id bigint, size bigint, pos bigint")
+    return rows.join(maps, "row").select("key", "id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"), "pos", *BITS)
+
+
+def _shared(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Stored rows (key, id, size, most, comp, members) of the keys that more than one component has."""
+    comp = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component") if labels else rows.withColumn("comp", F.col("id"))
+    keys = comp.groupBy("key").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    return materialize(comp.join(keys.select("key", "members"), "key"))
+
+
+def _led(members: DataFrame, first: int, last: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of each key's members with its leaders number first+1 to last, unless of one component already."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
+    leaders = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= last).where(F.col("rank") > first)
+    bits = [b for b in ("pos", *BITS) if b in members.columns]
+    leaders = leaders.select("key", *(F.col(c).alias(f"to_{c}") for c in ("id", "size", "most", "comp", *bits)))
+    # no more can be shared than either has in common with any other set, nor what its map has and the other's lacks
+    enough = "100 * {0} >= " + str(percent) + " * (size + to_size - {0})"
+    near = "comp <> to_comp and " + enough.format("least(most, to_most)")
+    if bits:
+        # the first shingle that two sets share has all others behind it
+        near += " and " + enough.format("least(size - pos, to_size - to_pos)")
+        lacks = lambda x, y: " - ".join(f"bit_count({x}{b} & ~{y}{b})" for b in BITS)
+        near += " and " + enough.format(f"least(size - {lacks('', 'to_')}, to_size - {lacks('to_', '')})")
+    pairs = members.join(leaders, "key").where(near)
+    return pairs.select(F.least("id", "to_id").alias("a"), F.greatest("id", "to_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, values: int = BAND_VALUES) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of `docs`: the smallest doc_id that links lead to.
 
@@ -109,46 +211,50 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     texts have an empty set and stay alone, as do rows with a null doc_id (component null). Repeated rows each give
     a row; rows that share a doc_id are one node. An empty table gives no rows.
 
-    Equal sets are linked to their smallest doc_id at once, and one of each goes on. In each bucket of a band, all
-    members of another component than the bucket's leader are compared with it, for leaders in one fixed order:
-    the first, then twice as many each round, until every bucket is of one component or all its members have led.
-    So no bucket's pairs are listed, large groups collapse in the first round, and no candidate is left out.
+    Equal sets are linked to their smallest doc_id at once, and one of each goes on. In each bucket of a band, the
+    members are compared with the bucket's first leaders, in one fixed order of all documents, so large groups of
+    copies collapse without listing their pairs. Members of buckets that still hold several components mostly
+    share a passage and little else. They are dealt anew by their rarest shingles: sets that are alike enough must
+    share one of these, so nothing is lost, and passages that many share no longer bring texts together. There
+    leaders follow in growing numbers until each key has one component or all its members have led; pairs that
+    have too many shingles of their own to be alike are not listed.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sketch = materialize(docs.mapInArrow(_sketched(size, bands, values), "doc_id bigint, n bigint, set_key bigint, bands array<bigint>"))
     known = sketch.where("n > 0 and doc_id is not null")
     sets = materialize(known.groupBy("set_key", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    rows = sets.select(F.explode("bands").alias("key"), "id", F.col("n").alias("size"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = materialize(rows.join(shared, "key").withColumn("comp", F.col("id")))
+    members = _shared(sets.select(F.explode("bands").alias("key"), "id", F.col("n").alias("size"), F.col("n").alias("most")), None)
     named = materialize(members.select("id").distinct())
-    texts = materialize(
-        docs.join(small_list(named), docs.doc_id == named.id, "left_semi").withColumnRenamed("doc_id", "id")
-    )
     # rows that share a doc_id but not a text: each text is a set of its own under that id
-    links = [known.join(sets.select("set_key", "n", "id"), ["set_key", "n"]).select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a < b").distinct()]
-    first, last = 0, 1
-    while True:
-        order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
-        leaders = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= last).where(F.col("rank") > first)
-        leaders = leaders.select("key", F.col("id").alias("to"), F.col("size").alias("to_size"), F.col("comp").alias("to_comp"))
-        pairs = members.join(leaders, "key").where("comp <> to_comp and 100 * least(size, to_size) >= " + str(percent) + " * greatest(size, to_size)")
-        pairs = pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
-        own, other = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    texts = materialize(docs.join(small_list(named), docs.doc_id == named.id, "left_semi").withColumnRenamed("doc_id", "id"))
+    own, other = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
         met = pairs.join(own, "a").join(other, "b").select("a", "b", "text_a", "text_b")
-        found = materialize(met.mapInArrow(_confirmed(size, percent), "a bigint, b bigint"))
-        links.append(found)
-        so_far = found if len(links) == 2 else _all(links[1:])
-        labels = materialize(components(so_far))
-        relabelled = members.drop("comp").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        mixed = relabelled.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("open")).where(F.col("open") & (F.lit(True))).select("key")
-        left = relabelled.join(mixed, "key").where(F.col("members") > last)
-        members = materialize(left.select("key", "id", "size", "members", "comp"))
-        first, last = last, 3 * last
-        if members.isEmpty():
-            break
-    labels = materialize(components(_all(links)))
-    return sketch.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        return materialize(met.mapInArrow(_confirmed(size, percent), "a bigint, b bigint"))
+
+    links = [confirmed(_led(members, 0, FIRST_LEADERS, percent))]
+    labels = components(links[0])
+    members = _shared(members.drop("comp", "members"), labels).where(F.col("members") > FIRST_LEADERS)
+    if not members.isEmpty():
+        left = texts.join(small_list(materialize(members.select("id").distinct())), "id", "left_semi")
+        members = _shared(_by_rare_shingles(left, size, percent), labels)
+        first, last = 0, FIRST_LEADERS
+        while not members.isEmpty():
+            links.append(confirmed(_led(members, first, last, percent)))
+            labels = components(_all(links))
+            members = _shared(members.where(F.col("members") > last).drop("comp", "members"), labels)
+            first, last = last, 16 * last
+    equal = known.join(sets.select("set_key", "n", "id"), ["set_key", "n"]).select("doc_id", "id")
+    labels = labels.withColumnRenamed("node", "id")
+    found = equal.join(labels, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component")).where("doc_id <> component")
+    several = materialize(found.distinct())
+    # a doc_id with several texts may be in several groups, which it then links
+    if known.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").isEmpty():
+        final = several.withColumnRenamed("doc_id", "node")
+    else:
+        final = components(several.toDF("a", "b"))
+    return sketch.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
