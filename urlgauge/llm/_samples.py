@@ -24,6 +24,9 @@ def label_sample(labelled: DataFrame, label: str, rows: int, modulus: int) -> Da
     """
     known = labelled.where(remainder(modulus) != 2).where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label))
     totals = known.groupBy(label).agg(F.count("*").alias("_total"))
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= rows)
-    return chosen.join(totals, label).select("doc_id", label, (F.col("_total") / F.least("_total", F.lit(rows))).alias("weight"))
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    # about twice as many rows as wanted go on, so that no label gathers in one task
+    near = known.join(F.broadcast(totals), label).where(spot < (2 * rows + 100) / F.col("_total") * (1 << 30))
+    order = Window.partitionBy(label).orderBy(spot, "doc_id")
+    chosen = near.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= rows)
+    return chosen.select("doc_id", label, (F.col("_total") / F.least("_total", F.lit(rows))).alias("weight"))
