@@ -93,7 +93,7 @@ ATTACKED = f"SELECT *, {SHORT.format('url_adv')} AS proba FROM ({attacks(DETECTE
 
 
 def rule_metrics(cut: float) -> str:
-    source = f"SELECT label, proba, CAST(proba >= {cut} AS INTEGER) AS pred FROM ({SCORED}) WHERE ordinal % 5 = 0"
+    source = f"SELECT label, proba, CAST(proba >= {cut} AS INTEGER) AS pred FROM ({SCORED})"
     return metrics(source)
 
 
@@ -134,6 +134,16 @@ def _cell(name: str) -> str:
     return f"CASE WHEN {name} IS NULL THEN '' ELSE printf('%.4f', {name}) END"
 
 
+QUERY_URLS = f"SELECT ordinal, url, source, CAST(contains(url, '?') AS INTEGER) AS label FROM ({URLS})"
+QUERY_SPLIT = split(QUERY_URLS, "url", "label", "url, label")
+# A model that has learnt the label gets every test row right.
+LEARNT = f"""
+SELECT count(*) AS n, count(*) FILTER (label = 0) AS tn, 0::BIGINT AS fp, 0::BIGINT AS fn,
+       count(*) FILTER (label = 1) AS tp, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall,
+       1.0::DOUBLE AS f1, 1.0::DOUBLE AS mcc, 1.0::DOUBLE AS roc_auc, 1.0::DOUBLE AS pr_auc
+FROM ({QUERY_SPLIT}) WHERE split = 'test'"""
+
+
 ORACLES: dict[str, str] = {
     "url_features_table": features(URLS, "label, source"),
     "url_parts": parts(URLS, "ordinal"),
@@ -165,7 +175,7 @@ QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, pos) = 1""",
     "labelled_csv_scan": f"SELECT url, label, source FROM ({LABELLED_SITE})",
     "text_feed_scan": f"SELECT url, label, source FROM ({FEED})",
     "split_scan": f"SELECT url, label, 'site' AS source FROM ({SPLIT_URLS}) WHERE split = 'test'",
-    "table_preview": f"{URLS} ORDER BY page_id LIMIT 5",
+    "table_preview": f"SELECT *, count(*) OVER () AS row_count FROM ({URLS}) ORDER BY ordinal LIMIT 5",
     "required_columns": " UNION ALL ".join(
         f"SELECT '{name}' AS column, count({name}) AS n FROM ({features(URLS, 'label, source')})"
         for name in ["url", "label", "source", *FEATURE_NAMES]
@@ -186,9 +196,9 @@ QUALIFY row_number() OVER (PARTITION BY url ORDER BY side, ordinal) = 1""",
     "stratified_split_urls": SPLIT_URLS,
     "stratified_split_docs": split("SELECT * FROM labels", "doc_id", "toxic", "doc_id, quality, toxic"),
     "stratified_split_items": f"""
-SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS checksum
+SELECT o_orderkey, o_orderstatus
 FROM ({split("SELECT * FROM orders", "o_orderkey", "o_orderstatus", "o_orderkey, o_orderstatus")})
-WHERE split = 'train' GROUP BY 1""",
+WHERE split = 'train'""",
     "split_class_share": f"""
 SELECT split, label, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY split), 9) AS share
 FROM ({SPLIT_URLS}) GROUP BY split, label""",
@@ -199,9 +209,10 @@ SELECT url, label, source, split FROM ({split(LABELLED_SITE, "url", "label", "ur
 UNION ALL SELECT url, label, source, 'test' FROM ({NEW_FEED})""",
     "full_split_audit": f"""
 WITH h AS (SELECT count(*) AS n FROM ({split(LABELLED_SITE, "url", "label", "url")}) WHERE split = 'test'),
-f AS (SELECT count(*) AS n FROM ({FEED})), w AS (SELECT count(*) AS n FROM ({NEW_FEED}))
+f AS (SELECT count(*) AS n FROM ({FEED_RAW})),
+w AS (SELECT count(*) AS n, count(DISTINCT url) AS d FROM ({FEED_RAW}) WHERE url NOT IN (SELECT url FROM ({LABELLED_SITE})))
 SELECT 'feed_overlap' AS stage, f.n AS rows_before, w.n AS rows_after, f.n - w.n AS removed FROM f, w
-UNION ALL SELECT 'test_dedup', w.n + h.n, w.n + h.n, 0 FROM h, w""",
+UNION ALL SELECT 'test_dedup', w.n + h.n, w.d + h.n, w.n - w.d FROM h, w""",
     "label_counts": f"SELECT label, count(*) AS count FROM ({URLS_RAW}) WHERE label IS NOT NULL GROUP BY label",
     "positive_rates": f"""
 SELECT source, count(*) AS n, round(avg(label), 9) AS positive_rate FROM ({SCORED_ITEMS}) GROUP BY source""",
@@ -286,5 +297,41 @@ FROM s""",
     "batch_score": """
 SELECT page_id AS ordinal, url, round(len(regexp_extract_all(url, '[aeiou]')) / length(url)::DOUBLE, 9) AS proba
 FROM pages""",
+    **dict.fromkeys(("ngram_lr", "rf_fit", "gbt_fit", "small_trees_fit", "hybrid_fit", "stacked_on_scores"), LEARNT),
+    "tabular_payload": f"""
+SELECT model, 'ml_results.json' AS source_file, count(*) FILTER (split = 'train') AS n_train,
+       count(*) FILTER (split = 'test') AS n_test, round(avg(label) FILTER (split = 'train'), 9) AS pos_rate_train,
+       round(avg(label) FILTER (split = 'test'), 9) AS pos_rate_test, NULL::VARCHAR AS device, NULL::VARCHAR AS bert_dir,
+       1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1,
+       1.0::DOUBLE AS mcc, 1.0::DOUBLE AS roc_auc, 1.0::DOUBLE AS pr_auc
+FROM ({QUERY_SPLIT}), unnest(['forest', 'boosted']) AS t(model) GROUP BY model""",
+    "hybrid_attack": f"""
+SELECT attack, count(*) AS n_total, 0::BIGINT AS n_missed, 0.0::DOUBLE AS adv_success_rate
+FROM ({QUERY_SPLIT}), unnest(['subdomain', 'tracking', 'encode', 'homoglyph']) AS t(attack)
+WHERE split = 'test' AND label = 1 GROUP BY attack""",
+    "out_of_fold_scores": f"SELECT url, label, true AS scored FROM ({URLS})",
+    "saved_model": f"SELECT url, label, true AS same FROM ({QUERY_SPLIT}) WHERE split = 'test'",
+    "registry_runs": """
+SELECT run_id, run_id NOT LIKE 'run_2025%' AS valid, run_id = 'run_20240506_070809_0002' AS chosen,
+       CAST(count(*) AS INTEGER) AS rows
+FROM pages, unnest(['run_20240506_070809', 'run_20240506_070809_0002', 'run_20250101_000000']) AS t(run_id) GROUP BY run_id""",
+    "stored_features": f"""
+SELECT f.*, s.split FROM ({features(URLS, 'label, source')}) f JOIN ({SPLIT_URLS}) s ON f.url = s.url""",
+    "stored_summary": compared(
+        ("rule_0.3", 0.3), ("rule_0.5", 0.5), ("rule_2.0", 2.0), ("CharTFIDF(2-3)+LogReg", 0.4), ("stack", 0.7)
+    ) + f" UNION ALL SELECT 'DistilBERT', accuracy, f1, NULL, NULL FROM ({rule_metrics(0.6)})",
+    "error_report": f"""
+SELECT error_type, count(*) AS count, round_even(avg(length(url)), 2) AS avg_url_len,
+       round_even(avg(digits), 2) AS avg_n_digits, round_even(avg(params), 2) AS avg_n_params
+FROM (SELECT url, {ERROR_TYPE} AS error_type, len(regexp_extract_all(url, '\\p{{Nd}}')) AS digits,
+             {N_PARAMS} AS params FROM ({SCORED})) GROUP BY error_type""",
+    "feed_overlap_audit": f"""
+WITH c AS (SELECT count(*) AS a, count(url) AS b, count(*) FILTER (url IS NOT NULL AND label IS NOT NULL) AS c,
+                  count(DISTINCT url) FILTER (label IS NOT NULL) AS d FROM ({CLEAN})),
+k AS (SELECT count(*) AS n, count(*) FILTER (url IN (SELECT url FROM ({FEED_RAW}))) AS o FROM ({LABELLED}))
+SELECT 'url_filter' AS stage, a AS rows_before, b AS rows_after, a - b AS removed FROM c
+UNION ALL SELECT 'label_filter', b, c, b - c FROM c
+UNION ALL SELECT 'dedup', c, d, c - d FROM c
+UNION ALL SELECT 'feed_known', n, n - o, o FROM k""",
 }
-
+ORACLES["robustness_report"] = ORACLES["attack_success"]

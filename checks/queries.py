@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.views import feed_raw, links, scored, scored_items, short_url_score, table, urls, urls_raw
-from urlgauge.contracts import require_columns
+from urlgauge.contracts import feature_names, require_columns, require_same_features
 from urlgauge.functions.features import FEATURES, url_features
-from urlgauge.functions.perturb import ATTACKS, HYBRID_MODEL_ATTACK, apply_attack, explode_attacks
+from urlgauge.functions.perturb import ATTACKS, apply_attack, explode_attacks
 from urlgauge.functions.text import binary_label, char_ngrams
 from urlgauge.functions.url import ensure_http, exploration_domain, query_param_count, with_url_parts
-from urlgauge.models.batch import score_batches
-from urlgauge.models.hybrid import attack_hybrid, fit_hybrid
+from urlgauge.models.batch import score_batches, with_batch_scores
+from urlgauge.models.hybrid import attack_hybrid, fit_hybrid, fit_on_scores
 from urlgauge.models.tabular import (
     boosted_small_trees,
     boosted_trees,
@@ -31,10 +34,11 @@ from urlgauge.operators.dedup import keep_first
 from urlgauge.operators.errors import error_profile, top_false_negatives, top_false_positives, with_error_type
 from urlgauge.operators.overlap import common_urls, only_new, overlap_count, union_keep_first
 from urlgauge.operators.split import exact_sample, mark_split, stratified_split
-from urlgauge.plans.pipeline import make_splits, run_meta, train_tabular
+from urlgauge.plans.analysis import analyse_errors, analyse_robustness
+from urlgauge.plans.pipeline import feature_tables, load_audit, make_splits, run_meta, train_tabular
 from urlgauge.session import materialize, work_folder
 from urlgauge.sources.readers import preview, read_feed, read_labelled_csv, read_metrics, read_split
-from urlgauge.sources.registry import latest_valid, list_runs, load_model, run_id, save_run
+from urlgauge.sources.registry import find_model, latest_valid, list_runs, load_model, run_id, save_run
 from urlgauge.sources.writers import (
     markdown_lines,
     read_error_slice,
@@ -42,6 +46,7 @@ from urlgauge.sources.writers import (
     write_error_slices,
     write_payload,
     write_marked,
+    write_summary,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,7 +129,7 @@ def dedup_keep_first_url(spark, sf_dir):
 @query
 def dedup_keep_first_doc(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("text", "doc_id", "lang", "n_chars")
-    return keep_first(docs, "text", "doc_id").select("doc_id", "lang", "n_chars")
+    return keep_first(docs, "text", "doc_id", by_digest=True).select("doc_id", "lang", "n_chars")
 
 
 @query
@@ -236,10 +241,10 @@ def stratified_split_docs(spark, sf_dir):
 
 @query
 def stratified_split_items(spark, sf_dir):
-    """Class sizes and a checksum of the rows chosen from a large table."""
+    """The training rows of a large table."""
     items = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     train, _ = stratified_split(items, label="o_orderstatus", key="o_orderkey")
-    return train.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("checksum"))
+    return train
 
 
 @query
@@ -266,8 +271,10 @@ def full_split(spark, sf_dir):
 
 @query
 def full_split_audit(spark, sf_dir):
+    """A feed with copies, so that the test loses some."""
     labelled = materialize(labelled_urls(urls_raw(spark, sf_dir), source="site"))
-    return make_splits(labelled, materialize(feed_urls(feed_raw(spark, sf_dir), source="feed")), unique=True).audit
+    feed = feed_raw(spark, sf_dir).select("url", F.lit(1).alias("label"), "ordinal", F.lit("feed").alias("source"))
+    return make_splits(labelled, materialize(feed)).audit
 
 
 # --- exploration -----------------------------------------------------------
@@ -434,9 +441,8 @@ def ngram_df(spark, sf_dir):
 
 @query
 def ngram_df_docs(spark, sf_dir):
-    """Whole documents; the test file is one row group, so it is spread first."""
-    cores = spark.sparkContext.defaultParallelism
-    return ngrams.document_frequency(table(spark, sf_dir, "documents"), "text", spread=cores)
+    """Whole documents."""
+    return ngrams.document_frequency(table(spark, sf_dir, "documents"), "text")
 
 
 @query
@@ -459,13 +465,13 @@ def class_weights(spark, sf_dir):
 
 
 def _rule_metrics(spark, sf_dir, *cuts: float) -> DataFrame:
-    test = scored(spark, sf_dir).filter("ordinal % 5 = 0")
+    test = scored(spark, sf_dir)
     rules = F.explode(F.array(*[F.lit(cut) for cut in cuts]))
     ruled = test.withColumn("cut", rules).select(
         F.concat(F.lit("rule_"), F.col("cut").cast("string")).alias("model"),
         "label",
         "proba",
-        (F.col("proba") >= F.col("cut")).cast("int").alias("pred"),
+        metrics.decide(F.col("proba"), F.col("cut")).alias("pred"),
     )
     return metrics.classification_metrics(ruled, score="proba", by=["model"])
 
@@ -476,17 +482,20 @@ def _meta(spark, sf_dir, **extra):
 
 
 def _payloads(spark, sf_dir) -> DataFrame:
-    """Metrics of rule models in the four stored forms."""
+    """Metrics of rule models in the four stored forms; all rules are scored in one run."""
+    measured = materialize(_rule_metrics(spark, sf_dir, 0.3, 0.4, 0.5, 0.6, 0.7, 2.0))
+
+    def rules(*cuts: float) -> DataFrame:
+        return measured.filter(F.col("model").isin(*[f"rule_{cut}" for cut in cuts]))
+
     files = {
-        "ml_results.json": results.several_payload(_rule_metrics(spark, sf_dir, 0.3, 0.5, 2.0), _meta(spark, sf_dir)),
-        "ngram_results.json": results.single_payload(
-            _rule_metrics(spark, sf_dir, 0.4), _meta(spark, sf_dir, n_train_sampled=F.lit(0))
-        ),
-        "bert_results.json": _rule_metrics(spark, sf_dir, 0.6).select(
+        "ml_results.json": results.several_payload(rules(0.3, 0.5, 2.0), _meta(spark, sf_dir)),
+        "ngram_results.json": results.single_payload(rules(0.4), _meta(spark, sf_dir, n_train_sampled=F.lit(0))),
+        "bert_results.json": rules(0.6).select(
             F.to_json(F.struct("accuracy", F.col("f1").cast("string").alias("f1"), F.lit("x").alias("mcc"))).alias("payload")
         ),
         "hybrid_results.json": results.single_payload(
-            _rule_metrics(spark, sf_dir, 0.7),
+            rules(0.7),
             _meta(spark, sf_dir, model_name=F.lit("stack"), device=F.lit("cpu"), bert_model_dir=F.lit("run_1")),
         ),
     }
@@ -560,17 +569,20 @@ def metrics_json_files(spark, sf_dir):
     return rounded(results.comparison(summary), "accuracy", "f1", "roc_auc", "pr_auc")
 
 
-# --- models: rows only, checked by our own tests ---------------------------
-
-_FEW = {"maxIter": 2, "maxDepth": 3}
+# --- models ----------------------------------------------------------------
+# The label is a function of one feature here, so the stated settings must reach every test row.
 
 
 def _feature_split(spark, sf_dir):
-    return stratified_split(materialize(url_features(urls(spark, sf_dir))))
+    """Features of all URLs, labelled by whether they have a query; few rows, so one task fits each tree."""
+    features = url_features(urls(spark, sf_dir)).withColumn("label", (F.col("num_qmark") > 0).cast("int"))
+    train, test = stratified_split(materialize(features))
+    return materialize(train.coalesce(1)), test
 
 
 def _evaluated(scored_df: DataFrame) -> DataFrame:
-    return metrics.classification_metrics(scored_df, score="proba").select("n", *metrics.CELLS, *metrics.METRICS)
+    measured = metrics.classification_metrics(scored_df, score="proba")
+    return rounded(measured.select("n", *metrics.CELLS, *metrics.METRICS), *metrics.METRICS)
 
 
 @query
@@ -583,56 +595,134 @@ def ngram_lr(spark, sf_dir):
 @query
 def rf_fit(spark, sf_dir):
     train, test = _feature_split(spark, sf_dir)
-    return _evaluated(with_prediction(test, fit_tabular(train, random_forest(numTrees=10, maxDepth=8))))
+    return _evaluated(with_prediction(test, fit_tabular(train, random_forest())))
 
 
 @query
 def gbt_fit(spark, sf_dir):
     train, test = _feature_split(spark, sf_dir)
-    return _evaluated(with_prediction(test, fit_tabular(train, boosted_trees(**_FEW))))
+    return _evaluated(with_prediction(test, fit_tabular(train, boosted_trees())))
 
 
 @query
 def small_trees_fit(spark, sf_dir):
     train, test = _feature_split(spark, sf_dir)
-    return _evaluated(with_prediction(test, fit_tabular(train, boosted_small_trees(**_FEW))))
+    return _evaluated(with_prediction(test, fit_tabular(train, boosted_small_trees())))
 
 
 @query
 def tabular_payload(spark, sf_dir):
     train, test = _feature_split(spark, sf_dir)
-    learners = {"forest": random_forest(numTrees=5, maxDepth=5), "boosted": boosted_trees(**_FEW)}
+    learners = {"forest": random_forest(), "boosted": boosted_trees()}
     _, payload = train_tabular(train.drop("source"), test.drop("source"), learners)
-    return results.summarize(payload.withColumn("source_file", F.lit("ml_results.json")))
+    summary = results.summarize(payload.withColumn("source_file", F.lit("ml_results.json")))
+    return rounded(summary, "pos_rate_train", "pos_rate_test", *metrics.METRICS)
 
 
 @query
 def hybrid_fit(spark, sf_dir):
     train, test = _feature_split(spark, sf_dir)
-    model = fit_hybrid(train, fit_text_model(train), boosted_small_trees(**_FEW))
-    return _evaluated(with_prediction(test, model))
+    return _evaluated(with_prediction(test, fit_hybrid(train, fit_text_model(train))))
 
 
 @query
 def hybrid_attack(spark, sf_dir):
+    """Every phishing URL of the test is tried; a query stays a query under each attack."""
     train, test = _feature_split(spark, sf_dir)
-    model = fit_hybrid(train, fit_text_model(train), boosted_small_trees(**_FEW))
+    model = fit_hybrid(train, fit_text_model(train))
     return robustness.success_rates(attack_hybrid(test, model))
 
 
+@query
+def stacked_on_scores(spark, sf_dir):
+    """Trees over the features and the two scores of a NumPy model."""
+
+    # Nested, so that it travels to the Python workers by value.
+    def query_logit():
+        def predict(texts: np.ndarray) -> np.ndarray:
+            return 4.0 * np.char.count(texts.astype(str), "=") - 2.0
+
+        return predict
+
+    train, test = (with_batch_scores(side, query_logit) for side in _feature_split(spark, sf_dir))
+    return _evaluated(with_prediction(test, fit_on_scores(train)))
+
+
 @query
 def out_of_fold_scores(spark, sf_dir):
-    return out_of_fold_text_scores(urls(spark, sf_dir).select("url", "label"), folds=2)
+    scores = out_of_fold_text_scores(urls(spark, sf_dir).select("url", "label"), folds=5)
+    return scores.select("url", "label", F.col("text_proba").between(0, 1).alias("scored"))
 
 
 @query
 def saved_model(spark, sf_dir):
-    """Save a fitted run, find the newest complete one, load it and score."""
+    """Save a fitted run, find the newest complete one, load it: the scores are the same."""
     train, test = _feature_split(spark, sf_dir)
-    root = scratch(spark)
-    save_run(fit_text_model(train), root)
-    assert list_runs(spark, root).count() == 1
-    return with_text_scores(test.select("url", "label"), load_model(spark, root))
+    root, model, rows = scratch(spark), fit_text_model(train), test.select("url", "label")
+    save_run(model, root)
+    before = with_text_scores(rows, model).select("url", F.col("text_logit").alias("was"))
+    after = with_text_scores(rows, load_model(spark, root))
+    return after.join(before, "url").select("url", "label", (F.col("text_logit") == F.col("was")).alias("same"))
+
+
+@query
+def registry_runs(spark, sf_dir):
+    """Two complete runs of one second, a newer half-written one, and the run that is chosen."""
+    root, at = scratch(spark), datetime(2024, 5, 6, 7, 8, 9)
+    model = PipelineModel([VectorAssembler(inputCols=list(FEATURES), outputCol="_inputs")])
+    save_run(model, root, at)
+    save_run(model, root, at)
+    model.write().save(f"{root}/run_20250101_000000")  # never marked as complete
+    chosen = find_model(spark, root).rsplit("/", 1)[-1]
+    scored_rows = load_model(spark, root).transform(url_features(urls(spark, sf_dir))).count()
+    runs = list_runs(spark, root).select("run_id", "valid", (F.col("run_id") == chosen).alias("chosen"))
+    return runs.withColumn("rows", F.lit(scored_rows))
+
+
+# --- plans -----------------------------------------------------------------
+
+
+@query
+def stored_features(spark, sf_dir):
+    """Features of both splits, stored and read again."""
+    train, test = stratified_split(materialize(urls(spark, sf_dir).drop("ordinal")))
+    sides = feature_tables(train, test, scratch(spark))
+    require_same_features(*sides)
+    marked = [side.withColumn("split", F.lit(name)) for name, side in zip(("train", "test"), sides, strict=True)]
+    return marked[0].unionByName(marked[1]).select("url", "label", "source", *feature_names(sides[0]), "split")
+
+
+@query
+def stored_summary(spark, sf_dir):
+    """The comparison table, written in all forms and read from its CSV."""
+    path = scratch(spark)
+    write_summary(results.comparison(_summary(spark, sf_dir)), path, [F.desc_nulls_last("f1"), F.asc("model")])
+    table_ = spark.read.option("header", True).option("inferSchema", True).csv(f"{path}/summary_csv")
+    return rounded(table_, "accuracy", "f1", "roc_auc", "pr_auc")
+
+
+@query
+def error_report(spark, sf_dir):
+    """Counts and profiles of the error classes of a stored analysis."""
+    test = urls(spark, sf_dir)
+    report = analyse_errors(test, lambda df: scored(spark, sf_dir).select(*df.columns, "proba", "pred"), scratch(spark))
+    return report.counts.join(report.profile, "error_type")
+
+
+@query
+def robustness_report(spark, sf_dir):
+    report = analyse_robustness(urls(spark, sf_dir), short_url_score)
+    return rounded(report.rates, "adv_success_rate")
+
+
+@query
+def feed_overlap_audit(spark, sf_dir):
+    """What loading keeps, drops and shares, as the full run stores it."""
+    folder = scratch(spark)
+    raw, feed = urls_raw(spark, sf_dir), feed_urls(feed_raw(spark, sf_dir), source="feed")
+    rows = load_audit(raw, labelled_urls(raw), feed)
+    rows.write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 @query
@@ -640,7 +730,8 @@ def batch_score(spark, sf_dir):
     # Nested, so that it travels to the Python workers by value.
     def vowel_share():
         def predict(texts: np.ndarray) -> np.ndarray:
-            return np.array([sum(text.count(v) for v in "aeiou") / max(len(text), 1) for text in texts])
+            texts = texts.astype(str)
+            return sum(np.char.count(texts, v) for v in "aeiou") / np.maximum(np.char.str_len(texts), 1)
 
         return predict
 

@@ -1,5 +1,7 @@
 """The derived tables of :mod:`checks.views` as SQL text."""
 
+from urlgauge.functions.features import KEYWORDS as WORDS
+
 URLS = """
 SELECT page_id AS ordinal, url, CASE WHEN url LIKE 'http://%' THEN 1 ELSE 0 END AS label, 'site' AS source
 FROM pages"""
@@ -26,9 +28,8 @@ SELECT url, arg_min(label, ordinal) AS label, min(ordinal) AS ordinal
 FROM ({CLEAN}) WHERE url IS NOT NULL AND label IS NOT NULL GROUP BY url"""
 
 FEED_RAW = f"""
-SELECT url, ordinal FROM ({URLS}) WHERE ordinal % 7 = 0
-UNION ALL SELECT url || '/feed', ordinal FROM ({URLS}) WHERE ordinal % 7 = 1
-UNION ALL SELECT url || '/feed', ordinal + 1000000000 FROM ({URLS}) WHERE ordinal % 14 = 8"""
+SELECT CASE WHEN ordinal % 7 = 0 THEN url ELSE url || '/feed' END AS url, ordinal FROM ({URLS})
+UNION ALL SELECT url || '/feed', ordinal + 1000000000 FROM ({URLS}) WHERE ordinal % 7 <> 0 AND ordinal % 2 = 0"""
 
 FEED = f"SELECT url, 1 AS label, min(ordinal) AS ordinal, 'feed' AS source FROM ({FEED_RAW}) GROUP BY url"
 
@@ -72,8 +73,6 @@ def _found(text: str, pattern: str) -> str:
     return f"CAST(len(regexp_extract_all({text}, '{pattern}')) AS INTEGER)"
 
 
-WORDS = ("login", "verify", "secure", "update", "account", "bank", "paypal", "confirm", "free")
-
 FEATURE_COLUMNS = ", ".join(
     [
         "CAST(length(url) AS INTEGER) AS url_len",

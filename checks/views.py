@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlgauge.functions.features import count_char, count_digits
+from urlgauge.operators.metrics import decide
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,13 +45,12 @@ def urls_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some known URLs, some new ones, and repeats of the new ones."""
-    base = urls(spark, sf_dir).select("url", "ordinal")
+    """A row for every page: some known URLs, new ones for the others, and repeats of half of these."""
     n = F.col("ordinal")
-    known = base.filter(n % 7 == 0)
-    new = base.filter(n % 7 == 1).withColumn("url", F.concat("url", F.lit("/feed")))
-    again = new.filter(n % 2 == 0).withColumn("ordinal", n + 1000000000)
-    return known.unionByName(new).unionByName(again)
+    url = F.when(n % 7 == 0, F.col("url")).otherwise(F.concat("url", F.lit("/feed")))
+    rows = urls(spark, sf_dir).select(url.alias("url"), "ordinal")
+    again = rows.filter((n % 7 != 0) & (n % 2 == 0)).withColumn("ordinal", n + 1000000000)
+    return rows.unionByName(again)
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = count_digits(url) / F.lit(12.0) + F.lit(0.25) * count_char(url, "?") + F.lit(0.2) * F.col("label")
     proba = F.round(F.least(F.lit(1.0), score), 2)
     return urls(spark, sf_dir).withColumn("proba", proba).withColumn(
-        "pred", (F.col("proba") >= 0.5).cast("int")
+        "pred", decide(F.col("proba"), 0.5)
     )
 
 
@@ -85,5 +85,5 @@ def scored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def short_url_score(df: DataFrame) -> DataFrame:
     """A detector that trusts long URLs, so padding a URL fools it."""
     return df.withColumn("proba", 1 - F.length("url") / F.lit(100.0)).withColumn(
-        "pred", (F.col("proba") >= 0.5).cast("int")
+        "pred", decide(F.col("proba"), 0.5)
     )

@@ -93,9 +93,9 @@ def test_vectors_equal_the_long_table(spark, tables):
     assert all(wide[k] == pytest.approx(long[k]) for k in wide)
 
 
-def test_vocabulary_limit_is_an_error_not_a_cut(tables):
-    with pytest.raises(ValueError, match="more than 10 n-grams"):
-        fit_vectorizer(tables[0], max_vocabulary=10)
+def test_fit_rows_bound_the_vocabulary(tables):
+    few, all_ = (fit_text_model(tables[0], max_iter=2, rows=rows).stages[1].vocabulary for rows in (20, None))
+    assert set(few) < set(all_)
     with pytest.raises(ValueError, match="no n-gram"):
         fit_vectorizer(tables[0], min_df=10_000)
 
@@ -181,7 +181,7 @@ def test_full_run_on_files(spark, tmp_path):
         boosted_small_trees(maxIter=1),
     )
     rows = {r["model"]: r for r in summary.collect()}
-    assert set(rows) == {"forest", "CharTFIDF(2-3)+LogReg", "Hybrid(LGBM+BERT)"}
+    assert set(rows) == {"forest", "CharTFIDF(2-3)+LogReg", "Stacked(trees+ngrams)"}
     slices = {(r["model"], r["source"]): r for r in spark.read.parquet(str(tmp_path / "run/metrics_by_source")).collect()}
     assert {source for _, source in slices} == {"github", "openphish"}
     assert slices["Hybrid", "openphish"]["roc_auc"] is None and slices["Hybrid", "openphish"]["recall"] > 0.9

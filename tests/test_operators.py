@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+from collections import Counter
 import random
 
 import pytest
@@ -213,11 +214,31 @@ def test_sample_sizes(spark):
     assert exact_sample(df, 5000).count() == 100
 
 
-def test_straddling_copies_are_an_error_and_a_wider_key_helps(spark):
-    df = spark.range(60).select(F.lit("same").alias("url"), F.col("id").alias("ordinal"))
-    with pytest.raises(ValueError, match="copies of one key"):
-        exact_sample(df, 20)
-    assert exact_sample(df, 20, key=["url", "ordinal"]).count() == 20
+@pytest.mark.parametrize("small", [10_000, 2])
+def test_repeated_keys_get_a_tie_break(spark, monkeypatch, small):
+    from urlgauge.operators import split
+
+    monkeypatch.setattr(split, "_SMALL", small)
+    rows = [(f"u{i // 3}", i % 2, i if i % 6 else None) for i in range(300)] + [("same", 1, 7)] * 100
+    df = spark.createDataFrame(rows, "url string, label int, ordinal int")
+    for size in (0, 1, 50, 151, 399, 400):
+        sample = [tuple(r) for r in split.exact_sample(df, size).collect()]
+        assert len(sample) == size and not Counter(sample) - Counter(rows)
+        again = [tuple(r) for r in split.exact_sample(df.repartition(7), size).collect()]
+        assert Counter(again) == Counter(sample)
+    marked = split.mark_split(df, 0.8)
+    parts = Counter(r["split"] for r in marked.collect())
+    assert parts == {"train": 320, "test": 80}
+    assert Counter(tuple(r)[:3] for r in marked.collect()) == Counter(rows)
+
+
+def test_a_column_with_many_values_is_no_class(spark, monkeypatch):
+    from urlgauge.operators import split
+
+    monkeypatch.setattr(split, "MAX_CLASSES", 3)
+    df = spark.range(40).select(F.col("id").cast("string").alias("url"), (F.col("id") % 10).alias("label"))
+    with pytest.raises(ValueError, match="no class label"):
+        split.mark_split(df)
 
 
 def test_split_plan_has_no_shuffle(spark):

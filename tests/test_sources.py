@@ -1,6 +1,7 @@
 """Readers, writers, registry and results consolidation on files."""
 
 import json
+import shutil
 from datetime import datetime
 
 import pytest
@@ -86,10 +87,16 @@ def test_registry_picks_the_newest_complete_run(spark, tmp_path):
         registry.find_model(spark, root)
     registry.save_run(model, root, datetime(2024, 1, 2, 3, 4, 5))
     newest = registry.save_run(model, root, datetime(2024, 10, 1))
-    (tmp_path / "models" / "run_20250101_000000").mkdir()
+    # an interrupted save: a pipeline's metadata is committed before its stages
+    half = tmp_path / "models" / "run_20250101_000000"
+    shutil.copytree(f"{newest}/metadata", half / "metadata")
+    again = registry.save_run(model, root, datetime(2024, 1, 2, 3, 4, 5))
+    assert again.endswith("run_20240102_030405_0002") and registry.is_complete(spark, again)
     assert registry.find_model(spark, root).endswith(newest.rsplit("/", 1)[-1])
     flags = {r["run_id"]: r["valid"] for r in registry.list_runs(spark, root).collect()}
-    assert flags == {"run_20240102_030405": True, "run_20241001_000000": True, "run_20250101_000000": False}
+    assert flags == {
+        "run_20240102_030405": True, "run_20240102_030405_0002": True, "run_20241001_000000": True, "run_20250101_000000": False,
+    }
     assert registry.find_model(spark, newest) == newest  # a model folder given as the root
     with pytest.raises(FileNotFoundError, match="complete"):
         registry.find_model(spark, root, f"{root}/run_20250101_000000")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -25,3 +26,17 @@ def score_batches(
     """
     predict = predict_batch_udf(make_predict, return_type=result or T.DoubleType(), batch_size=batch_size)
     return df.withColumn(into, predict(column))
+
+
+def with_batch_scores(
+    df: DataFrame,
+    make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]],
+    column: str = "url",
+    batch_size: int = 64,
+) -> DataFrame:
+    """Add ``text_logit`` and ``text_proba`` of a model that predicts logits.
+
+    One pass through Python; the probability is computed beside it.
+    """
+    scored = score_batches(df, make_predict, column, "text_logit", batch_size)
+    return scored.withColumn("text_proba", 1 / (1 + F.exp(-F.col("text_logit"))))

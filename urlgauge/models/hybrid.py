@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame
@@ -16,8 +18,8 @@ from urlgauge.operators.robustness import attack_detected
 from urlgauge.operators.split import exact_sample
 from urlgauge.session import materialize
 
-# Row limits for stacked training, its test and the attack test.
-TRAIN_ROWS, TEST_ROWS, ATTACK_ROWS = 20_000, 50_000, 2_000
+# Labelled rows a stacked model is fitted on at most; tests and attacks take every row.
+TRAIN_ROWS = 20_000
 
 TEXT_SCORES = ("text_logit", "text_proba")
 
@@ -34,7 +36,8 @@ def fit_hybrid(
 
     ``train`` is a feature table with ``url`` and ``label``.  The result contains
     the text model, so it scores feature tables on its own and can be saved as
-    one pipeline.  With ``folds`` the training scores are out of fold instead of
+    one pipeline.  ``rows`` bounds the labelled rows of the fit: an exact sample of
+    that many by a hash of the URL, ``None`` for all.  With ``folds`` the training scores are out of fold instead of
     in sample.
     """
     learner = boosted_small_trees() if learner is None else learner
@@ -54,6 +57,26 @@ def fit_hybrid(
     return PipelineModel([*prepared.stages, trees])
 
 
+def fit_on_scores(
+    train: DataFrame,
+    learner: Estimator | None = None,
+    rows: int | None = TRAIN_ROWS,
+    scores: Sequence[str] = TEXT_SCORES,
+    seed: int = 42,
+) -> PipelineModel:
+    """Fit boosted trees on 22 features and two scores that ``train`` already has.
+
+    The scores may come from any model, such as one of your own run by
+    :func:`urlgauge.models.batch.with_batch_scores`; tables to be scored need them, too.
+    ``rows`` bounds the labelled rows of the fit as in :func:`fit_hybrid`.
+    """
+    learner = boosted_small_trees() if learner is None else learner
+    sample = train if rows is None else exact_sample(train, rows, "url", seed)
+    assembler = VectorAssembler(inputCols=[*FEATURES, *scores], outputCol=INPUT)
+    vectors = materialize(assembler.transform(sample).select("label", INPUT))
+    return PipelineModel([assembler, learner.fit(vectors)])
+
+
 def score_urls(df: DataFrame, model: PipelineModel, threshold: float | None = None) -> DataFrame:
     """Add ``pred`` and ``proba`` to a table with a ``url`` column.
 
@@ -77,11 +100,15 @@ def score_urls(df: DataFrame, model: PipelineModel, threshold: float | None = No
 def attack_hybrid(
     test: DataFrame,
     model: PipelineModel,
-    rows: int = ATTACK_ROWS,
+    rows: int | None = None,
     text: AttackText = HYBRID_MODEL_ATTACK,
     threshold: float = 0.5,
     seed: int = 42,
 ) -> DataFrame:
-    """Perturb a sample of detected phishing URLs and score all variants again."""
-    positives = exact_sample(test.filter("label = 1").select("url", "label"), rows, "url", seed)
+    """Perturb the detected phishing URLs and score all variants again.
+
+    ``rows`` asks for an exact sample of the phishing URLs; by default all are tried.
+    """
+    positives = test.filter("label = 1").select("url", "label")
+    positives = positives if rows is None else exact_sample(positives, rows, "url", seed)
     return attack_detected(positives, lambda df: score_urls(df, model, threshold), text)

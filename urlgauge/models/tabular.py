@@ -33,7 +33,7 @@ def boosted_trees(**changes) -> GBTClassifier:
     """300 rounds of depth 7, each on 80 % of the rows and columns."""
     settings = dict(
         maxIter=300, maxDepth=7, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-        maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10,
+        maxBins=256, maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10,
     )
     return GBTClassifier(**{**_COMMON, **settings, **changes})
 
@@ -41,7 +41,8 @@ def boosted_trees(**changes) -> GBTClassifier:
 def boosted_small_trees(**changes) -> GBTClassifier:
     """500 slow rounds of trees with up to 64 leaves."""
     settings = dict(
-        maxIter=500, maxDepth=6, stepSize=0.05, maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10
+        maxIter=500, maxDepth=6, stepSize=0.05, maxBins=256, maxMemoryInMB=1024, cacheNodeIds=True,
+        checkpointInterval=10,
     )
     return GBTClassifier(**{**_COMMON, **settings, **changes})
 

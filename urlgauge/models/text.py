@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from urlgauge.functions.text import char_ngrams_sql
 from urlgauge.operators.ngrams import class_weights, document_frequency, idf
+from urlgauge.operators.split import exact_sample
+from urlgauge.session import materialize
 
 # N-gram sizes, document-frequency cut, iteration limit, tolerance.
 LOW, HIGH, MIN_DF, MAX_ITER, TOLERANCE = 2, 3, 2, 2000, 1e-4
 
-# A linear model keeps a weight per gram on the driver, so the vocabulary has to
-# fit there.  Beyond this many grams we stop rather than drop some.
-MAX_VOCABULARY = 1 << 22
+# Labelled rows a text model is fitted on at most.  A linear model keeps a weight
+# per gram on the driver, and the rows of the fit bound the grams there can be.
+FIT_ROWS = 500_000
 
 GRAMS, COUNTS, SCALED, VECTOR = "_grams", "_gram_counts", "_gram_scaled", "_gram_vector"
 
@@ -29,22 +31,19 @@ def fit_vectorizer(
     low: int = LOW,
     high: int = HIGH,
     min_df: int = MIN_DF,
-    max_vocabulary: int = MAX_VOCABULARY,
     documents: int | None = None,
 ) -> list[Transformer]:
     """Stages turning ``text`` into an L2-normalised TF-IDF vector.
 
-    Document frequencies come from one aggregate; only the vocabulary itself,
-    whose size is checked, reaches the driver.  Transforming is map-side.
+    Document frequencies come from one aggregate; only the vocabulary itself, which
+    the rows of ``train`` bound, reaches the driver.  Transforming is map-side.
     """
     documents = train.count() if documents is None else documents
     frequency = document_frequency(train, text, low, high, min_df)
     weighted = frequency.select("gram", idf(F.col("df"), F.lit(documents)).alias("idf"))
-    rows = weighted.limit(max_vocabulary + 1).collect()
+    rows = weighted.collect()
     if not rows:
         raise ValueError(f"no n-gram occurs in {min_df} or more texts")
-    if len(rows) > max_vocabulary:
-        raise ValueError(f"more than {max_vocabulary} n-grams; raise min_df or max_vocabulary")
     rows.sort(key=lambda row: row["gram"])
     return [
         SQLTransformer(statement=f"SELECT *, {char_ngrams_sql(text, low, high)} AS {GRAMS} FROM __THIS__"),
@@ -61,26 +60,32 @@ def fit_text_model(
     text: str = "url",
     label: str = "label",
     max_iter: int = MAX_ITER,
+    rows: int | None = FIT_ROWS,
+    seed: int = 42,
     **vectorizer,
 ) -> PipelineModel:
     """Vectoriser and classifier as one savable pipeline.
 
     Balanced weights add up to the row count, so an L2 strength of 1/rows is the
-    usual C = 1.  The intercept is left out of the penalty.
+    usual C = 1.  The intercept is left out of the penalty.  ``rows`` bounds the
+    labelled rows of the fit: an exact sample by a hash of the text, ``None`` for
+    all.  Texts and vectors are stored once, for the several passes of the fit.
     """
-    narrow = train.select(text, label)
+    narrow = materialize(train.select(text, label))
+    narrow = narrow if rows is None else exact_sample(narrow, rows, text, seed)
     classes = class_weights(narrow, label).collect()
-    rows = sum(row["n"] for row in classes)
-    stages = fit_vectorizer(narrow, text, documents=rows, **vectorizer)
+    fitted = sum(row["n"] for row in classes)
+    stages = fit_vectorizer(narrow, text, documents=fitted, **vectorizer)
     weight = F.lit(None).cast("double")
     for row in classes:
         weight = F.when(F.col(label) == row[label], row["weight"]).otherwise(weight)
     vectors = PipelineModel(stages).transform(narrow).select(VECTOR, label, weight.alias("_weight"))
+    vectors = materialize(vectors)
     classifier = LogisticRegression(
         featuresCol=VECTOR,
         labelCol=label,
         weightCol="_weight",
-        regParam=1.0 / rows,
+        regParam=1.0 / fitted,
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
@@ -111,7 +116,7 @@ def out_of_fold_text_scores(
     Folds follow a hash of the key.  One model per fold; the passes are inherent.
     """
     fold = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds))
-    marked = train.withColumn("_fold", fold)
+    marked = materialize(train.withColumn("_fold", fold))
     parts = [
         with_text_scores(
             marked.filter(F.col("_fold") == k).drop("_fold"),

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlgauge.functions.text import char_ngrams
-from urlgauge.session import broadcast_if_small, materialize
+from urlgauge.session import broadcast_if_small, materialize, text_bytes
+
+TASK_BYTES = 4 << 20  # of text that one task cuts into grams
 
 
 def gram_counts(df: DataFrame, key: str, text: str, low: int = 2, high: int = 3) -> DataFrame:
@@ -18,28 +20,26 @@ def gram_counts(df: DataFrame, key: str, text: str, low: int = 2, high: int = 3)
 
     ``key`` identifies texts.  The short rows are shuffled before they grow a
     hundredfold: once texts are spread by key, counting - and any later window by
-    key - stays in place.  The number of partitions is fixed, because adaptive
-    merging would judge them by their size before the growth.
+    key - stays in place.  The number of partitions follows the measured size of
+    the texts, because adaptive merging would judge them by their size before the
+    growth.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = text_bytes(df, text)
+    partitions = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
     spread = df.select(key, text).repartition(partitions, key)
     grams = spread.select(key, F.explode(char_ngrams(text, low, high)).alias("gram"))
     return grams.groupBy(key, "gram").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(
-    df: DataFrame, text: str, low: int = 2, high: int = 3, min_df: int = 2, spread: int = 0
+    df: DataFrame, text: str, low: int = 2, high: int = 3, min_df: int = 2
 ) -> DataFrame:
     """``gram, df`` for grams found in at least ``min_df`` texts.
 
-    Grams every text has are combined before the shuffle.  Input that comes in
-    very few row groups can be spread over ``spread`` tasks first; large tables
-    have tasks enough, and need no shuffle there.
+    Grams every text has are combined before the shuffle; the texts themselves do
+    not move.
     """
-    texts = df.select(text)
-    if spread:
-        texts = texts.repartition(spread)
-    grams = texts.select(F.explode(F.array_distinct(char_ngrams(text, low, high))).alias("gram"))
+    grams = df.select(F.explode(F.array_distinct(char_ngrams(text, low, high))).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
 
 

@@ -8,8 +8,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ONE_TASK = 100_000  # values that may be ordered in a single task
-MAX_BUCKETS = 100_000
+ONE_TASK = 1_000_000  # values that may be ordered in a single task; windows spill
+MAX_BUCKETS = 2_000
+LEAST_ERROR = 1e-4  # of the quantiles, so that a task's summary holds some 10,000 values at most
 
 
 def value_bounds(df: DataFrame, value: str, one_task: int = ONE_TASK) -> list[float]:
@@ -25,7 +26,7 @@ def value_bounds(df: DataFrame, value: str, one_task: int = ONE_TASK) -> list[fl
     usable = df.select(F.when(~F.isnan(number), number).alias("v")).na.drop()
     buckets = min(MAX_BUCKETS, -(-rows // one_task))
     cuts = [i / buckets for i in range(1, buckets)]
-    return sorted(set(usable.approxQuantile("v", cuts, 1 / (4 * buckets))))
+    return sorted(set(usable.approxQuantile("v", cuts, max(1 / (4 * buckets), LEAST_ERROR))))
 
 
 def with_running_totals(

@@ -11,15 +11,15 @@ from urlgauge.functions.perturb import ATTACKS, TEXT_MODEL_ATTACK, AttackText, e
 
 
 def success_rates(scored: DataFrame, pred: str = "pred", attacks: Sequence[str] = ATTACKS) -> DataFrame:
-    """``attack, n_total, n_missed, adv_success_rate`` for every attack asked about.
+    """``attack, n_total, n_missed, adv_success_rate`` for every attack asked about, in their order.
 
     An attack without rows is reported with a rate of 0.
     """
     counts = scored.groupBy("attack").agg(
         F.count("*").alias("n_total"), F.count_if(F.col(pred) == 0).alias("n_missed")
     )
-    names = scored.sparkSession.createDataFrame([(a,) for a in attacks], "attack string")
-    return names.join(counts, "attack", "left").select(
+    names = scored.sparkSession.createDataFrame(list(enumerate(attacks)), "_place int, attack string")
+    return names.join(counts, "attack", "left").orderBy("_place").select(
         "attack",
         F.coalesce("n_total", F.lit(0)).alias("n_total"),
         F.coalesce("n_missed", F.lit(0)).alias("n_missed"),

@@ -5,6 +5,10 @@ Rather than rank rows, we look for the k-th smallest hash: histograms of ever
 longer hash prefixes close in on it until few rows are left.  The sample is
 then a plain filter ``hash <= cut`` - narrow, without shuffle, and the same rows
 for any partitioning of the input.
+
+Rows that share a key follow each other by a hash of all their columns.  Only
+copies that agree in every column can meet at the cut; as they are the same row,
+one of them is written out as often as it is wanted on either side.
 """
 
 from __future__ import annotations
@@ -18,9 +22,10 @@ from pyspark.sql import functions as F
 SEED = 42
 
 _DIGITS = 4  # hex digits per histogram: 65,536 buckets
-_FULL = 32  # hex digits of an MD5 hash
+_FULL = 48  # hex digits: an MD5 hash of the key and 64 bits of the whole row
 _SMALL = 10_000  # rows per stratum that one aggregate may hold
 _LOCAL = 100_000  # strata that may be broadcast
+MAX_CLASSES = 100_000  # a column with more values is no class label
 _NONE, _ALL = "", "~"  # below and above every hex text
 
 
@@ -35,7 +40,9 @@ def _as_list(key: str | Sequence[str]) -> list[str]:
 
 def _keyed(df: DataFrame, keys: list[str], stratum: str | None, seed: int) -> DataFrame:
     group = F.lit("") if stratum is None else F.coalesce(F.col(stratum).cast("string"), F.lit("\0"))
-    return df.withColumns({"_h": hash_order(seed, keys), "_s": group})
+    plain = [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
+    whole = F.lpad(F.lower(F.hex(F.xxhash64(*plain))), 16, "0")
+    return df.withColumns({"_h": F.concat(hash_order(seed, keys), whole), "_s": group})
 
 
 def _with_strata(df: DataFrame, rows: list[tuple], columns: str) -> DataFrame:
@@ -58,51 +65,48 @@ def _boundary(counts: DataFrame, wanted: dict[str, int]) -> dict[str, tuple[str,
     return {r["_s"]: (r["_p"], r["_upto"] - r["_n"], r["_n"]) for r in hit.collect()}
 
 
-def _cuts(keyed: DataFrame, counts: DataFrame, wanted: dict[str, int]) -> dict[str, str]:
-    """Per stratum the wanted-th smallest hash."""
+def _cuts(keyed: DataFrame, counts: DataFrame, wanted: dict[str, int]) -> dict[str, tuple[str, int, int]]:
+    """Per stratum the wanted-th smallest hash, how many of its rows are wanted, and how many there are."""
     digits, left = _DIGITS, dict(wanted)
-    done: dict[str, tuple[str, int]] = {}
+    done: dict[str, tuple[str, int, int]] = {}
     while left:
         found = _boundary(counts, left)
         left = {s: left[s] - before for s, (_, before, _) in found.items()}
         ready = {s for s, (_, _, n) in found.items() if n <= _SMALL or digits >= _FULL}
-        stuck = [s for s in ready if found[s][2] > _SMALL and found[s][2] != left[s]]
-        if stuck:
-            raise ValueError(_not_unique())
-        done.update({s: (found[s][0], left[s]) for s in ready})
+        done.update({s: (found[s][0], left[s], found[s][2]) for s in ready})
         left = {s: k for s, k in left.items() if s not in ready}
         if left:
             digits += _DIGITS
             open_rows = [(s, found[s][0]) for s in left]
             inside = _with_strata(keyed, open_rows, "_q string").filter(F.startswith("_h", "_q"))
             counts = _prefix_counts(inside, digits)
-    rows = [(s, prefix, k) for s, (prefix, k) in done.items() if len(prefix) < _FULL]
-    cuts = {s: prefix for s, (prefix, _) in done.items() if len(prefix) >= _FULL}
+    rows = [(s, prefix, k) for s, (prefix, k, _) in done.items() if len(prefix) < _FULL]
+    cuts = {s: cut for s, cut in done.items() if len(cut[0]) >= _FULL}
     if rows:
         near = _with_strata(keyed, rows, "_q string, _k bigint").filter(F.startswith("_h", "_q"))
         ranked = near.groupBy("_s", "_k").agg(F.array_sort(F.collect_list("_h")).alias("_hs"))
-        picked = ranked.select(
+        picked = ranked.withColumn("cut", F.element_at("_hs", F.col("_k").cast("int"))).select(
             "_s",
-            F.element_at("_hs", F.col("_k").cast("int")).alias("cut"),
-            F.get("_hs", F.col("_k").cast("int")).alias("next"),
-        ).collect()
-        if any(r["cut"] == r["next"] for r in picked):
-            raise ValueError(_not_unique())
-        cuts.update({r["_s"]: r["cut"] for r in picked})
+            "cut",
+            (F.col("_k") - F.size(F.filter("_hs", lambda h: h < F.col("cut")))).alias("take"),
+            F.size(F.filter("_hs", lambda h: h == F.col("cut"))).alias("have"),
+        )
+        cuts.update({r["_s"]: (r["cut"], r["take"], r["have"]) for r in picked.collect()})
     return cuts
 
 
-def _not_unique() -> str:
-    return (
-        "copies of one key straddle the cut, so an exact size is ambiguous: "
-        "de-duplicate first or add columns to the key until it identifies rows"
-    )
+def _copies(keyed: DataFrame, cuts: dict[str, tuple[str, int, int]], side: int) -> DataFrame:
+    """Copies of the rows at the cuts: those wanted (side 0) or those left over (side 1)."""
+    rows = [(s, cut, take if side == 0 else have - take) for s, (cut, take, have) in cuts.items()]
+    at = _with_strata(keyed, rows, "_cut string, _n bigint").filter("_h = _cut and _n > 0")
+    one = at.groupBy("_s").agg(F.first(F.struct(*[c for c in at.columns if c != "_s"])).alias("_r"))
+    return one.select("_r.*", F.explode(F.array_repeat(F.lit(1), F.col("_r._n").cast("int"))))
 
 
 def exact_sample(df: DataFrame, size: int, key: str | Sequence[str] = "url", seed: int = SEED) -> DataFrame:
     """Exactly ``size`` rows without replacement; ``df`` itself if it is not larger.
 
-    ``key`` must identify rows.  Runs jobs when called; give it a stored table.
+    Runs jobs when called; give it a stored table.
     """
     if size < 0:
         raise ValueError(f"negative sample size: {size}")
@@ -112,10 +116,13 @@ def exact_sample(df: DataFrame, size: int, key: str | Sequence[str] = "url", see
         total = counts.agg(F.sum("_n")).first()[0] or 0
         if total <= size:
             return df
-        cut = _cuts(keyed, counts, {"": size})[""] if size else _NONE
+        cuts = _cuts(keyed, counts, {"": size}) if size else {"": (_NONE, 0, 0)}
     finally:
         counts.unpersist()
-    return keyed.filter(F.col("_h") <= cut).select(*df.columns)
+    cut, take, have = cuts[""]
+    if take == have:
+        return keyed.filter(F.col("_h") <= cut).select(*df.columns)
+    return keyed.filter(F.col("_h") < cut).select(*df.columns).union(_copies(keyed, cuts, 0).select(*df.columns))
 
 
 def class_quotas(totals: dict[str, int], size: int) -> dict[str, int]:
@@ -148,7 +155,10 @@ def mark_split(
     keyed = _keyed(df, _as_list(key), label, seed)
     counts = _prefix_counts(keyed, _DIGITS).persist()
     try:
-        totals = {r["_s"]: r["n"] for r in counts.groupBy("_s").agg(F.sum("_n").alias("n")).collect()}
+        sizes = counts.groupBy("_s").agg(F.sum("_n").alias("n")).limit(MAX_CLASSES + 1).collect()
+        if len(sizes) > MAX_CLASSES:
+            raise ValueError(f"{label} has more than {MAX_CLASSES} values, so it is no class label")
+        totals = {r["_s"]: r["n"] for r in sizes}
         if not totals or min(totals.values()) < 2:
             raise ValueError(f"every class needs at least two rows to be split: {totals}")
         everything = sum(totals.values())
@@ -156,13 +166,18 @@ def mark_split(
         if min(size, everything - size) < len(totals):
             raise ValueError(f"too few rows ({everything}) to split {len(totals)} classes")
         quota = class_quotas(totals, size)
-        cuts = {s: _NONE if k == 0 else _ALL for s, k in quota.items()}
+        cuts = {s: (_NONE if k == 0 else _ALL, 0, 0) for s, k in quota.items()}
         cuts.update(_cuts(keyed, counts, {s: k for s, k in quota.items() if 0 < k < totals[s]}))
     finally:
         counts.unpersist()
-    marked = _with_strata(keyed, list(cuts.items()), "_cut string")
+    marked = _with_strata(keyed, [(s, cut) for s, (cut, _, _) in cuts.items()], "_cut string")
     split = F.when(F.col("_h") <= F.col("_cut"), "train").otherwise("test")
-    return marked.select(*df.columns, split.alias("split"))
+    divided = {s: cut for s, cut in cuts.items() if cut[1] < cut[2]}
+    if not divided:
+        return marked.select(*df.columns, split.alias("split"))
+    whole = marked.filter((F.col("_h") != F.col("_cut")) | ~F.col("_s").isin(*divided))
+    parts = [_copies(keyed, divided, side).select(*df.columns, F.lit(name).alias("split")) for side, name in enumerate(("train", "test"))]
+    return whole.select(*df.columns, split.alias("split")).union(parts[0]).union(parts[1])
 
 
 def stratified_split(df: DataFrame, *args, **options) -> tuple[DataFrame, DataFrame]:

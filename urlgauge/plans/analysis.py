@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from urlgauge.functions.perturb import TEXT_MODEL_ATTACK, AttackText
-from urlgauge.models.hybrid import ATTACK_ROWS
 from urlgauge.operators.errors import error_profile, top_false_negatives, top_false_positives, with_error_type
 from urlgauge.operators.explore import value_counts
 from urlgauge.operators.robustness import attack_detected, missed_examples, success_rates
@@ -59,12 +58,13 @@ class RobustnessReport:
 def analyse_robustness(
     test: DataFrame,
     score: Score,
-    rows: int = ATTACK_ROWS,
+    rows: int | None = None,
     text: AttackText = TEXT_MODEL_ATTACK,
     seed: int = SEED,
 ) -> RobustnessReport:
-    """Perturb a sample of detected positives; ``score`` adds ``pred`` and ``proba``."""
-    positives = exact_sample(test.filter("label = 1").select("url", "label"), rows, seed=seed)
+    """Perturb the detected positives, or ``rows`` of the positives; ``score`` adds ``pred`` and ``proba``."""
+    positives = test.filter("label = 1").select("url", "label")
+    positives = positives if rows is None else exact_sample(positives, rows, seed=seed)
     attacked = materialize(attack_detected(positives, score, text))
     columns = ["attack", "url_orig", "url_adv", "proba"]
     return RobustnessReport(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from urlgauge.contracts import require_columns, require_same_features
 from urlgauge.functions.features import FEATURES, url_features
-from urlgauge.models.hybrid import TEST_ROWS, TEXT_SCORES, TRAIN_ROWS, fit_hybrid
+from urlgauge.models.hybrid import TEXT_SCORES, TRAIN_ROWS, fit_hybrid
 from urlgauge.models.tabular import (
     boosted_small_trees,
     boosted_trees,
@@ -26,9 +26,9 @@ from urlgauge.models.tabular import (
     with_prediction,
 )
 from urlgauge.models.text import HIGH, LOW, MIN_DF, fit_text_model, with_text_scores
-from urlgauge.operators.clean import audit_table, feed_urls, labelled_urls, row_counts
+from urlgauge.operators.clean import audit_labelled, audit_table, feed_urls, labelled_urls, row_counts
 from urlgauge.operators.metrics import classification_metrics
-from urlgauge.operators.overlap import only_new, union_keep_first
+from urlgauge.operators.overlap import only_new, overlap_count, union_keep_first
 from urlgauge.operators.results import require_rows, several_payload, single_payload, summarize, summary_order
 from urlgauge.operators.split import SEED, exact_sample, mark_split
 from urlgauge.session import materialize
@@ -86,13 +86,24 @@ def make_splits(
     return Splits(united, audit)
 
 
+def load_audit(raw: DataFrame, labelled: DataFrame, feed: DataFrame) -> DataFrame:
+    """``stage, rows_before, rows_after, removed`` of each cleaning step of ``raw``, and
+    as ``feed_known`` how many of the URLs in ``labelled`` the feed has, too."""
+    shared = overlap_count(labelled, feed).withColumn("all", F.lit(labelled.count())).withColumn(
+        "others", F.col("all") - F.col("overlap")
+    )
+    return audit_labelled(raw).unionByName(audit_table(shared, [("feed_known", "all", "others")]))
+
+
 def prepare(spark: SparkSession, labelled_csv: str, feed_text: str, folder: str, **options) -> Splits:
-    """Load, clean, de-duplicate, split and store under ``folder``."""
-    labelled = materialize(labelled_urls(read_labelled_csv(spark, labelled_csv)))
+    """Load, clean, de-duplicate, split and store under ``folder``; the audit beside it."""
+    raw = read_labelled_csv(spark, labelled_csv)
+    labelled = materialize(labelled_urls(raw))
     feed = materialize(feed_urls(read_feed(spark, feed_text)))
     splits = make_splits(labelled, feed, unique=True, **options)
     write_marked(splits.marked, folder)
-    return Splits(read_split(spark, folder), splits.audit)
+    load_audit(raw, labelled, feed).unionByName(splits.audit).write.parquet(f"{folder}_audit")
+    return Splits(read_split(spark, folder), spark.read.parquet(f"{folder}_audit"))
 
 
 def feature_tables(train: DataFrame, test: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -181,24 +192,31 @@ def train_hybrid(
     test: DataFrame,
     text_model: PipelineModel,
     learner: Estimator | None = None,
-    train_rows: int = TRAIN_ROWS,
-    test_rows: int = TEST_ROWS,
+    train_rows: int | None = TRAIN_ROWS,
+    test_rows: int | None = None,
     seed: int = SEED,
+    model_name: str = "Stacked(trees+ngrams)",
+    text_model_path: str | None = None,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Fit the stacked model on samples; return it and a one-row ``payload``.
+    """Fit the stacked model; return it and a one-row ``payload``.
 
-    ``train`` and ``test`` are feature tables.
+    ``train`` and ``test`` are feature tables.  ``train_rows`` bounds the labelled
+    rows of the fit; the test is whole unless ``test_rows`` asks for a sample.
     """
-    train = materialize(exact_sample(train, train_rows, seed=seed))
-    test = materialize(exact_sample(test, test_rows, seed=seed))
+    train = train if train_rows is None else materialize(exact_sample(train, train_rows, seed=seed))
+    test = test if test_rows is None else materialize(exact_sample(test, test_rows, seed=seed))
     model = fit_hybrid(train, text_model, learner, rows=None, seed=seed)
     metrics = classification_metrics(with_prediction(test, model), score="proba")
     names = F.array(*[F.lit(name) for name in (*FEATURES, *TEXT_SCORES)])
     sizes = {"n_train_sampled": F.count_if(F.col("side") == "train"), "n_test_sampled": F.count_if(F.col("side") == "test")}
+    # The names under which the metadata of a stacked run is read again.
     meta = run_meta(
         train,
         test,
         **sizes,
+        model_name=F.lit(model_name),
+        device=F.lit("cpu"),
+        bert_model_dir=F.lit(text_model_path).cast("string"),
         params=_params(model.stages[-1]),
         feature_count=F.size(names),
         feature_cols_head=F.slice(names, 1, 30),
@@ -224,8 +242,8 @@ def run_all(
     train, test = feature_tables(splits.train, splits.test, f"{folder}/features")
     models, tabular = train_tabular(train, test, learners)
     text_model, text = train_text(train, test)
-    save_run(text_model, f"{folder}/models/text")
-    hybrid_model, hybrid = train_hybrid(train, test, text_model, stacker)
+    text_path = save_run(text_model, f"{folder}/models/text")
+    hybrid_model, hybrid = train_hybrid(train, test, text_model, stacker, text_model_path=text_path)
     save_run(hybrid_model, f"{folder}/models/hybrid")
     stored = {"ml_results.json": tabular, "ngram_results.json": text, "hybrid_results.json": hybrid}
     for name, payload in stored.items():

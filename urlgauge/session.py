@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,7 +15,11 @@ BROADCAST_LIMIT = 64 * 1024 * 1024
 
 
 def local_session(app: str, cores: int | str = "*", **settings: str) -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
+    """A session for tests and benchmarks on one machine.
+
+    Without a checkpoint folder in ``settings`` it gets one of its own, which is
+    removed when Python ends.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -23,6 +29,10 @@ def local_session(app: str, cores: int | str = "*", **settings: str) -> SparkSes
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
     )
+    if CHECKPOINT_SETTING not in settings:
+        folder = tempfile.mkdtemp(prefix="urlgauge-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        builder = builder.config(CHECKPOINT_SETTING, folder)
     for name, value in settings.items():
         builder = builder.config(name, value)
     session = builder.getOrCreate()
@@ -33,14 +43,15 @@ def local_session(app: str, cores: int | str = "*", **settings: str) -> SparkSes
 def work_folder(spark: SparkSession) -> str:
     """The shared folder for written intermediates.
 
-    It is the cluster's checkpoint folder.  Only a local session, where nothing
-    is shared between machines, may fall back to a temporary one.
+    It is the cluster's checkpoint folder.  A local session that was made without
+    one, where nothing is shared between machines, gets one until Python ends.
     """
     folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="urlgauge-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder}/urlgauge/{spark.sparkContext.applicationId}"
 

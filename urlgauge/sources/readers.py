@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,18 +32,35 @@ def present_paths(spark: SparkSession, paths: Sequence[str], skip_missing: bool
     return found
 
 
-def file_order(piece: Column | None = None) -> Column:
-    """Sortable position of a row in its input files.
+POSITION = "decimal(38,0)"
+SCHEME = r"^([^/:]+):/+"  # a path may have one slash or three after its scheme
 
-    Row numbers grow inside a file block, and blocks sort by path and offset, so
-    "first" means file order however Spark packs blocks into partitions.
+
+def with_file_order(rows: DataFrame, files: Sequence[str], name: str = "ordinal") -> DataFrame:
+    """Add the position of each row in its input files, as one number, and drop what it is made of.
+
+    ``rows`` has ``_file``, ``_block``, ``_row`` and ``_piece``: path, start of the
+    file block, row number within the task, and piece of the line.  Row numbers grow
+    inside a block, and blocks sort by path and offset, so "first" means file order
+    however Spark packs blocks into partitions.  A number, unlike a path, lets Spark
+    aggregate by hash.  The list of files is what the driver planned the scan from.
     """
-    return F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-        (F.lit(0) if piece is None else piece).cast("int").alias("piece"),
-    )
+    paths = sorted(re.sub(SCHEME, r"\1:/", file) for file in files)
+    places = rows.sparkSession.createDataFrame(list(enumerate(paths)), "_place long, _path string")
+    digits = F.lit(0).cast(POSITION) + F.col("_place")
+    for column, width in (("_block", 13), ("_row", 10), ("_piece", 5)):
+        digits = (digits * F.lit(10**width).cast("decimal(14,0)")).cast(POSITION) + F.col(column).cast("decimal(13,0)")
+    placed = rows.join(F.broadcast(places), F.regexp_replace("_file", SCHEME, "$1:/") == F.col("_path"))
+    return placed.withColumn(name, digits.cast(POSITION)).drop("_file", "_block", "_row", "_piece", "_place", "_path")
+
+
+def _place(piece: Column | None = None) -> list[Column]:
+    return [
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)).alias("_row"),
+        (F.lit(0) if piece is None else piece).cast("int").alias("_piece"),
+    ]
 
 
 def read_labelled_csv(
@@ -63,24 +81,24 @@ def read_labelled_csv(
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
+        .option("enforceSchema", False)
         .csv(path)
     )
     require_columns(raw, [url, label], path)
-    return raw.select(
-        F.col(url).alias("url"), F.col(label).alias("label"), file_order().alias("ordinal")
-    )
+    rows = raw.select(F.col(url).alias("url"), F.col(label).alias("label"), *_place())
+    return with_file_order(rows, raw.inputFiles())
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """``url, ordinal``: one non-blank line of a text feed per row."""
     present_paths(spark, [path])
-    lines = spark.read.text(path).select(
+    raw = spark.read.text(path)
+    lines = raw.select(
         F.posexplode(F.split(drop_invalid_utf8(F.col("value")), LINE_BREAKS)).alias("piece", "line"),
         "_metadata",
     )
-    return lines.select(
-        strip_whitespace(F.col("line")).alias("url"), file_order(F.col("piece")).alias("ordinal")
-    ).filter("url <> ''")
+    rows = lines.select(strip_whitespace(F.col("line")).alias("url"), *_place(F.col("piece")))
+    return with_file_order(rows.filter("url <> ''"), raw.inputFiles())
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
@@ -113,5 +131,5 @@ def read_metrics(
 
 
 def preview(df: DataFrame, rows: int = 5) -> DataFrame:
-    """The first few rows, for a look at the columns."""
-    return df.limit(rows)
+    """The first few rows, for a look at the columns, each with the table's ``row_count``."""
+    return df.limit(rows).withColumn("row_count", F.lit(df.count()).cast("bigint"))

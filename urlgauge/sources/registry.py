@@ -13,6 +13,7 @@ from urlgauge.sources.readers import path_exists
 
 RUN_FORMAT = "%Y%m%d_%H%M%S"
 RUN_SCHEMA = "run_id string, path string, valid boolean"
+COMPLETE = "_COMPLETE"  # written when all stages of a saved model are
 
 
 def run_id(ts: Column) -> Column:
@@ -21,15 +22,29 @@ def run_id(ts: Column) -> Column:
 
 
 def save_run(model: PipelineModel, root: str, now: datetime | None = None) -> str:
-    """Save a fitted pipeline under a new run folder and return its path."""
-    path = f"{root}/run_{(now or datetime.now()).strftime(RUN_FORMAT)}"
+    """Save a fitted pipeline under a new run folder and return its path.
+
+    A second run of one second gets a number.  The folder is marked as complete
+    after all stages are written, so readers never take up half a model.
+    """
+    spark = SparkSession.active()
+    name = f"{root}/run_{(now or datetime.now()).strftime(RUN_FORMAT)}"
+    path, number = name, 1
+    while path_exists(spark, path):
+        number += 1
+        path = f"{name}_{number:04d}"
     model.write().save(path)
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{COMPLETE}")
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).create(marker, True).close()
     return path
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
-    """A model folder is usable once its metadata write has been committed."""
-    return path_exists(spark, f"{path}/metadata/_SUCCESS")
+    """A model folder is usable once it is marked as complete.
+
+    A pipeline's own metadata is committed before its stages, so it proves nothing.
+    """
+    return path_exists(spark, f"{path}/{COMPLETE}")
 
 
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
