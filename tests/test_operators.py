@@ -116,6 +116,14 @@ def test_describe_matches_percentile(spark, one_task):
         )
 
 
+def test_histogram_and_shares_of_odd_values(spark):
+    df = spark.createDataFrame([(x,) for x in (1.0, 2.0, float("inf"), float("nan"), None, -float("inf"))], "x double")
+    bins = explore.histogram(df, "x", 2).orderBy("bin").collect()
+    assert [(r["low"], r["high"], r["count"]) for r in bins] == [(1.0, 1.5, 1), (1.5, 2.0, 1)]
+    few = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "v string")
+    assert {r["v"]: r["share"] for r in explore.value_shares(few, "v").collect()} == {"a": 2 / 3, "b": 1 / 3}
+
+
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(float(v),) for v in [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 10]], "x double")
     assert [r["count"] for r in explore.histogram(df, "x", 5).orderBy("bin").collect()] == [2, 2, 2, 2, 4]

@@ -21,8 +21,12 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def value_shares(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """Share of each value (per group)."""
-    counts = df.na.drop(subset=[column]).groupBy(*by, column).count()
+    """Share of each value (per group); without a group the rows are counted when called."""
+    present = df.na.drop(subset=[column])
+    counts = present.groupBy(*by, column).count()
+    if not by:
+        # one number for all, so that no task has to hold every value
+        return counts.select(column, (F.col("count") / F.lit(present.count())).alias("share"))
     share = F.col("count") / F.sum("count").over(Window.partitionBy(*by))
     return counts.select(*by, column, share.alias("share"))
 
@@ -87,9 +91,10 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """``bin, low, high, count`` of equal-width bins, empty ones included.
 
     A value belongs to the bin whose computed edges enclose it; the last bin is
-    closed on the right.  A column of one value gets a range of width one.
+    closed on the right.  A column of one value gets a range of width one.  Only
+    finite values count: others have no place on a range.
     """
-    usable = df.na.drop(subset=[column]).select(F.col(column).cast("double").alias("_x"))
+    usable = df.select(F.col(column).cast("double").alias("_x")).filter(F.abs("_x") < float("inf"))
     ends = usable.agg(F.min("_x"), F.max("_x")).first()
     if ends[0] is None:
         low, high = 0.0, 1.0
