@@ -31,8 +31,8 @@ from urlgauge.llm import _text as T
 BLANK = "▁"
 #: Parts of texts, and pairs of pieces, whose answers a worker keeps. Of parts the store before is
 #: kept too, so frequent ones stay.
-KEPT_PARTS = 500_000
-KEPT_PAIRS = 600_000
+KEPT_PARTS = 250_000
+KEPT_PAIRS = 300_000
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 # Kinds of pieces and of models in the public file format.
