@@ -7,6 +7,7 @@ from urlgauge.llm.chat import OP6_SQL, op6_query
 from urlgauge.llm.decontaminate import op5_query
 from urlgauge.llm.language import op7_query
 from urlgauge.llm.near_duplicates import op3_query
+from urlgauge.llm.oracles import CONTAMINATION, NEAR_DUPLICATES, REPEATED_BYTES, REPEATED_PHRASES
 from urlgauge.llm.phrase_dedup import op10_query
 from urlgauge.llm.pieces import op8_query
 from urlgauge.llm.quality import op1_query
@@ -25,4 +26,11 @@ QUERIES = {
     "op9_top_k": op9_query,
     "op10_phrase_dedup": op10_query,
 }
-ORACLES = {"op6_chat": OP6_SQL, "op9_top_k": OP9_SQL}
+ORACLES = {
+    "op3_near_duplicates": NEAR_DUPLICATES,
+    "op4_suffix_dedup": REPEATED_BYTES,
+    "op5_decontaminate": CONTAMINATION,
+    "op6_chat": OP6_SQL,
+    "op9_top_k": OP9_SQL,
+    "op10_phrase_dedup": REPEATED_PHRASES,
+}
