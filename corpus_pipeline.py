@@ -20,28 +20,38 @@ from urlgauge.session import materialize
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Fewer whole texts in an Arrow batch than by default, so that tasks hold little at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not recognised go: null and letterless texts, and texts of no known language."""
+    bounded_batches(spark)
     return known_language(docs, fit_language(docs))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
+    bounded_batches(spark)
     return without_near_duplicates(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages lose their later copies; the first one stays. Documents stay, with what is left of their text."""
+    bounded_batches(spark)
     return without_repeated_passages(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
+    bounded_batches(spark)
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the ids of their pieces, and whether these decode to the text."""
+    bounded_batches(spark)
     return encode_pieces(docs)
 
 
