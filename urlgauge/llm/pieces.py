@@ -80,6 +80,10 @@ class Transducer:
         self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
+    def forget(self) -> None:
+        """Give back the memory of what is kept."""
+        self.known, self.older, self.pairs = {}, {}, {}
+
     def normalise(self, text: str) -> str:
         text = self.rules(text) if self.rules else text
         if self.squeeze:
@@ -216,6 +220,7 @@ def encode_pieces(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
                 part = batch.slice(a, b - a)
                 ids, back = _encoded(compiled(model), part.column("text").to_pylist())
                 yield pa.record_batch([*part.columns, ids, pa.array(back)], names=[*batch.schema.names, "ids", "round_trip"])
+        compiled(model).forget()  # workers live on, with other steps to run
 
     more = [K.StructField("ids", K.ArrayType(K.IntegerType())), K.StructField("round_trip", K.BooleanType())]
     return docs.mapInArrow(run, K.StructType([*docs.schema.fields, *more]))
