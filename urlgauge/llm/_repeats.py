@@ -32,7 +32,7 @@ from urlgauge.session import materialize
 #: Distinct segments of an anchor that one task looks at together; windows of larger groups are counted one by one.
 GROUP = 2_000
 #: Bytes of segments that an engine gets at once.
-ENGINE_BYTES = 1 << 20
+ENGINE_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
