@@ -35,6 +35,23 @@ def test_language_without_labels(spark):
     assert predict_language(spark.createDataFrame([(1, "x", None)], docs.schema), None).first()[1:] == ("und", 0.0, False)
 
 
+@pytest.mark.parametrize("known", [["en"], ["en", "fr"], ["de", "en", "es"], ["de", "en", "es", "fr"]])
+def test_texts_of_no_known_language_are_rejected(spark, known):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    model = fit_language(docs.where(docs.lang.isin(known)))
+    rng = np.random.default_rng(3)
+    odd = ["".join(map(chr, rng.integers(97, 123, 400))), " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(80))]
+    odd += ["Это русский текст, который модель никогда не видела. " * 4, "Ten tekst jest napisany po polsku i nie powinien tu pozostać, bo model go nie zna. " * 3]
+    odd += ["for i in range(len(xs)):\n    if xs[i] is None:\n        return foo.bar(xs, i + 1)\n" * 4]
+    noise = spark.createDataFrame([(-1 - i, x, "odd") for i, x in enumerate(odd)], docs.schema)
+    rows = predict_language(docs.union(noise), model).join(docs.union(noise), "doc_id").where("doc_id < 0 or crc32(cast(doc_id as string)) % 4 = 2").collect()
+    share = lambda of: np.mean([r.accepted for r in rows if of(r.lang)])
+    assert share(lambda x: x in known) > 0.98 and share(lambda x: x == "odd") == 0
+    if len(known) < 4:
+        assert share(lambda x: x not in [*known, "odd"]) < 0.02
+
+
 def test_quality_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
