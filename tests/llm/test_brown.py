@@ -53,6 +53,37 @@ def test_probabilities_sum_to_one(spark):
         assert abs(total - 1) < 1e-9
 
 
+@pytest.mark.parametrize("held", [1 << 18, 3])
+def test_every_training_word_has_a_class_of_its_own_neighbours(spark, monkeypatch, held):
+    monkeypatch.setattr(brown, "HELD_WORDS", held)  # also with nearly all words left to the join
+    rng = np.random.default_rng(4)
+    # nouns and verbs by turns; all rare words end alike, so no ending tells them apart
+    nouns, verbs = [f"n{i}xxx" for i in range(40)], [f"v{i}xxx" for i in range(40)]
+    pick = lambda often, rare: often if rng.random() < 0.6 else rare[rng.integers(len(rare))]
+    texts = [" ".join(x for _ in range(6) for x in ("the", pick("cat", nouns), pick("runs", verbs))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = fit_brown(df, classes=3, unit_words=3)
+    hashes = {x: int(brown.T.words(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)])).hashes[0]) for x in [*nouns, *verbs, "the", "cat", "runs"]}
+    of = dict(zip(model.held.tolist(), model.held_classes.tolist(), strict=True)) | {r.word % (1 << 64): r.cls for r in model.rest.collect()}
+    kinds = {x: of[h] for x, h in hashes.items()}
+    assert {kinds[x] for x in nouns} == {kinds["cat"]} != {kinds["runs"]} == {kinds[x] for x in verbs}
+    # the class bigrams and scores are those of a count with these classes
+    follow, counts = Counter(), Counter(w for t in texts for w in t.split())
+    for t in texts:
+        line = [3, *(kinds[w] for w in t.split()), 3]
+        follow.update(zip(line, line[1:]))
+    total = np.array([*(sum(n for w, n in counts.items() if kinds[w] == k) for k in range(3)), len(texts)])
+    table = np.array([[follow[a, b] for b in range(4)] for a in range(4)], float)
+    want = (table + brown.SMOOTHING * total / total.sum()) / (table.sum(axis=1, keepdims=True) + brown.SMOOTHING)
+    assert np.allclose(model.tokens, total) and np.allclose(model.transition, want)
+    n = counts | {None: len(texts)}
+    seen, unseen, discount = model.factors()
+    text = "the n1xxx v2xxx n3xxx runs the v4xxx"
+    line = [(None, 3), *((w, kinds[w]) for w in text.split()), (None, 3)]
+    p = [seen[a, k] * (n[w] - discount[k]) + (1 - brown.MIXED) * (n[w] + 1) / model.total() for (_, a), (w, k) in zip(line, line[1:])]
+    assert abs(score_brown(spark.createDataFrame([(1, text)], df.schema), model).first().score - np.log10(p).sum()) < 1e-9
+
+
 def test_score_is_the_sum_over_the_tokens(spark):
     texts = ["a b a c", "b a d e", "a a b zz", "f g " * 5]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")

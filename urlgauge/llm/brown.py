@@ -3,8 +3,9 @@
 A token's probability is that of its class after the class before it, times that of the word in its class, mixed
 with the add-one probability of the word alone. Counts of words cover every training text and stay in tables;
 only tables of a fixed size reach the driver: the most frequent words, groups of the others by their ending, and
-the counts of pairs of these units, on which the exchange algorithm finds the classes. A word of a group has the
-group's class, whether it was seen in training or not, so unseen words have one too.
+the counts of pairs of these units, on which the exchange algorithm finds the classes. Then every other training
+word moves to the class that its own neighbours' classes make most likely, and the class bigrams are counted with
+these final classes. Only words unseen in training keep their group's class.
 
 Emissions take a fixed part of a count from every seen word of a class and give it to the class's unseen words, so
 that each class's emissions, and with them each token's probabilities, sum to one (unseen words of a class being
@@ -30,7 +31,7 @@ CLASSES = 64
 #: Words that are units of their own, and groups of all other words, in the exchange algorithm.
 UNIT_WORDS = 1_024
 GROUPS = 256
-#: Words whose counts every task holds; the counts of all others are joined.
+#: Words whose counts and classes every task holds; those of all others are joined.
 HELD_WORDS = 1 << 18
 ROUNDS = 6
 DISCOUNT = 0.5
@@ -140,9 +141,61 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarr
     return of
 
 
+def _neighbours(sent):
+    """(word, neighbouring class, n) of each word that is no unit; classes on the right come after those on the left."""
+
+    def run(batches):
+        units, of = sent.value
+        end = int(of[-1])
+        for batch in batches:
+            data, bounds = T.flat(batch.column(0))
+            for a, b in T.chunks(bounds):
+                w = T.words(data, bounds[a : b + 1])
+                unit = _units(w, units)
+                before, after = _pairs_before(of[unit], w.firsts, end)
+                place = np.flatnonzero(unit >= len(units))
+                slots = place + w.rows[place]
+                words, at = np.unique(w.hashes[place], return_inverse=True)
+                sides = 2 * (end + 1)
+                code = np.concatenate([at * sides + before[slots], at * sides + end + 1 + after[slots + 1]])
+                code, n = np.unique(code, return_counts=True)
+                yield pa.record_batch([words[code // sides].view(np.int64), (code % sides).astype(np.int32), n], names=["word", "side", "n"])
+
+    return run
+
+
+def fitting(follow: np.ndarray) -> np.ndarray:
+    """What one neighbour adds to the log likelihood of each class: rows are left classes, then right ones.
+
+    follow: counts of class pairs, the end last. The end is no choice, nor is a class without any token.
+    """
+    size = len(follow)
+    left = np.log((follow + 0.5) / (follow.sum(axis=0) + 0.5 * size))
+    right = np.log((follow + 0.5) / (follow.sum(axis=1, keepdims=True) + 0.5 * size)).T
+    out = np.concatenate([left, right])[:, : size - 1]
+    out[:, follow.sum(axis=0)[: size - 1] == 0] = -1e3
+    return out
+
+
+def _placed(sent):
+    """Each word's count and best class, from its neighbours' classes."""
+
+    def run(batches):
+        gain = sent.value
+        for batch in batches:
+            lists = batch.column(1)
+            sides, n = (np.asarray(x) for x in lists.flatten().flatten())
+            of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+            counts = np.zeros((batch.num_rows, len(gain)))
+            np.add.at(counts, (of, sides), n)
+            yield pa.record_batch([batch.column(0), counts[:, : len(gain) // 2].sum(axis=1).astype(np.int64), (counts @ gain).argmax(axis=1).astype(np.int32)], names=["word", "n", "cls"])
+
+    return run
+
+
 @dataclass
 class BrownModel:
-    """Tables of a fixed size, and `rest`: the stored counts of the words that the tables leave out."""
+    """Tables of a fixed size, and `rest`: the stored counts and classes of the words that the tables leave out."""
 
     train_tokens: int
     distinct: int
@@ -156,7 +209,7 @@ class BrownModel:
     rest: DataFrame | None
 
     def tables(self) -> tuple:
-        return self.total(), self.factors(), self.held, self.held_counts, self.held_classes, self.group_classes, int(self.tokens[-1])
+        return self.total(), self.factors(), self.held, self.held_counts, self.held_classes, self.group_classes, int(self.tokens[-1]), len(self.tokens) - 1
 
     def total(self) -> int:
         return self.train_tokens + self.distinct + 1
@@ -175,7 +228,7 @@ def fit_brown(docs: DataFrame, classes: int = CLASSES, unit_words: int = UNIT_WO
     texts = docs.select(F.col("text").cast("string").alias("text"))
     rows = texts.count()
     counts = materialize(texts.mapInArrow(_word_counts, "word bigint, grp int, n bigint").groupBy("word", "grp").agg(F.sum("n").alias("n")))
-    by_group = counts.groupBy("grp").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()  # at most GROUPS rows
+    by_group = counts.groupBy("grp").agg(F.count("*").alias("types")).collect()  # at most GROUPS rows
     # the least count of the held words: from a histogram by sixteenths of an octave, at most 1024 rows
     cell = F.floor(16 * F.log2(F.col("n").cast("double")))
     histogram = sorted(counts.groupBy(cell.alias("cell")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), reverse=True)
@@ -199,76 +252,139 @@ def fit_brown(docs: DataFrame, classes: int = CLASSES, unit_words: int = UNIT_WO
     table[np.asarray(pairs.column(0))] = np.asarray(pairs.column(1))
     table = table.reshape(units, units)
     of = exchange(table, classes)
-    tokens, types = np.zeros(units), np.zeros(units)
-    tokens[: len(own)], types[: len(own)] = n[own], 1
-    for g, total, kinds in by_group:
-        tokens[len(own) + g], types[len(own) + g] = total, kinds
-    np.subtract.at(tokens, len(own) + grp[own], n[own])
-    np.subtract.at(types, len(own) + grp[own], 1)
-    tokens[-1], types[-1] = rows, min(rows, 1)
-    by_class = lambda x: np.bincount(of, x, classes + 1)
     member = np.zeros((units, classes + 1))
     member[np.arange(units), of] = 1
-    follow = member.T @ table @ member
-    total = by_class(tokens)
-    share = total / max(total.sum(), 1)
-    transition = (follow + SMOOTHING * share) / (follow.sum(axis=1, keepdims=True) + SMOOTHING)
-    held_classes = of[len(own) + grp]
+    known = spark.sparkContext.broadcast((word[own], of))
+    gain = spark.sparkContext.broadcast(fitting(member.T @ table @ member))
+    sides = texts.mapInArrow(_neighbours(known), "word bigint, side int, n bigint").groupBy("word", "side").agg(F.sum("n").alias("n"))
+    sides = sides.groupBy("word").agg(F.collect_list(F.struct("side", "n")).alias("sides"))  # at most twice the classes each
+    placed = materialize(sides.mapInArrow(_placed(gain), "word bigint, n bigint, cls int"))
+    held_classes = np.zeros(len(word), np.int64)
+    more = placed.where(F.col("n") >= least).select("word", "cls").toArrow()
+    held_classes[np.searchsorted(word, np.asarray(more.column(0)).view(np.uint64))] = np.asarray(more.column(1))
     held_classes[own] = of[: len(own)]
     group_classes = of[len(own) : len(own) + GROUPS]
+    rest = placed.where(F.col("n") < least)
+    total, types = np.bincount(of[: len(own)], n[own], classes + 1), np.bincount(of[: len(own)], minlength=classes + 1).astype(float)
+    for r in placed.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # at most `classes` rows
+        total[r["cls"]] += r["n"]
+        types[r["cls"]] += r["types"]
+    total[classes], types[classes] = rows, min(rows, 1)
+    follow = _followers(texts, (0, None, word, n, held_classes, group_classes, rows, classes), rest)
+    share = total / max(total.sum(), 1)
+    transition = (follow + SMOOTHING * share) / (follow.sum(axis=1, keepdims=True) + SMOOTHING)
     distinct = sum(r["types"] for r in by_group) + min(rows, 1)
-    return BrownModel(int(total.sum()), int(distinct), transition, total, by_class(types), word, n, held_classes, group_classes, counts.where(F.col("n") < least).select("word", "n"))
+    return BrownModel(int(total.sum()), int(distinct), transition, total, types, word, n, held_classes, group_classes, rest)
 
 
 def _scored(sent):
-    """Each text's tokens, seen ones, and sums of both scores over held words and the end."""
+    """Each text's tokens, seen ones, and sums of both scores, as far as held words and the end give them."""
 
     def run(batches):
         for batch in batches:
-            yield from _in_parts(batch, sent.value, rare=False)
+            yield from _in_parts(batch, sent.value)
 
     return run
 
 
-def _rare(sent):
-    """(row, word, pair of classes) of each word that is not held."""
+#: A word that is not held, and its class if it is unseen; the word before it if that is not held either (else itself),
+#: and that one's class, or its class if it is unseen; class and count of the held word or end after it, or -1.
+RARE = "row bigint, word bigint, cls int, chained boolean, before_word bigint, before int, after int, after_n bigint, n_pairs bigint"
+
+
+def _rare(sent, held_pairs: bool = False):
+    """A row (RARE) for each word that is not held; if asked, also one for each pair of held ones, with its count."""
 
     def run(batches):
         for batch in batches:
-            yield from _in_parts(batch, sent.value, rare=True)
+            yield from _rare_parts(batch, sent.value, held_pairs)
 
     return run
 
 
-def _in_parts(batch, tables, rare: bool):
-    total, (seen, _, discount), held, counts, held_classes, group_classes, end_count = tables
-    end = len(discount) - 1
+def _classed(w: T.Words, tables):
+    """Of each word: its place in the held ones, whether it is there, and its class, the group's if it is not held."""
+    _, _, held, _, held_classes, group_classes, *_ = tables
+    at = np.minimum(np.searchsorted(held, w.hashes), max(len(held) - 1, 0))
+    known = held[at] == w.hashes if len(held) else np.zeros(len(w.hashes), bool)
+    kinds = group_classes[_groups(w)]
+    kinds[known] = held_classes[at[known]]
+    return at, known, kinds
+
+
+def _rare_parts(batch, tables, held_pairs: bool):
+    counts, end_count, end = tables[3], tables[6], tables[7]
+    data, bounds = T.flat(batch.column(2))
+    for a, b in T.chunks(bounds):
+        w = T.words(data, bounds[a : b + 1])
+        at, known, kinds = _classed(w, tables)
+        before, after = _pairs_before(kinds, w.firsts, end)
+        # the ends count as held
+        before_held, after_held = _pairs_before(known, w.firsts, 1)
+        n = np.full(len(after), end_count, np.int64)
+        slots = np.arange(len(kinds)) + w.rows
+        n[slots] = 0
+        n[slots[known]] = counts[at[known]]
+        place = np.flatnonzero(~known)
+        own, words = slots[place], w.hashes.view(np.int64)
+        chained = before_held[own] == 0
+        columns = [
+            batch.column(1).slice(a, b - a).take(pa.array(w.rows[place])), words[place], kinds[place].astype(np.int32), chained, np.where(chained, words[place - 1], words[place]),
+            before[own].astype(np.int32), np.where(after_held[own + 1] == 1, after[own + 1], -1).astype(np.int32), n[own + 1], np.zeros(len(place), np.int64),
+        ]
+        yield pa.record_batch([pa.array(c) for c in columns], names=[c.split()[0] for c in RARE.split(", ")])
+        if held_pairs:
+            both = (before_held == 1) & (after_held == 1)
+            pair, times = np.unique(before[both] * (end + 1) + after[both], return_counts=True)
+            first, second, none = (pair // (end + 1)).astype(np.int32), (pair % (end + 1)).astype(np.int32), np.zeros(len(pair), np.int64)
+            columns = [none, pair, first, none.astype(bool), pair, first, second, none, times]
+            yield pa.record_batch([pa.array(c) for c in columns], names=[c.split()[0] for c in RARE.split(", ")])
+
+
+def _with_classes(rare: DataFrame, rest: DataFrame) -> DataFrame:
+    """RARE with counts (n) and classes of both words from `rest`; unseen ones keep their group's class."""
+    rare = rare.withColumnRenamed("cls", "group_cls").join(rest, "word", "left").withColumn("cls", F.coalesce("cls", "group_cls"))
+    before = rest.select(F.col("word").alias("before_word"), F.col("cls").alias("before_cls"))
+    return rare.join(before, "before_word", "left").withColumn("before", F.when(F.col("chained"), F.coalesce("before_cls", "before")).otherwise(F.col("before")))
+
+
+def _followers(texts: DataFrame, tables: tuple, rest: DataFrame) -> np.ndarray:
+    """How often each class, or an end, follows each: over every pair of all words."""
+    size = tables[-1] + 1
+    sent = texts.sparkSession.sparkContext.broadcast(tables)
+    none = F.lit(0).cast("bigint")
+    found = texts.select(none.alias("doc_id"), none.alias("row"), "text").mapInArrow(_rare(sent, held_pairs=True), RARE)
+    rare = _with_classes(found, rest)
+    own = F.struct((F.col("before") * size + F.col("cls")).alias("pair"), F.lit(1).cast("bigint").alias("n"))
+    following = F.struct((F.col("cls") * size + F.col("after")).alias("pair"), F.lit(1).cast("bigint").alias("n"))
+    held = F.struct((F.col("before") * size + F.col("after")).alias("pair"), F.col("n_pairs").alias("n"))
+    pairs = F.when(F.col("n_pairs") > 0, F.array(held)).when(F.col("after") >= 0, F.array(own, following)).otherwise(F.array(own))
+    sums = rare.select(F.explode(pairs).alias("x")).groupBy("x.pair").agg(F.sum("x.n").alias("n")).toArrow()  # at most classes squared
+    follow = np.zeros(size * size)
+    follow[np.asarray(sums.column(0))] = np.asarray(sums.column(1))
+    return follow.reshape(size, size)
+
+
+def _in_parts(batch, tables):
+    total, (seen, _, discount), _, counts, _, _, end_count, end = tables
     data, bounds = T.flat(batch.column(2))
     for a, b in T.chunks(bounds):
         w = T.words(data, bounds[a : b + 1])
-        at = np.minimum(np.searchsorted(held, w.hashes), max(len(held) - 1, 0))
-        known = held[at] == w.hashes if len(held) else np.zeros(len(w.hashes), bool)
-        kinds = group_classes[_groups(w)]
-        kinds[known] = held_classes[at[known]]
+        at, known, kinds = _classed(w, tables)
         before, after = _pairs_before(kinds, w.firsts, end)
+        before_held, own = _pairs_before(known, w.firsts, 1)
         slots = np.arange(len(kinds)) + w.rows
-        if rare:
-            place = np.flatnonzero(~known)
-            pair = before[slots[place]] * (end + 1) + after[slots[place]]
-            rows = batch.column(1).slice(a, b - a).take(pa.array(w.rows[place]))
-            yield pa.record_batch([rows, w.hashes[place].view(np.int64), pair.astype(np.int32)], names=["row", "word", "pair"])
-            continue
         n = np.zeros(len(after), np.int64)
         n[slots[known]] = counts[at[known]]
         ends = w.firsts[1:] + np.arange(b - a)
         n[ends] = end_count
-        own = np.ones(len(after), bool)
-        own[slots[~known]] = False
+        own = own == 1
+        alone = own & (before_held == 1)
         base = np.log10((n + 1) / total)
         p = seen[before, after] * (n - discount[after]) + (1 - MIXED) * (n + 1) / total if end_count else (n + 1) / total
         score = np.log10(np.maximum(p, 1e-300))
         of = np.repeat(np.arange(b - a), np.diff(w.firsts) + 1)
-        sums = [np.bincount(of[own], x[own], b - a) for x in (base, score)]
+        sums = [np.bincount(of, np.where(mask, x, 0.0), b - a).astype(float) for x, mask in ((base, own), (score, alone))]
         found = np.bincount(of[own & (n > 0)], minlength=b - a)
         yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), np.diff(w.firsts) + 1, found, *sums], names=["doc_id", "row", "n_tokens", "n_known", "base_score", "score"])
 
@@ -280,8 +396,9 @@ def score_brown(docs: DataFrame, model: BrownModel) -> DataFrame:
     ASCII white space, and one end; a null or empty text is an end alone. base_score sums log10((c + 1) / (N + V +
     1)), score the model's log10 probabilities. Without training texts both are 0. Repeated rows each give a row.
 
-    Words that the tables hold are scored in place. The others meet their counts in one join by word, and their
-    sums go back to their texts; none of them is frequent, so neither side has a hot key.
+    Words that the tables hold are scored in place. The others meet their counts and classes in a join by word, and
+    in a second one by the word before; their sums, and those of what follows them, go back to their texts. None of
+    these words is frequent, so neither side has a hot key.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
@@ -289,16 +406,20 @@ def score_brown(docs: DataFrame, model: BrownModel) -> DataFrame:
     sent = spark.sparkContext.broadcast(model.tables())
     held = rows.mapInArrow(_scored(sent), f"doc_id {kind}, row bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     held = held.groupBy("row").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("doc_id", "n_tokens", "n_known", "base_score", "score")))
-    rare = rows.mapInArrow(_rare(sent), "row bigint, word bigint, pair int")
+    rare = _with_classes(rows.mapInArrow(_rare(sent), RARE), model.rest)
     seen, unseen, discount = model.factors()
     size = len(discount)
     factors = [(i, float(seen.flat[i]), float(unseen.flat[i]), float(discount[i % size])) for i in range(size * size)]
     pairs = F.broadcast(spark.createDataFrame(factors, "pair int, seen double, unseen double, discount double"))  # classes squared
+    after = pairs.select(*(F.col(c).alias(f"after_{c}") for c in ("pair", "seen", "discount")))
     n, total = F.coalesce("n", F.lit(0)), float(model.total())
     mixed = (1 - MIXED) if model.train_tokens else 1.0
     p = F.when(F.col("n").isNotNull(), F.col("seen") * (n - F.col("discount"))).otherwise(F.col("unseen")) + mixed * (n + 1) / total
-    sums = rare.join(model.rest, "word", "left").join(pairs, "pair").groupBy("row").agg(
-        F.count("n").alias("more"), F.sum(F.log10((n + 1) / total)).alias("more_base"), F.sum(F.log10(p)).alias("more_score")
+    after_p = F.col("after_seen") * (F.col("after_n") - F.col("after_discount")) + mixed * (F.col("after_n") + 1) / total
+    rare = rare.withColumn("pair", F.col("before") * size + F.col("cls")).join(pairs, "pair")
+    rare = rare.withColumn("after_pair", F.when(F.col("after") >= 0, F.col("cls") * size + F.col("after"))).join(after, "after_pair", "left")
+    sums = rare.groupBy("row").agg(
+        F.count("n").alias("more"), F.sum(F.log10((n + 1) / total)).alias("more_base"), F.sum(F.log10(p) + F.coalesce(F.log10(after_p), F.lit(0.0))).alias("more_score")
     )
     both = held.join(sums, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b) / F.col("copies"), F.lit(0))
