@@ -48,3 +48,13 @@ def test_empty(spark):
 def test_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert sorted(tuple(r) for r in op9_query(spark, sf_dir).collect()) == brute(rows)
+
+
+def test_an_id_with_many_vectors_counts_once_in_a_task():
+    from urlgauge.llm.top_k import _Best
+
+    best = _Best(3, np.full(1, np.iinfo(np.int64).min + 1))
+    ids = np.array([7, 7, 7, 7, 1, 2, 3])
+    best.add(np.zeros(7, np.int64), ids, np.array([90, 80, 70, 60, 50, 40, 30]))
+    query, ids, scores = best.settle()
+    assert ids.tolist() == [7, 1, 2] and scores.tolist() == [90, 50, 40] and best.least[0] == 40

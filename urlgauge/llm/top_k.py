@@ -121,6 +121,13 @@ def _block(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["length", "pivot", "low", "high", "ids", "data"])
 
 
+def _firsts(query: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places of the first row of each pair, among rows sorted by query and id."""
+    order = np.lexsort((ids, query))
+    q, i = query[order], ids[order]
+    return np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (i[1:] != i[:-1])])[: len(q)])
+
+
 class _Best:
     """The best k of each query that a task has seen."""
 
@@ -137,6 +144,9 @@ class _Best:
         query, ids, scores = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64),) * 3
         order = np.lexsort((ids, -scores, query))
         query, ids, scores = query[order], ids[order], scores[order]
+        # an id with several vectors counts once, by its best score: its first row in this order
+        once = np.sort(np.lexsort((np.arange(len(query)), ids, query))[_firsts(query, ids)])
+        query, ids, scores = query[once], ids[once], scores[once]
         heads = np.flatnonzero(np.diff(query, prepend=-1))
         nth = np.arange(len(query)) - np.repeat(heads, np.diff(np.append(heads, len(query))))
         full = nth == self.k - 1
