@@ -11,6 +11,7 @@ from urlgauge.llm.oracles import CONTAMINATION, NEAR_DUPLICATES, REPEATED_BYTES,
 from urlgauge.llm.phrase_dedup import op10_query
 from urlgauge.llm.pieces import op8_query
 from urlgauge.llm.quality import op1_query
+from urlgauge.llm.runs import op13_query
 from urlgauge.llm.suffix_dedup import op4_query
 from urlgauge.llm.top_k import OP9_SQL, op9_query
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pieces": op8_query,
     "op9_top_k": op9_query,
     "op10_phrase_dedup": op10_query,
+    "op13_runs": op13_query,
 }
 ORACLES = {
     "op3_near_duplicates": NEAR_DUPLICATES,
