@@ -16,13 +16,13 @@ def held_out(modulus: int, column: str = "doc_id") -> Column:
     return F.coalesce(remainder(modulus, column) == 2, F.lit(False))
 
 
-def label_sample(labelled: DataFrame, label: str, rows: int, modulus: int) -> DataFrame:
+def label_sample(labelled: DataFrame, label: str, rows: int, modulus: int, kept_out: int = 2) -> DataFrame:
     """doc_id, label and weight of up to `rows` rows of each label that may be learned from, chosen by a hash of the id.
 
     The weight is how many rows of the label each one stands for. Null labels and ids are left out; of rows that
     repeat an id the smallest label counts. Labels are few by nature.
     """
-    known = labelled.where(remainder(modulus) != 2).where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label))
+    known = labelled.where(remainder(modulus) != kept_out).where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label))
     totals = known.groupBy(label).agg(F.count("*").alias("_total"))
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     # about twice as many rows as wanted go on, so that no label gathers in one task

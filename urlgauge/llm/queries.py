@@ -14,6 +14,7 @@ from urlgauge.llm.quality import op1_query
 from urlgauge.llm.runs import op13_query
 from urlgauge.llm.suffix_dedup import op4_query
 from urlgauge.llm.top_k import OP9_SQL, op9_query
+from urlgauge.llm.toxicity import op11_query
 
 QUERIES = {
     "op1_quality": op1_query,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_pieces": op8_query,
     "op9_top_k": op9_query,
     "op10_phrase_dedup": op10_query,
+    "op11_toxicity": op11_query,
     "op13_runs": op13_query,
 }
 ORACLES = {
