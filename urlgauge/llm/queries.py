@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from urlgauge.llm.brown import op2_query
 from urlgauge.llm.chat import OP6_SQL, op6_query
+from urlgauge.llm.collocations import OP12_SQL, op12_query
 from urlgauge.llm.decontaminate import op5_query
 from urlgauge.llm.language import op7_query
 from urlgauge.llm.near_duplicates import op3_query
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_top_k": op9_query,
     "op10_phrase_dedup": op10_query,
     "op11_toxicity": op11_query,
+    "op12_collocations": op12_query,
     "op13_runs": op13_query,
 }
 ORACLES = {
@@ -37,4 +39,5 @@ ORACLES = {
     "op6_chat": OP6_SQL,
     "op9_top_k": OP9_SQL,
     "op10_phrase_dedup": REPEATED_PHRASES,
+    "op12_collocations": OP12_SQL,
 }
