@@ -293,7 +293,7 @@ WITH p AS (
   SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p
 ), f AS (
   SELECT lang, k, phrase, count(*) AS f FROM (
-    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), x -> array_to_string(w[x:x + k - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, {LONGEST + 1})) AS k)
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, {LONGEST + 1})) AS k)
   ) GROUP BY ALL
 ), n AS (
   SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
@@ -301,8 +301,8 @@ WITH p AS (
   SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS v FROM f WHERE k > 1 AND f >= {LEAST}
 ), s AS (
   SELECT c.lang, c.phrase, c.a, i, x.f AS l, y.f AS r, n.n, CAST((CAST(1000 AS HUGEINT) * c.a * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
-  FROM (SELECT *, unnest(range(1, k)) AS i FROM c) c JOIN n USING (lang)
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.v[1:i], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.v[i + 1:k], ' ')
+  FROM (SELECT *, unnest(range(1, k)) AS i FROM c) c JOIN n ON n.lang = c.lang
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.v[1:i], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.v[i + 1:c.k], ' ')
 ), b AS (
   SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1
 ), inside AS (
