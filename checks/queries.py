@@ -19,8 +19,10 @@ from urlgauge.functions.perturb import ATTACKS, HYBRID_MODEL_ATTACK, apply_attac
 from urlgauge.functions.text import binary_label, char_ngrams
 from urlgauge.functions.url import ensure_http, exploration_domain, query_param_count, with_url_parts
 from urlgauge.models.batch import score_batches, with_batch_scores
+from urlgauge.models.forest import DeepForest
 from urlgauge.models.hybrid import attack_hybrid, fit_hybrid, fit_on_scores
 from urlgauge.models.tabular import (
+    INPUT,
     boosted_small_trees,
     boosted_trees,
     fit_tabular,
@@ -28,14 +30,15 @@ from urlgauge.models.tabular import (
     with_prediction,
 )
 from urlgauge.models.text import fit_text_model, out_of_fold_text_scores, with_text_scores
+from urlgauge.models.trees import LeafwiseBoosting, SecondOrderBoosting, with_rules
 from urlgauge.operators import explore, metrics, ngrams, results, robustness
-from urlgauge.operators.clean import audit_labelled, clean_labelled, feed_urls, labelled_urls
+from urlgauge.operators.clean import audit_labelled, clean_labelled, feed_urls, labelled_urls, stored_labelled
 from urlgauge.operators.dedup import keep_first
 from urlgauge.operators.errors import error_profile, top_false_negatives, top_false_positives, with_error_type
 from urlgauge.operators.overlap import common_urls, only_new, overlap_count, union_keep_first
 from urlgauge.operators.split import exact_sample, mark_split, stratified_split
 from urlgauge.plans.analysis import analyse_errors, analyse_robustness
-from urlgauge.plans.pipeline import feature_tables, load_audit, make_splits, run_meta, train_tabular
+from urlgauge.plans.pipeline import feature_tables, load_audit, make_splits, run_meta, train_hybrid, train_tabular
 from urlgauge.session import materialize, work_folder
 from urlgauge.sources.readers import preview, read_feed, read_labelled_csv, read_metrics, read_split
 from urlgauge.sources.registry import find_model, latest_valid, list_runs, load_model, run_id, save_run
@@ -121,6 +124,12 @@ def audit_counts(spark, sf_dir):
     return audit_labelled(urls_raw(spark, sf_dir))
 
 
+@query
+def audit_observed(spark, sf_dir):
+    """The same, counted while the labelled table is written."""
+    return stored_labelled(urls_raw(spark, sf_dir))[1]
+
+
 @query
 def dedup_keep_first_url(spark, sf_dir):
     return labelled_urls(urls_raw(spark, sf_dir), source="site")
@@ -209,6 +218,13 @@ def feed_anti_join(spark, sf_dir):
     return only_new(feed_urls(feed_raw(spark, sf_dir), source="feed"), known)
 
 
+@query
+def feed_anti_join_filtered(spark, sf_dir):
+    """The same beyond the size that may be broadcast: only keys that pass a bounded filter are shuffled."""
+    known = labelled_urls(urls_raw(spark, sf_dir))
+    return only_new(feed_urls(feed_raw(spark, sf_dir), source="feed"), known, limit=0)
+
+
 @query
 def overlap(spark, sf_dir):
     return overlap_count(urls(spark, sf_dir), feed_raw(spark, sf_dir))
@@ -574,10 +590,98 @@ def metrics_json_files(spark, sf_dir):
 
 
 def _feature_split(spark, sf_dir):
-    """Features of all URLs, labelled by whether they have a query; few rows, so one task fits each tree."""
+    """Features of all URLs, labelled by whether they have a query."""
     features = url_features(urls(spark, sf_dir)).withColumn("label", (F.col("num_qmark") > 0).cast("int"))
     train, test = stratified_split(materialize(features))
-    return materialize(train.coalesce(1)), test
+    return materialize(train), test
+
+
+def _noisy_links(spark, sf_dir):
+    """Features of all different links. The label needs two features at once, and a sixteenth of them has the other one."""
+    unique = materialize(links(spark, sf_dir).select("url").distinct())
+    features = url_features(unique.withColumns({"label": F.lit(0), "source": F.lit("link")}))
+    kind = (F.col("url_len") > 41) != (F.col("num_slash") > 4)
+    noise = F.md5(F.col("url").cast("binary")).startswith("0")
+    return materialize(features.withColumn("label", (kind != noise).cast("int")))
+
+
+def _shape(name: str, trees) -> dict:
+    """What the settings of a learner must show in its trees."""
+    return {"model": name, "trees": len(trees), "most_leaves": max(t.leaves() for t in trees), "deepest": max(t.depth() for t in trees)}
+
+
+def _judged(test: DataFrame, model: PipelineModel, shape: dict) -> DataFrame:
+    measured = metrics.classification_metrics(with_prediction(test, model), score="proba")
+    good = F.col("accuracy").between(0.8, 0.98)  # the noise cannot be learnt, the rest can
+    return measured.select(F.lit(shape["model"]).alias("model"), "n", F.lit(shape["trees"]).alias("trees"), *shape["checks"], good.alias("good"))
+
+
+@query
+def leafwise_fit(spark, sf_dir):
+    """500 rounds of trees with up to 64 leaves, some of them deeper than a level-wise tree of 64 leaves."""
+    train, test = stratified_split(_noisy_links(spark, sf_dir))
+    model = fit_tabular(materialize(train), LeafwiseBoosting(featuresCol=INPUT))
+    shape = _shape("leafwise", model.stages[-1].all_trees())
+    within = [F.lit(1 < shape["most_leaves"] <= 64).alias("leaves_kept"), F.lit(shape["deepest"] > 6).alias("depth_kept")]
+    return _judged(test, model, shape | {"checks": within})
+
+
+@query
+def second_order_fit(spark, sf_dir):
+    """300 rounds of depth 7 at most, on shares of rows and columns."""
+    train, test = stratified_split(_noisy_links(spark, sf_dir))
+    model = fit_tabular(materialize(train), SecondOrderBoosting(featuresCol=INPUT))
+    shape = _shape("second_order", model.stages[-1].all_trees())
+    within = [F.lit(1 < shape["most_leaves"] <= 128).alias("leaves_kept"), F.lit(3 < shape["deepest"] <= 7).alias("depth_kept")]
+    return _judged(test, model, shape | {"checks": within})
+
+
+@query
+def deep_forest_fit(spark, sf_dir):
+    """200 trees that end in pure leaves only."""
+    train, test = stratified_split(_noisy_links(spark, sf_dir))
+    model = fit_tabular(materialize(train), DeepForest(featuresCol=INPUT))
+    trees = model.stages[-1].all_trees()
+    shape = _shape("forest", trees)
+    pure = np.mean([v in (0.0, 1.0) for t in trees for v, c in zip(t.value, t.column, strict=True) if c < 0])
+    within = [F.lit(shape["most_leaves"] > 16).alias("leaves_kept"), F.lit(bool(shape["deepest"] > 8 and pure > 0.5)).alias("depth_kept")]
+    return _judged(test, model, shape | {"checks": within})
+
+
+@query
+def boosted_root_cuts(spark, sf_dir):
+    """The first cut of the first tree of both boosted learners, on all rows and columns."""
+    table_ = _noisy_links(spark, sf_dir)
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol=INPUT).transform(table_)
+    rows = []
+    for name, learner in (("leafwise", LeafwiseBoosting(featuresCol=INPUT)), ("second_order", SecondOrderBoosting(featuresCol=INPUT))):
+        (tree,) = with_rules(learner, rounds=1, rows=1.0, columns=1.0).fit(vectors).all_trees()
+        rows.append((name, FEATURES[tree.column[0]], tree.cut[0], tree.gain[0]))
+    found = spark.createDataFrame(rows, "model string, feature string, cut double, gain double")
+    return found.withColumn("gain", F.round("gain", 4))
+
+
+@query
+def text_intercept(spark, sf_dir):
+    """At the optimum of the penalised fit, the intercept is what the weighted errors add up to."""
+    train = materialize(urls(spark, sf_dir).select("url", "label"))
+    model = fit_text_model(train, tolerance=1e-10)
+    weights = ngrams.class_weights(train).select("label", "weight")
+    errors = with_text_scores(train, model).join(F.broadcast(weights), "label")  # a row for each of two classes
+    intercept = float(model.stages[-1].coefficients[-1])
+    left = F.abs(F.sum(F.col("weight") * (F.col("label") - F.col("text_proba"))) - F.lit(intercept))
+    return errors.agg(F.count("*").alias("n"), (left < 1e-3).alias("at_optimum"), F.lit(intercept != 0).alias("has_intercept"))
+
+
+@query
+def stacked_payload(spark, sf_dir):
+    """What a stacked run leaves behind about itself."""
+    train, test = _feature_split(spark, sf_dir)
+    _, payload = train_hybrid(train, test, fit_text_model(train), boosted_small_trees(maxIter=20), text_model_path="runs/text")
+    meta = lambda name: F.get_json_object("payload", f"$.meta.{name}")
+    counts = [meta(name).cast("bigint").alias(name) for name in ("n_train_sampled", "n_test_sampled", "n_train", "n_test", "feature_count")]
+    texts = [meta(name).alias(name) for name in ("model_name", "device", "bert_model_dir", "feature_cols_head")]
+    return payload.select(*counts, *texts, meta("params.maxIter").alias("rounds"))
 
 
 def _evaluated(scored_df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from urlgauge.models.tabular import (
     random_forest,
     with_prediction,
 )
-from urlgauge.models.text import VECTOR, fit_text_model, fit_vectorizer, out_of_fold_text_scores, with_text_scores
+from urlgauge.models.text import INPUTS, VECTOR, fit_text_model, fit_vectorizer, out_of_fold_text_scores, with_text_scores
 from urlgauge.operators.metrics import classification_metrics
 from urlgauge.operators.ngrams import tfidf_rows
 from urlgauge.operators.results import summarize
@@ -202,3 +202,21 @@ def test_batch_scoring_builds_the_model_in_the_worker(spark):
 
     df = spark.createDataFrame([("a" * i,) for i in range(10)], "url string")
     assert sorted(r["proba"] for r in score_batches(df, make, batch_size=3).collect()) == [2.0 * i for i in range(10)]
+
+
+def test_intercept_is_penalised_like_the_weights(spark):
+    rng = np.random.default_rng(4)
+    rows = [("".join(rng.choice(list("abcd./"), rng.integers(3, 12))), int(rng.uniform() < 0.3)) for _ in range(120)]
+    train = spark.createDataFrame(rows, "url string, label int")
+    model = fit_text_model(train, tolerance=1e-12)
+    scored = model.transform(train).select(INPUTS, "label").collect()
+    x, y = np.array([r[0].toArray() for r in scored]), np.array([r.label for r in scored])
+    weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    w = np.zeros(x.shape[1])
+    for _ in range(50):  # a dense solve: Newton's steps on all coefficients, the constant column's included
+        p = 1 / (1 + np.exp(-x @ w))
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(x.shape[1])
+        w = w - np.linalg.solve(hessian, x.T @ (weight * (p - y)) + w)
+    found = model.stages[-1]
+    assert found.intercept == 0 and (x[:, -1] == 1).all() and abs(w[-1]) > 1e-3
+    assert np.abs(found.coefficients.toArray() - w).max() < 1e-6

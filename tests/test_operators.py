@@ -3,6 +3,7 @@
 import hashlib
 import math
 from collections import Counter
+from decimal import Decimal
 import random
 
 import pytest
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from urlgauge.contracts import require_columns, require_same_features
 from urlgauge.operators import explore, metrics, ngrams, robustness
-from urlgauge.operators.clean import audit_labelled, labelled_urls
-from urlgauge.operators.dedup import keep_first
+from urlgauge.operators.clean import audit_labelled, labelled_urls, stored_labelled
+from urlgauge.operators.dedup import keep_first, packed
 from urlgauge.operators.errors import with_error_type
-from urlgauge.operators.overlap import common_urls, only_new, overlap_count
+from urlgauge.operators.overlap import FILTER_BITS, common_urls, filter_bits, key_filter, maybe_among, only_new, overlap_count, union_keep_first
 from urlgauge.operators.split import class_quotas, exact_sample, stratified_split
 from urlgauge.plans.pipeline import make_splits
 
@@ -328,3 +329,57 @@ def test_class_weights(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2, "label int")
     got = {r["label"]: r["weight"] for r in ngrams.class_weights(df).collect()}
     assert got == {0: pytest.approx(8 / 12), 1: pytest.approx(2)}
+
+
+def test_key_filter_passes_all_that_are_asked_and_few_others(spark):
+    known = spark.range(200_000).select(F.concat(F.lit("k"), "id").alias("url"), F.lit(1).alias("_bits_"))
+    asked = spark.range(198_000, 203_000).select(F.concat(F.lit("k"), "id").alias("url"))
+    bits = filter_bits(5_000)
+    passed = maybe_among(known, key_filter(asked, "url", bits), "url", bits)
+    assert passed.columns == known.columns
+    assert passed.join(asked, "url", "left_semi").count() == 2_000 and 2_000 <= passed.count() <= 2_000 + 198_000 // 100
+    small = maybe_among(known, key_filter(asked, "url", 1 << 16), "url", 1 << 16)  # too few bits: more pass, none is lost
+    assert small.join(asked, "url", "left_semi").count() == 2_000 < small.count()
+    assert filter_bits(0) == 1 << 16 and filter_bits(10**12) == FILTER_BITS
+    assert maybe_among(known, key_filter(asked.where("false"), "url", bits), "url", bits).count() == 0
+
+
+def test_large_feeds_are_filtered_exactly(spark):
+    feed = spark.createDataFrame([(f"u{i}", i) for i in range(0, 3000, 3)] + [("u0", 9), (None, 1)], "url string, ordinal int")
+    known = spark.createDataFrame([(f"u{i}",) for i in range(0, 3000, 2)] * 2 + [(None,)], "url string")
+    want = sorted(only_new(feed, known).collect(), key=str)
+    assert sorted(only_new(feed, known, limit=0).collect(), key=str) == want and len(want) == 501
+
+
+def test_audit_counted_on_the_way(spark):
+    raw = spark.createDataFrame([("a.com", "bad", 2), (" a.com", "good", 1), (None, "bad", 3), ("b.com", "x", 4), ("", "bad", 5)], "url string, label string, ordinal int")
+    labelled, audit = stored_labelled(raw)
+    assert sorted(map(tuple, audit.collect())) == sorted(map(tuple, audit_labelled(raw).collect()))
+    assert [(r.url, r.label) for r in labelled.collect()] == [("a.com", 0)]
+    assert [r.removed for r in stored_labelled(raw.where("false"))[1].collect()] == [0, 0, 0]
+
+
+def test_numbers_pack_in_order(spark):
+    edges = [-(2**63), -1, 0, 1, 2**63 - 1]
+    small = [-(2**31), -1, 0, 2**31 - 1]
+    df = spark.createDataFrame([(a, b) for a in edges for b in small], "a bigint, b int")
+    rows = df.withColumn("_n", packed(df, ["a", "b"])).collect()
+    assert [(r.a, r.b) for r in sorted(rows, key=lambda r: r["_n"])] == sorted((r.a, r.b) for r in rows)
+    assert packed(df, ["a", "a"]) is None and packed(df, ["b", "a"]) is not None
+
+
+def test_union_of_file_places_is_one_number(spark):
+    first = spark.createDataFrame([(u, Decimal(n), k) for u, n, k in (("x", 10**30, 1), ("x", 5, 2), ("y", 10**37, 3))], "url string, ordinal decimal(38,0), label int")
+    second = spark.createDataFrame([("x", Decimal(0), 7), ("z", Decimal(4), 8), ("z", Decimal(3), 9)], first.schema)
+    got = union_keep_first(first, second)
+    assert sorted((r.url, int(r.ordinal), r.label) for r in got.collect()) == [("x", 5, 2), ("y", 10**37, 3), ("z", 3, 9)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan.replace("ObjectHashAggregate", "")
+
+
+def test_gram_counts_move_no_rows(spark):
+    df = spark.createDataFrame([(1, "abab"), (2, ""), (3, None), (4, "ä ä"), (5, "x")], "id int, text string")
+    counts = ngrams.gram_counts(df, "id", "text", 1, 2)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    want = {(1, "a"): 2, (1, "b"): 2, (1, "ab"): 2, (1, "ba"): 1, (4, "ä"): 2, (4, " "): 1, (4, "ä "): 1, (4, " ä"): 1, (5, "x"): 1}
+    assert {(r.id, r.gram): r.tf for r in counts.collect()} == want

@@ -2,11 +2,12 @@
 
 import json
 import shutil
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import functions as F
 
 from urlgauge.operators import results
@@ -153,3 +154,39 @@ def test_summary_files(spark, tmp_path):
     assert text.splitlines() == ["| model | f1 | n |", "| --- | --- | --- |", "| a | 0.5000 | 3 |", "| b | 0.2500 |  |"]
     table = spark.read.option("header", True).csv(str(tmp_path / "out" / "summary_csv"))
     assert [tuple(r) for r in table.collect()] == [("a", "0.5", "3"), ("b", "0.25", None)]
+
+
+def test_savers_of_one_second_never_meet(spark, tmp_path):
+    model = PipelineModel([VectorAssembler(inputCols=["a"], outputCol="v")])
+    at, root = datetime(2024, 1, 2, 3, 4, 5), str(tmp_path / "runs")
+    with ThreadPoolExecutor(10) as pool:
+        paths = list(pool.map(lambda _: registry.save_run(model, root, at), range(10)))
+    assert len(set(paths)) == 10
+    runs = registry.list_runs(spark, root).collect()
+    assert len(runs) == 10 and all(r.valid for r in runs)
+    assert {r.run_id for r in runs} == {"run_20240102_030405", *(f"run_20240102_030405_{k:04d}" for k in range(2, 11))}
+
+
+def test_one_of_many_creates_a_file(spark, tmp_path):
+    with ThreadPoolExecutor(12) as pool:
+        for nth in range(5):
+            made = list(pool.map(lambda _: registry.create_if_absent(spark, str(tmp_path / f"claims/{nth}")), range(12)))  # noqa: B023
+            assert sum(made) == 1
+
+
+def test_rows_follow_their_files(spark, tmp_path):
+    """Places of files come from a listing, odd names included; blocks and empty files do not disturb them."""
+    names = ["b c.csv", "a%20b.csv", "a.csv", "ä.csv", "z=1.csv"]
+    for nth, name in enumerate(names):
+        rows = "" if nth == 4 else "\n".join(f"http://{nth}.com/{i},bad" for i in range(200))
+        (tmp_path / name).write_text(f"URL,Label\n{rows}\n" if rows else "URL,Label\n", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        rows = readers.read_labelled_csv(spark, str(tmp_path)).orderBy("ordinal").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 800 and len({r.ordinal for r in rows}) == 800
+    files = [r.url.split("/")[2] for r in rows]
+    order = [f"{names.index(n)}.com" for n in sorted(names[:4], key=lambda n: n.replace("%", "%25").replace(" ", "%20").encode())]
+    assert [f for f, before in zip(files, [None, *files], strict=False) if f != before] == order
+    assert all(int(r.url.rsplit("/", 1)[1]) == i % 200 for i, r in enumerate(rows))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from urlgauge.functions.features import FEATURES, with_url_features
 from urlgauge.functions.perturb import HYBRID_MODEL_ATTACK, AttackText
-from urlgauge.models.tabular import INPUT, boosted_small_trees, with_prediction
+from urlgauge.models.tabular import INPUT, boosted_small_trees, with_prediction, without_summary
 from urlgauge.models.text import out_of_fold_text_scores
 from urlgauge.operators.metrics import decide
 from urlgauge.operators.robustness import attack_detected
@@ -53,7 +53,7 @@ def fit_hybrid(
         vectors = VectorAssembler(inputCols=[*FEATURES, *TEXT_SCORES], outputCol=INPUT).transform(scored)
     else:
         vectors = prepared.transform(sample)
-    trees = learner.fit(materialize(vectors.select("label", INPUT)))
+    trees = without_summary(learner.fit(materialize(vectors.select("label", INPUT))))
     return PipelineModel([*prepared.stages, trees])
 
 
@@ -74,7 +74,7 @@ def fit_on_scores(
     sample = train if rows is None else exact_sample(train, rows, "url", seed)
     assembler = VectorAssembler(inputCols=[*FEATURES, *scores], outputCol=INPUT)
     vectors = materialize(assembler.transform(sample).select("label", INPUT))
-    return PipelineModel([assembler, learner.fit(vectors)])
+    return PipelineModel([assembler, without_summary(learner.fit(vectors))])
 
 
 def score_urls(df: DataFrame, model: PipelineModel, threshold: float | None = None) -> DataFrame:

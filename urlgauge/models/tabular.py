@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark import SparkContext
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -47,10 +48,24 @@ def boosted_small_trees(**changes) -> GBTClassifier:
     return GBTClassifier(**{**_COMMON, **settings, **changes})
 
 
+def without_summary(model: Model) -> Model:
+    """The fitted model without its training summary.
+
+    A summary holds the training table and the session, which then go into every
+    task that scores; in a session that has observed metrics that even fails.
+    """
+    if getattr(model, "hasSummary", False):
+        nothing = SparkContext._active_spark_context._jvm.scala.Option.empty()
+        model._java_obj.setSummary(nothing)
+    return model
+
+
 def fit_tabular(train: DataFrame, learner: Estimator, features: Sequence[str] = FEATURES) -> PipelineModel:
     """Assemble the inputs and fit; ``train`` should be a stored feature table."""
     assembler = VectorAssembler(inputCols=list(features), outputCol=INPUT)
-    return Pipeline(stages=[assembler, learner]).fit(train.select("label", *features))
+    fitted = Pipeline(stages=[assembler, learner]).fit(train.select("label", *features))
+    without_summary(fitted.stages[-1])
+    return fitted
 
 
 def with_prediction(df: DataFrame, model: PipelineModel, pred: str = "pred", proba: str = "proba") -> DataFrame:

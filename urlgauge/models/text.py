@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlgauge.functions.text import char_ngrams_sql
+from urlgauge.models.tabular import without_summary
 from urlgauge.operators.ngrams import class_weights, document_frequency, idf
 from urlgauge.operators.split import exact_sample
 from urlgauge.session import materialize
@@ -23,6 +24,7 @@ LOW, HIGH, MIN_DF, MAX_ITER, TOLERANCE = 2, 3, 2, 2000, 1e-4
 FIT_ROWS = 500_000
 
 GRAMS, COUNTS, SCALED, VECTOR = "_grams", "_gram_counts", "_gram_scaled", "_gram_vector"
+ONE, INPUTS = "_one", "_text_inputs"
 
 
 def fit_vectorizer(
@@ -62,12 +64,14 @@ def fit_text_model(
     max_iter: int = MAX_ITER,
     rows: int | None = FIT_ROWS,
     seed: int = 42,
+    tolerance: float = TOLERANCE,
     **vectorizer,
 ) -> PipelineModel:
     """Vectoriser and classifier as one savable pipeline.
 
     Balanced weights add up to the row count, so an L2 strength of 1/rows is the
-    usual C = 1.  The intercept is left out of the penalty.  ``rows`` bounds the
+    usual C = 1.  The intercept is penalised like any other weight: it is the weight
+    of a column that is one everywhere, the last of the coefficients.  ``rows`` bounds the
     labelled rows of the fit: an exact sample by a hash of the text, ``None`` for
     all.  Texts and vectors are stored once, for the several passes of the fit.
     """
@@ -79,22 +83,32 @@ def fit_text_model(
     weight = F.lit(None).cast("double")
     for row in classes:
         weight = F.when(F.col(label) == row[label], row["weight"]).otherwise(weight)
-    vectors = PipelineModel(stages).transform(narrow).select(VECTOR, label, weight.alias("_weight"))
-    vectors = materialize(vectors)
+    stages += [
+        SQLTransformer(statement=f"SELECT *, 1.0D AS {ONE} FROM __THIS__"),
+        VectorAssembler(inputCols=[VECTOR, ONE], outputCol=INPUTS),
+    ]
+    vectors = PipelineModel(stages).transform(narrow).select(INPUTS, label, weight.alias("_weight"))
+    # MLlib gives a column without variance no weight.  A row of zeros has the same loss whatever the weights are, so
+    # one that counts as much as all others changes nothing but the variance of the column of ones.
+    blank = [(Vectors.sparse(len(stages[1].vocabulary) + 1, [], []), float(fitted))]
+    zeros = vectors.sparkSession.createDataFrame(blank, [INPUTS, "_weight"])
+    zeros = zeros.select(INPUTS, F.lit(0).cast(vectors.schema[label].dataType).alias(label), "_weight")
+    vectors = materialize(vectors.union(zeros))
     classifier = LogisticRegression(
-        featuresCol=VECTOR,
+        featuresCol=INPUTS,
         labelCol=label,
         weightCol="_weight",
-        regParam=1.0 / fitted,
+        fitIntercept=False,
+        regParam=0.5 / fitted,  # the row of zeros doubles the weight of all
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=TOLERANCE,
+        tol=tolerance,
         rawPredictionCol="_text_raw",
         probabilityCol="_text_probability",
         predictionCol="_text_prediction",
     )
-    return PipelineModel([*stages, classifier.fit(vectors)])
+    return PipelineModel([*stages, without_summary(classifier.fit(vectors))])
 
 
 def with_text_scores(df: DataFrame, model: PipelineModel) -> DataFrame:

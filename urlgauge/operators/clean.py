@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from urlgauge.functions.text import binary_label, clean_url
 from urlgauge.operators.dedup import keep_first
+from urlgauge.session import materialize
 
 # Names of the two kinds of source in stored tables.
 LABELLED_SOURCE = "github"
 FEED_SOURCE = "openphish"
 
+CLEANING = [("url_filter", "raw", "with_url"), ("label_filter", "with_url", "with_label"), ("dedup", "with_label", "distinct")]
+
 
 def clean_labelled(raw: DataFrame) -> DataFrame:
     """Clean URLs and map labels; unusable values become NULL, no row is dropped yet."""
@@ -24,7 +27,11 @@ def labelled_urls(raw: DataFrame, source: str = LABELLED_SOURCE, order: str = "o
     Rows without a usable label go before de-duplication, so they can never be
     the "first" copy that wins.
     """
-    usable = clean_labelled(raw).na.drop(subset=["url", "label"])
+    return _labelled(clean_labelled(raw), source, order)
+
+
+def _labelled(cleaned: DataFrame, source: str, order: str) -> DataFrame:
+    usable = cleaned.na.drop(subset=["url", "label"])
     return keep_first(usable.select("url", "label", order), "url", order).withColumn("source", F.lit(source))
 
 
@@ -79,11 +86,18 @@ def audit_labelled(raw: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(labelled, F.col("n"))), F.lit(0)).alias("with_label"),
         F.count_if(labelled).alias("distinct"),
     )
-    return audit_table(
-        counts,
-        [
-            ("url_filter", "raw", "with_url"),
-            ("label_filter", "with_url", "with_label"),
-            ("dedup", "with_label", "distinct"),
-        ],
-    )
+    return audit_table(counts, CLEANING)
+
+
+def stored_labelled(raw: DataFrame, source: str = LABELLED_SOURCE, order: str = "ordinal") -> tuple[DataFrame, DataFrame]:
+    """:func:`labelled_urls`, stored, and what :func:`audit_labelled` says of it.
+
+    The rows are counted on their way to the table, so ``raw`` is read once; the
+    table's own size comes from its files.  Runs the job that writes the table.
+    """
+    seen = Observation()
+    usable = F.col("url").isNotNull() & F.col("label").isNotNull()
+    counts = [F.count("*").alias("raw"), F.count_if(F.col("url").isNotNull()).alias("with_url"), F.count_if(usable).alias("with_label")]
+    labelled = materialize(_labelled(clean_labelled(raw).observe(seen, *counts), source, order))
+    known = [F.lit(value).cast("bigint").alias(name) for name, value in seen.get.items()]
+    return labelled, audit_table(labelled.agg(F.count("*").alias("distinct")).select("distinct", *known), CLEANING)

@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+
+
 def packed(df: DataFrame, order: Sequence[str]) -> Column | None:
-    """Two whole numbers, the first of at most 32 bits, as one number that orders alike; else nothing."""
+    """Two whole numbers of at most 96 bits together as one number that orders alike; else nothing."""
     kinds = dict(df.dtypes)
-    first, second = (kinds[name] for name in order) if len(order) == 2 else ("", "")
-    if first in ("tinyint", "smallint", "int") and second in ("tinyint", "smallint", "int", "bigint"):
-        return F.col(order[0]).cast("decimal(38,0)") * F.lit(Decimal(2 * 10**19)) + F.col(order[1])
+    first, second = (_BITS.get(kinds[name], 128) for name in order) if len(order) == 2 else (128, 128)
+    if first + second <= 96:
+        return F.col(order[0]).cast("decimal(38,0)") * F.lit(Decimal(2**second)) + F.col(order[1])
     return None
 
 

@@ -10,25 +10,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlgauge.functions.text import char_ngrams
-from urlgauge.session import broadcast_if_small, materialize, text_bytes
-
-TASK_BYTES = 4 << 20  # of text that one task cuts into grams
+from urlgauge.session import broadcast_if_small, materialize
 
 
 def gram_counts(df: DataFrame, key: str, text: str, low: int = 2, high: int = 3) -> DataFrame:
     """``<key>, gram, tf``: how often each gram occurs in each text.
 
-    ``key`` identifies texts.  The short rows are shuffled before they grow a
-    hundredfold: once texts are spread by key, counting - and any later window by
-    key - stays in place.  The number of partitions follows the measured size of
-    the texts, because adaptive merging would judge them by their size before the
-    growth.
+    ``key`` identifies texts, so each text is counted in its own row: its grams are
+    sorted, and where one begins and the next one does is how often it occurs.  Nothing
+    is shuffled, and what grows out of a row is passed on as it comes.
     """
-    size = text_bytes(df, text)
-    partitions = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
-    spread = df.select(key, text).repartition(partitions, key)
-    grams = spread.select(key, F.explode(char_ngrams(text, low, high)).alias("gram"))
-    return grams.groupBy(key, "gram").agg(F.count("*").alias("tf"))
+    sorted_ = df.select(key, F.array_sort(char_ngrams(text, low, high)).alias("_g"))
+    places = F.sequence(F.lit(0), F.size("_g") - 1)
+    first = F.filter(places, lambda i: (i == 0) | (F.get("_g", i) != F.get("_g", i - 1)))
+    headed = sorted_.where("size(_g) > 0").select(key, "_g", first.alias("_at"))
+    counts = F.transform(
+        "_at",
+        lambda at, nth: F.struct(
+            F.get("_g", at).alias("gram"),
+            (F.coalesce(F.get("_at", nth + 1), F.size("_g")) - at).cast("bigint").alias("tf"),
+        ),
+    )
+    return headed.select(key, F.explode(counts).alias("_c")).select(key, "_c.gram", "_c.tf")
 
 
 def document_frequency(
@@ -52,11 +55,12 @@ def tfidf_rows(df: DataFrame, key: str, text: str, low: int = 2, high: int = 3,
     """``<key>, gram, tf, df, tfidf``: L2-normalised weights, one row per text and gram.
 
     Document frequencies are counted and stored first, so that their size is
-    known; as a rule they can be broadcast, and then nothing but the texts moves.
+    known; as a rule they can be broadcast, and then nothing but the texts moves: they
+    are spread by key before they grow, so the norm of each is found in place.
     """
     documents = F.lit(df.count())
     frequency = materialize(document_frequency(df, text, low, high, min_df))
-    counts = gram_counts(df, key, text, low, high)
+    counts = gram_counts(df.select(key, text).repartition(key), key, text, low, high)
     matched = counts.join(broadcast_if_small(frequency, "gram"), "gram")
     weighted = matched.withColumn("_w", F.col("tf") * idf(F.col("df"), documents))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))

@@ -26,7 +26,7 @@ from urlgauge.models.tabular import (
     with_prediction,
 )
 from urlgauge.models.text import HIGH, LOW, MIN_DF, fit_text_model, with_text_scores
-from urlgauge.operators.clean import audit_labelled, audit_table, feed_urls, labelled_urls, row_counts
+from urlgauge.operators.clean import audit_labelled, audit_table, feed_urls, row_counts, stored_labelled
 from urlgauge.operators.metrics import classification_metrics
 from urlgauge.operators.overlap import only_new, overlap_count, union_keep_first
 from urlgauge.operators.results import require_rows, several_payload, single_payload, summarize, summary_order
@@ -89,20 +89,26 @@ def make_splits(
 def load_audit(raw: DataFrame, labelled: DataFrame, feed: DataFrame) -> DataFrame:
     """``stage, rows_before, rows_after, removed`` of each cleaning step of ``raw``, and
     as ``feed_known`` how many of the URLs in ``labelled`` the feed has, too."""
+    return audit_labelled(raw).unionByName(audit_known(labelled, feed))
+
+
+def audit_known(labelled: DataFrame, feed: DataFrame) -> DataFrame:
     shared = overlap_count(labelled, feed).withColumn("all", F.lit(labelled.count())).withColumn(
         "others", F.col("all") - F.col("overlap")
     )
-    return audit_labelled(raw).unionByName(audit_table(shared, [("feed_known", "all", "others")]))
+    return audit_table(shared, [("feed_known", "all", "others")])
 
 
 def prepare(spark: SparkSession, labelled_csv: str, feed_text: str, folder: str, **options) -> Splits:
-    """Load, clean, de-duplicate, split and store under ``folder``; the audit beside it."""
-    raw = read_labelled_csv(spark, labelled_csv)
-    labelled = materialize(labelled_urls(raw))
+    """Load, clean, de-duplicate, split and store under ``folder``; the audit beside it.
+
+    The raw table is read once: its audit is counted while the labelled table is written.
+    """
+    labelled, cleaning = stored_labelled(read_labelled_csv(spark, labelled_csv))
     feed = materialize(feed_urls(read_feed(spark, feed_text)))
     splits = make_splits(labelled, feed, unique=True, **options)
     write_marked(splits.marked, folder)
-    load_audit(raw, labelled, feed).unionByName(splits.audit).write.parquet(f"{folder}_audit")
+    cleaning.unionByName(audit_known(labelled, feed)).unionByName(splits.audit).write.parquet(f"{folder}_audit")
     return Splits(read_split(spark, folder), spark.read.parquet(f"{folder}_audit"))
 
 

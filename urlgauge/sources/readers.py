@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from urlgauge.contracts import require_columns, require_same_features
 from urlgauge.functions.text import LINE_BREAKS, drop_invalid_utf8, strip_whitespace
+from urlgauge.session import broadcast_if_small, materialize
 
 # The metrics files a full run leaves behind.
 METRICS_FILES = ("ml_results.json", "ngram_results.json", "bert_results.json", "hybrid_results.json")
@@ -33,24 +33,40 @@ def present_paths(spark: SparkSession, paths: Sequence[str], skip_missing: bool
 
 
 POSITION = "decimal(38,0)"
-SCHEME = r"^([^/:]+):/+"  # a path may have one slash or three after its scheme
 
 
-def with_file_order(rows: DataFrame, files: Sequence[str], name: str = "ordinal") -> DataFrame:
+def file_places(spark: SparkSession, path: str) -> DataFrame:
+    """``_path, _place``: the files under ``path``, numbered in the order of their paths.
+
+    No file is opened: the paths come from a listing.  They are sorted by ranges over
+    all tasks; only the number of paths in each range reaches the driver.
+    """
+    listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_path"))
+    ranges = listed.repartitionByRange("_path").sortWithinPartitions("_path")
+    nth = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))
+    ranges = materialize(ranges.select("_path", F.spark_partition_id().alias("_range"), nth.alias("_nth")))
+    sizes = sorted((row["_range"], row["count"]) for row in ranges.groupBy("_range").count().collect())
+    starts = [(part, sum(size for other, size in sizes if other < part)) for part, _ in sizes]
+    # one row for each range, so never more than there are shuffle partitions
+    starts = F.broadcast(spark.createDataFrame(starts, "_range int, _start long"))
+    return ranges.join(starts, "_range").select("_path", (F.col("_start") + F.col("_nth")).alias("_place"))
+
+
+def with_file_order(rows: DataFrame, path: str, name: str = "ordinal") -> DataFrame:
     """Add the position of each row in its input files, as one number, and drop what it is made of.
 
     ``rows`` has ``_file``, ``_block``, ``_row`` and ``_piece``: path, start of the
     file block, row number within the task, and piece of the line.  Row numbers grow
     inside a block, and blocks sort by path and offset, so "first" means file order
     however Spark packs blocks into partitions.  A number, unlike a path, lets Spark
-    aggregate by hash.  The list of files is what the driver planned the scan from.
+    aggregate by hash.  The numbers of the files are joined, broadcast if their
+    measured size allows.
     """
-    paths = sorted(re.sub(SCHEME, r"\1:/", file) for file in files)
-    places = rows.sparkSession.createDataFrame(list(enumerate(paths)), "_place long, _path string")
+    places = file_places(rows.sparkSession, path)
     digits = F.lit(0).cast(POSITION) + F.col("_place")
     for column, width in (("_block", 13), ("_row", 10), ("_piece", 5)):
         digits = (digits * F.lit(10**width).cast("decimal(14,0)")).cast(POSITION) + F.col(column).cast("decimal(13,0)")
-    placed = rows.join(F.broadcast(places), F.regexp_replace("_file", SCHEME, "$1:/") == F.col("_path"))
+    placed = rows.join(broadcast_if_small(places, "_path"), F.col("_file") == F.col("_path"))
     return placed.withColumn(name, digits.cast(POSITION)).drop("_file", "_block", "_row", "_piece", "_place", "_path")
 
 
@@ -86,7 +102,7 @@ def read_labelled_csv(
     )
     require_columns(raw, [url, label], path)
     rows = raw.select(F.col(url).alias("url"), F.col(label).alias("label"), *_place())
-    return with_file_order(rows, raw.inputFiles())
+    return with_file_order(rows, path)
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -98,7 +114,7 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
         "_metadata",
     )
     rows = lines.select(strip_whitespace(F.col("line")).alias("url"), *_place(F.col("piece")))
-    return with_file_order(rows.filter("url <> ''"), raw.inputFiles())
+    return with_file_order(rows.filter("url <> ''"), path)
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:

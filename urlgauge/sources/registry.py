@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from urlgauge.sources.readers import path_exists
 
 RUN_FORMAT = "%Y%m%d_%H%M%S"
 RUN_SCHEMA = "run_id string, path string, valid boolean"
+CLAIMS = "_claims"  # a file for each run name that was ever given out
 COMPLETE = "_COMPLETE"  # written when all stages of a saved model are
 
 
@@ -21,21 +23,42 @@ def run_id(ts: Column) -> Column:
     return F.concat(F.lit("run_"), F.date_format(ts, "yyyyMMdd_HHmmss"))
 
 
+def create_if_absent(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it is there already.  Of several callers at once one gets True.
+
+    Distributed file systems decide that in one call.  Hadoop's local one looks first
+    and writes then, so Java's own call is taken there.
+    """
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(file.getParent())
+    if system.getUri().getScheme() == "file":
+        return spark._jvm.java.io.File(file.toUri().getPath()).createNewFile()
+    try:
+        system.create(file, False).close()
+    except Py4JJavaError as error:
+        if path_exists(spark, path):
+            return False
+        raise error
+    return True
+
+
 def save_run(model: PipelineModel, root: str, now: datetime | None = None) -> str:
     """Save a fitted pipeline under a new run folder and return its path.
 
-    A second run of one second gets a number.  The folder is marked as complete
+    A name is claimed by creating a file that nobody else has created, so savers of
+    one second never meet in a folder; the later ones get a number.  The folder is marked as complete
     after all stages are written, so readers never take up half a model.
     """
     spark = SparkSession.active()
-    name = f"{root}/run_{(now or datetime.now()).strftime(RUN_FORMAT)}"
-    path, number = name, 1
-    while path_exists(spark, path):
+    name = f"run_{(now or datetime.now()).strftime(RUN_FORMAT)}"
+    run, number = name, 1
+    while path_exists(spark, f"{root}/{run}") or not create_if_absent(spark, f"{root}/{CLAIMS}/{run}"):
         number += 1
-        path = f"{name}_{number:04d}"
+        run = f"{name}_{number:04d}"
+    path = f"{root}/{run}"
     model.write().save(path)
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{COMPLETE}")
-    marker.getFileSystem(spark._jsc.hadoopConfiguration()).create(marker, True).close()
+    create_if_absent(spark, f"{path}/{COMPLETE}")
     return path
 
 
