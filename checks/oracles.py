@@ -207,13 +207,15 @@ FROM (SELECT event_type, 'run_' || strftime(ts, '%Y%m%d_%H%M%S') AS run_id FROM
 GROUP BY event_type""",
     "feed_anti_join": NEW_FEED,
     "feed_anti_join_filtered": NEW_FEED,
+    "stored_feed_new": NEW_FEED,
     "overlap": f"SELECT count(DISTINCT url) AS overlap FROM ({URLS}) WHERE url IN (SELECT url FROM ({FEED_RAW}))",
+    "stored_common_urls": f"SELECT url FROM ({URLS}) INTERSECT SELECT url FROM ({FEED_RAW})",
     "common_url_set": f"SELECT url FROM ({URLS}) INTERSECT SELECT url FROM ({FEED_RAW})",
-    "test_union": f"""
+    **dict.fromkeys(("test_union", "stored_union"), f"""
 SELECT url, label, ordinal, source FROM (
   SELECT url, label, ordinal, source, 0 AS side FROM ({URLS})
   UNION ALL SELECT url, label, ordinal, source, 1 FROM ({FEED}))
-QUALIFY row_number() OVER (PARTITION BY url ORDER BY side, ordinal) = 1""",
+QUALIFY row_number() OVER (PARTITION BY url ORDER BY side, ordinal) = 1"""),
     "stratified_split_urls": SPLIT_URLS,
     "stratified_split_docs": split("SELECT * FROM labels", "doc_id", "toxic", "doc_id, quality, toxic"),
     "stratified_split_items": f"""

@@ -37,6 +37,7 @@ from urlgauge.operators.dedup import keep_first
 from urlgauge.operators.errors import error_profile, top_false_negatives, top_false_positives, with_error_type
 from urlgauge.operators.overlap import common_urls, only_new, overlap_count, union_keep_first
 from urlgauge.operators.split import exact_sample, mark_split, stratified_split
+from urlgauge.operators.stored import store_by_key, stored_common, stored_new, stored_union_first
 from urlgauge.plans.analysis import analyse_errors, analyse_robustness
 from urlgauge.plans.pipeline import feature_tables, load_audit, make_splits, run_meta, train_hybrid, train_tabular
 from urlgauge.session import materialize, work_folder
@@ -225,6 +226,30 @@ def feed_anti_join_filtered(spark, sf_dir):
     return only_new(feed_urls(feed_raw(spark, sf_dir), source="feed"), known, limit=0)
 
 
+def _stored_sides(spark, sf_dir):
+    """Labelled URLs and feed, stored by URL."""
+    sides = labelled_urls(urls_raw(spark, sf_dir)), feed_urls(feed_raw(spark, sf_dir), source="feed")
+    return [store_by_key(side, buckets=8) for side in sides]
+
+
+@query
+def stored_feed_new(spark, sf_dir):
+    known, feed = _stored_sides(spark, sf_dir)
+    return stored_new(feed, known)
+
+
+@query
+def stored_common_urls(spark, sf_dir):
+    return stored_common(store_by_key(urls(spark, sf_dir), buckets=8), store_by_key(feed_raw(spark, sf_dir), buckets=8))
+
+
+@query
+def stored_union(spark, sf_dir):
+    feed = store_by_key(feed_urls(feed_raw(spark, sf_dir), source="feed"), buckets=8)
+    sides = store_by_key(urls(spark, sf_dir).select("url", "label", "ordinal", "source"), buckets=8)
+    return stored_union_first(sides, feed)
+
+
 @query
 def overlap(spark, sf_dir):
     return overlap_count(urls(spark, sf_dir), feed_raw(spark, sf_dir))

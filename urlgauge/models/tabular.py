@@ -80,5 +80,5 @@ def with_prediction(df: DataFrame, model: PipelineModel, pred: str = "pred", pro
 
 
 def learner_params(learner: Params) -> dict[str, str]:
-    """All settings of a learner, for the metadata of its metrics."""
-    return {param.name: str(value) for param, value in learner.extractParamMap().items()}
+    """All settings of a learner or model, for the metadata of its metrics; trees are no settings."""
+    return {param.name: str(value) for param, value in learner.extractParamMap().items() if param.name != "trees"}

@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 from urlgauge.contracts import require_columns, require_same_features
 from urlgauge.functions.features import FEATURES, url_features
 from urlgauge.models.hybrid import TEXT_SCORES, TRAIN_ROWS, fit_hybrid
+from urlgauge.models.forest import DeepForest
 from urlgauge.models.tabular import (
-    boosted_small_trees,
-    boosted_trees,
+    INPUT,
     fit_tabular,
     learner_params,
-    random_forest,
     with_prediction,
 )
 from urlgauge.models.text import HIGH, LOW, MIN_DF, fit_text_model, with_text_scores
+from urlgauge.models.trees import LeafwiseBoosting, SecondOrderBoosting
 from urlgauge.operators.clean import audit_labelled, audit_table, feed_urls, row_counts, stored_labelled
 from urlgauge.operators.metrics import classification_metrics
 from urlgauge.operators.overlap import only_new, overlap_count, union_keep_first
@@ -122,9 +122,9 @@ def feature_tables(train: DataFrame, test: DataFrame, folder: str) -> tuple[Data
 
 def default_learners() -> dict[str, Estimator]:
     return {
-        "RandomForest": random_forest(),
-        "BoostedTrees": boosted_trees(),
-        "BoostedSmallTrees": boosted_small_trees(),
+        "RandomForest": DeepForest(featuresCol=INPUT),
+        "BoostedTrees": SecondOrderBoosting(featuresCol=INPUT),
+        "BoostedSmallTrees": LeafwiseBoosting(featuresCol=INPUT),
     }
 
 
