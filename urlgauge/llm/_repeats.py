@@ -7,8 +7,11 @@ and share an anchor form a segment. What repeats is then found in steps whose vo
 1. anchors are counted over the table, with partial aggregation; the ones that occur once are done;
 2. an anchor whose segments are all equal repeats as a whole; copies go no further;
 3. of the other anchors, one copy of each distinct segment is fetched, and an engine (suffix arrays, automata)
-   decides within the anchor's group which of its windows repeat. Groups are dealt over tasks by anchor; one with
-   more than GROUP distinct segments is split further, by window, and counted with partial aggregation.
+   decides within the anchor's group which of its windows repeat. Groups are dealt over tasks by anchor. A group of more
+   than GROUP distinct segments is first dealt by finer anchors: its windows are halved by where they hold the anchor,
+   and each half's key is all that its windows have in common, which is half as far from a whole window as before.
+   Equal parts become one, and parts are halved again until each group fits; the engine decides all of them. A segment
+   gives a few parts a level, not one for each window, as only the part at the edge of a common passage stays large.
 4. the answer goes back to each text by its segments.
 
 Rows are told apart by doc_id and a hash of doc_id and text: repeated rows count as copies of each other, and get
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from urlgauge.llm import _text as T
 from urlgauge.llm._tables import small_list
 from urlgauge.session import materialize
 
-#: Distinct segments of an anchor that one task looks at together; windows of larger groups are counted one by one.
+#: Distinct segments that an engine looks at together; larger groups are dealt by finer anchors first.
 GROUP = 2_000
 #: Bytes of segments that an engine gets at once.
 ENGINE_BYTES = 1 << 18
@@ -128,14 +132,14 @@ Engine = Callable[[list[bytes], np.ndarray, int, bool], list[np.ndarray]]
 
 
 def _decided(unit: Unit, engine: Engine, keep_first: bool):
-    """Runs the engine on whole groups; gives (seg, spans): windows first..last-1 of each segment that repeat."""
+    """Runs the engine on whole groups; gives (anchor, seg, spans): windows first..last-1 of each segment that repeat."""
 
     def settle(rows):
         rows = [row for row, before in zip(rows, [(None, None), *rows], strict=False) if row[:2] != before[:2]]
-        _, segs, counts, contents = zip(*rows, strict=True)
+        anchors, segs, counts, contents = zip(*rows, strict=True)
         flags = engine(list(contents), np.array(counts), unit.window, keep_first)
         spans = [[{"first": x, "last": y} for x, y in zip(*(e.tolist() for e in T.run_bounds(f)), strict=True)] for f in flags]
-        return pa.record_batch([pa.array(segs, pa.int64()), pa.array(spans, _SPAN_TYPE)], names=["seg", "spans"])
+        return pa.record_batch([pa.array(anchors, pa.int64()), pa.array(segs, pa.int64()), pa.array(spans, _SPAN_TYPE)], names=["anchor", "seg", "spans"])
 
     def run(batches):
         rows, size = [], 0
@@ -156,27 +160,65 @@ _SPAN_TYPE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 _SPANS = "array<struct<first:int,last:int>>"
 
 
-def _windows(unit: Unit):
-    """Each window of large groups' segments: its hash with its anchor's place in it."""
+def _digest(content: bytes, place: int) -> int:
+    return int.from_bytes(blake2b(content, digest_size=8, salt=place.to_bytes(8, "little")).digest(), "little", signed=True)
+
+
+def _parts(unit: Unit, step: int):
+    """Parts of segments whose windows hold the anchor at `step` neighbouring places, with what these have in common."""
+    names = ["anchor", "seg", "first", "size", "key", "part", "n", "doc_id", "row", "at", "before", "content"]
 
     def run(batches):
         for batch in batches:
-            data, bounds = T.flat(batch.column(7))
-            before = np.asarray(batch.column(6))
-            for a, b in T.chunks(bounds, T.CHUNK_BYTES >> 2):
-                values, rows, firsts, _ = unit.elements(data, bounds[a : b + 1])
-                n = len(values) - unit.window + 1
-                ok = np.flatnonzero(rows[:n] == rows[unit.window - 1 :])
-                row = rows[ok]
-                nth = ok - firsts[row]
-                pick = pa.array(a + row)
-                key = T.Hasher(values).runs(unit.window)[ok] ^ (before[a + row] - nth).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
-                take = lambda i: batch.column(i).take(pick)  # noqa: B023, E731
-                yield pa.record_batch([take(0), key.view(np.int64), take(1), nth.astype(np.int32), *(take(i) for i in (2, 3, 4, 5))], names=["anchor", "key", "seg", "nth", "n", "doc_id", "row", "at"])
+            pick, out = [], []
+            for i, (before, content) in enumerate(zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)):
+                elements, join = (content.split(), b" ".join) if unit.by_word else (content, bytes)
+                least = before - (len(elements) - unit.window)
+                for nth in range(least // step, before // step + 1):
+                    low, high = nth * step, min(nth * step + step - 1, unit.window - unit.gram)
+                    key = _digest(join(elements[before - low : before - high + unit.window]), nth)
+                    low, high = max(least, low), min(before, high)
+                    own = join(elements[before - high : before - low + unit.window])
+                    pick.append(i)
+                    out.append((before - high, high - low + 1, key, _digest(own, high), high, own))
+            first, size, key, part, high, own = zip(*out, strict=True) if out else [()] * 6
+            take = lambda c: batch.column(c).take(pa.array(pick, pa.int64()))  # noqa: B023, E731
+            number = lambda x: pa.array(x, pa.int64())
+            yield pa.record_batch([take(0), take(1), number(first), number(size), number(key), number(part), *(take(c) for c in (2, 3, 4, 5)), number(high), pa.array(own, pa.binary())], names=names)
 
     return run
 
 
+def _group_spans(segs: DataFrame, unit: Unit, engine: Engine, keep_first: bool, group: int, step: int) -> DataFrame:
+    """(anchor, seg, spans) of stored segments (anchor, seg, n, doc_id, row, at, before, content), different in each group."""
+    large = segs.groupBy("anchor").agg(F.count("*").alias("members")).where(F.col("members") > group).select("anchor")
+    large = materialize(large)
+    if large.isEmpty():
+        return _engine_spans(segs, unit, engine, keep_first)
+    small = _engine_spans(segs.join(small_list(large), "anchor", "left_anti"), unit, engine, keep_first)
+    kind = dict(segs.dtypes)["doc_id"]
+    schema = f"anchor bigint, seg bigint, first bigint, size bigint, key bigint, part bigint, n bigint, doc_id {kind}, row bigint, at bigint, before bigint, content binary"
+    parts = materialize(segs.join(small_list(large), "anchor", "left_semi").mapInArrow(_parts(unit, step), schema))
+    order = F.struct("doc_id", "row", "at")
+    merged = parts.groupBy("key", "part").agg(F.sum("n").alias("n"), F.min(order).alias("o"), F.first("before").alias("before"), F.first("content").alias("content"))
+    merged = materialize(merged.select(F.col("key").alias("anchor"), F.col("part").alias("seg"), "n", "o.*", "before", "content"))
+    found = _group_spans(merged, unit, engine, keep_first, group, (step + 1) // 2)
+    known = merged.select(F.col("anchor").alias("key"), F.col("seg").alias("part"), F.col("n").alias("total"), order.alias("o"))
+    found = found.where("size(spans) > 0").withColumnsRenamed({"anchor": "key", "seg": "part"})
+    whole = order > F.col("o") if keep_first else F.col("total") > 1
+    back = parts.drop("content", "before").join(known, ["key", "part"]).join(found, ["key", "part"], "left")
+    move = lambda x: F.struct((x["first"] + F.col("first")).cast("int").alias("first"), (x["last"] + F.col("first")).cast("int").alias("last"))
+    all_of = F.array(F.struct(F.col("first").cast("int").alias("first"), (F.col("first") + F.col("size")).cast("int").alias("last")))
+    back = back.withColumn("spans", F.when(whole, all_of).otherwise(F.transform("spans", move))).where("spans is not null")
+    return small.union(materialize(back.groupBy("anchor", "seg").agg(F.flatten(F.collect_list("spans")).alias("spans"))))
+
+
+def _engine_spans(segs: DataFrame, unit: Unit, engine: Engine, keep_first: bool) -> DataFrame:
+    dealt = segs.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "row", "at", "seg")
+    dealt = dealt.select("anchor", "seg", "n", "doc_id", "row", "at", "before", "content")
+    return materialize(dealt.mapInArrow(_decided(unit, engine, keep_first), f"anchor bigint, seg bigint, spans {_SPANS}"))
+
+
 def repeated_segments(docs: DataFrame, unit: Unit, engine: Engine, keep_first: bool, group: int = GROUP) -> DataFrame:
     """(row, wanted): for each row with repeats, its segments' hashes, whether a copy is the first one, and its spans.
 
@@ -191,32 +233,27 @@ def repeated_segments(docs: DataFrame, unit: Unit, engine: Engine, keep_first: b
     mixed = hits.where("not alike")
     segs = mixed.groupBy("anchor", "seg").agg(F.sum("n").alias("n"), first.alias("o"), F.first("before").alias("before"), F.first("after").alias("after"))
     segs = materialize(segs.select("anchor", "seg", "n", "o.*", "before", "after"))
-    sizes = segs.groupBy("anchor").agg(F.count("*").alias("members"))
-    wanted = segs.join(sizes.where(F.col("members") > group).select("anchor", F.lit(True).alias("large")), "anchor", "left")
     # a segment that occurs more than once repeats as a whole, but is still one that others can repeat
-    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "seg", "n", "at", "before", "after", F.coalesce("large", F.lit(False)).alias("large"))).alias("wanted"))
+    wanted = segs.groupBy("row").agg(F.collect_list(F.struct("anchor", "seg", "n", "at", "before", "after")).alias("wanted"))
     named = materialize(wanted)
     there = docs.join(small_list(named.select("row")), "row", "left_semi")
     fetched = there.join(named, "row").select("doc_id", "row", "wanted", "text")  # repeated rows give a segment again
-
     columns = f"anchor bigint, seg bigint, n bigint, doc_id {kind}, row bigint, at bigint, before bigint, content binary"
-
-    def contents(large: bool) -> DataFrame:
-        part = fetched.withColumn("wanted", F.filter("wanted", lambda x: x["large"] == large)).where("size(wanted) > 0")
-        return part.mapInArrow(_contents(unit), columns)
-
-    dealt = contents(False).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "row", "at", "seg")
-    spans = dealt.mapInArrow(_decided(unit, engine, keep_first), f"seg bigint, spans {_SPANS}")
-    if not sizes.where(F.col("members") > group).isEmpty():
-        spans = spans.union(_by_window(contents(True).dropDuplicates(["seg"]), unit, keep_first, kind))
-    spans = materialize(spans)
+    contents = fetched.mapInArrow(_contents(unit), columns)
+    large = segs.groupBy("anchor").agg(F.count("*").alias("members")).where(F.col("members") > group).select("anchor")
+    large = materialize(large)
+    if large.isEmpty():
+        spans = _engine_spans(contents, unit, engine, keep_first)
+    else:
+        contents = materialize(contents.dropDuplicates(["anchor", "seg"]))
+        spans = _group_spans(contents, unit, engine, keep_first, group, (unit.window - unit.gram + 2) // 2)
     # back to the rows: (seg, whole): all windows of a copy repeat; (seg, spans): those of the first copy, or of all
-    firsts = segs.select("seg", "n", F.col("row").alias("first_row"))
-    one = hits.where("alike").groupBy("seg").agg(first.alias("o"), F.sum("n").alias("n")).select("seg", "n", F.col("o.row").alias("first_row"))
+    firsts = segs.select("anchor", "seg", "n", F.col("row").alias("first_row"))
+    one = hits.where("alike").groupBy("anchor", "seg").agg(first.alias("o"), F.sum("n").alias("n")).select("anchor", "seg", "n", F.col("o.row").alias("first_row"))
     none = F.expr(f"cast(array() as {_SPANS})")
-    answers = firsts.join(spans, "seg", "left").withColumn("spans", F.coalesce("spans", none)).unionByName(one.withColumn("spans", none))
+    answers = firsts.join(spans, ["anchor", "seg"], "left").withColumn("spans", F.coalesce("spans", none)).unionByName(one.withColumn("spans", none))
     answers = answers.where("n > 1 or size(spans) > 0")
-    found = hits.select("row", "seg", F.col("n").alias("own")).distinct().join(answers, "seg")
+    found = hits.select("row", "anchor", "seg", F.col("n").alias("own")).distinct().join(answers, ["anchor", "seg"])
     if keep_first:
         found = found.withColumn("begins", F.col("row") == F.col("first_row")).where("not begins or own > 1 or size(spans) > 0")
     else:
@@ -224,18 +261,6 @@ def repeated_segments(docs: DataFrame, unit: Unit, engine: Engine, keep_first: b
     return materialize(found.groupBy("row").agg(F.collect_list(F.struct("seg", "begins", "spans")).alias("wanted")))
 
 
-def _by_window(contents: DataFrame, unit: Unit, keep_first: bool, kind: str) -> DataFrame:
-    rows = materialize(contents.mapInArrow(_windows(unit), f"anchor bigint, key bigint, seg bigint, nth int, n bigint, doc_id {kind}, row bigint, at bigint"))
-    order = F.struct("doc_id", "row", "at")
-    shared = rows.groupBy("anchor", "key").agg(F.sum("n").alias("total"), F.count("*").alias("members"), F.min(order).alias("o"))
-    shared = shared.where("members > 1" if keep_first else "total > 1")
-    both = rows.join(shared.select("anchor", "key", "o"), ["anchor", "key"])
-    both = both.where(order > F.col("o")) if keep_first else both
-    nth = both.groupBy("seg").agg(F.array_sort(F.collect_set("nth")).alias("nth"))
-    spans = F.transform("nth", lambda x: F.struct(x.alias("first"), (x + 1).alias("last")))
-    return nth.select("seg", spans.alias("spans"))
-
-
 def removed(unit: Unit, values: np.ndarray, rows: np.ndarray, keys: np.ndarray, begins: np.ndarray, spans: list, owner: np.ndarray) -> np.ndarray:
     """Flags of the elements in repeating windows. keys, begins, spans: the answers, owner: the row of each."""
     s = segments(unit, values, rows)
