@@ -114,3 +114,11 @@ def test_exchange_finds_planted_classes():
     counts[30, 0] = counts[5, 30] = 3
     of = exchange(counts, 3)
     assert all(len({of[u] for u in range(30) if kinds[u] == k}) == 1 for k in range(3)) and (of == of[-1]).sum() == 1
+
+
+def test_words_that_plain_polynomials_confuse(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(i, f"{one} x") for i in range(20)], "doc_id bigint, text string")
+    score = {r.doc_id: r for r in score_brown(spark.createDataFrame([(1, one), (2, other)], docs.schema), fit_brown(docs)).collect()}
+    assert (score[1].n_known, score[2].n_known) == (2, 1)

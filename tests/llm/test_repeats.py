@@ -120,3 +120,31 @@ def test_tables(spark, sf):
     assert got == by_bytes(docs, 200)
     got = sorted((tuple(r) for r in op10_query(spark, folder).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
     assert got == by_words(docs, 35)
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_hot_anchor(spark, keep):
+    """One passage, too short to repeat as a whole window, in 10,000 texts with other surroundings."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    passage = "".join(rng.choice(letters) for _ in range(36))
+    words = [rng.choice(letters) + rng.choice(letters) for _ in range(11)]
+    sides = ["".join(rng.choice(letters) for _ in range(5)) for _ in range(200)]
+    docs = [(i, rng.choice(sides) + "".join(rng.choice(letters) for _ in range(rng.randrange(3))) + passage + rng.choice(sides) + str(i)) for i in range(10_000)]
+    by_word = [(i, " ".join([rng.choice(sides), *words, rng.choice(sides), rng.choice(sides), str(i)])) for i in range(10_000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    assert got_bytes(repeated_passages(df, 40, keep)) == by_bytes(docs, 40, keep)
+    df = spark.createDataFrame(by_word, "doc_id bigint, text string").repartition(5)
+    assert got_words(repeated_phrases(df, 12, keep)) == by_words(by_word, 12, keep)
+
+
+@pytest.mark.parametrize("size", [10, 11, 12])
+def test_words_that_plain_polynomials_confuse(spark, size):
+    """The Thue-Morse word and its complement have one hash modulo 2**64, whatever the base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << size))
+    other = one.translate(str.maketrans("ab", "ba"))
+    same = [f"w{i}" for i in range(34)]
+    docs = [(1, " ".join([*same, one])), (2, " ".join([*same, other])), (3, one), (4, other)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert got_words(repeated_phrases(df, 35, "none")) == by_words(docs, 35)
+    assert got_bytes(repeated_passages(df, 200, "none")) == by_bytes(docs, 200)

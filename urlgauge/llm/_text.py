@@ -1,13 +1,15 @@
 """Whole texts of an Arrow batch as flat NumPy arrays: words, hashes of words and of runs, minimisers.
 
 Everything here is a small vectorised helper that runs inside a task. Hashes are 64-bit polynomials modulo
-2**64 followed by a bit mixer; equal content always gives equal values, on every machine.
+2**64 followed by a bit mixer; equal content always gives equal values, on every machine. Such polynomials cannot tell
+some texts of 1,024 or more values apart, so longer words are hashed by BLAKE2; runs of values are always shorter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes from which on a word is hashed as a whole.
+LONG_WORD = 256
 #: Separators of words written as `[^\x20\x09-\x0D]+`.
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -131,7 +135,10 @@ def words(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = SPACES,
     starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     of = np.searchsorted(bounds[1:] - base, starts, side="right")
     firsts = np.searchsorted(of, np.arange(rows + 1))
-    return Words(own, starts, ends, of, firsts, Hasher(own)(starts, ends) if n else np.zeros(0, np.uint64))
+    hashes = Hasher(own)(starts, ends) if n else np.zeros(0, np.uint64)
+    for i in np.flatnonzero(ends - starts >= LONG_WORD).tolist():
+        hashes[i] = int.from_bytes(blake2b(own[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return Words(own, starts, ends, of, firsts, hashes)
 
 
 def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
