@@ -68,3 +68,32 @@ def test_tables(spark, sf):
     got = op3_query(spark, f"/root/testdata/{sf}")
     want = brute([tuple(r) for r in docs.collect()])
     assert rows(got) == want and any(d != c for d, _, c in want)
+
+
+def test_words_that_plain_polynomials_confuse(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    docs = spark.createDataFrame([(1, one), (2, one.translate(str.maketrans("ab", "ba")))], "doc_id bigint, text string")
+    assert sorted(r.component_id for r in near_duplicates(docs).collect()) == [1, 2]
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    words = [f"{c}{i}" for c in "abcdef" for i in range(30)]
+    one, other, third = " ".join(words[:40]), " ".join(words[60:100]), " ".join(words[120:160])
+    rows = [(1, one, "a"), (1, other, "b"), (2, third, "c"), (3, other + " x", "d"), (2, third, "e"), (None, one, "f"), (4, None, "g"), (4, None, "h"), (5, third + " y", "i"), (5, one + " z", "j")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    left = without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    got = [tuple(r) for r in left.collect()]
+    assert {r[2] for r in got} - {"c", "e", "g", "h"} == {"a", "b", "f"}  # d, i and j are near copies of smaller ids
+    assert len({"c", "e"} & {r[2] for r in got}) == 1 and len({"g", "h"} & {r[2] for r in got}) == 1
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_ids_of_other_types(spark, kind):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [("12", text), ("3", text + " x"), ("7", "some other text that nothing else is like at all"), ("8", None), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {str(r.doc_id): (r.n_shingles, r.component_id) for r in near_duplicates(docs.withColumn("doc_id", docs.doc_id.cast(kind))).collect()}
+    least = "12" if kind == "string" else 3
+    assert {k: v[1] if v[1] is None else str(v[1]) for k, v in got.items()} == {"12": str(least), "3": str(least), "7": "7", "8": "8", "None": None}
+    assert got["8"][0] == 0 and got["3"][0] == 37

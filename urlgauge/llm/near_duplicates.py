@@ -218,8 +218,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     share one of these, so nothing is lost, and passages that many share no longer bring texts together. There
     leaders follow in growing numbers until each key has one component or all its members have led; pairs that
     have too many shingles of their own to be alike are not listed.
+
+    Ids that are no whole numbers go through a 64-bit hash; the smallest of a group is then by their own order.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        return _by_hashed_id(docs, size, percent, bands, values)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     sketch = materialize(docs.mapInArrow(_sketched(size, bands, values), "doc_id bigint, n bigint, set_key bigint, bands array<bigint>"))
     known = sketch.where("n > 0 and doc_id is not null")
     sets = materialize(known.groupBy("set_key", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
@@ -266,22 +271,39 @@ def _all(links: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _by_hashed_id(docs: DataFrame, size: int, percent: int, bands: int, values: int) -> DataFrame:
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    names = materialize(docs.where("doc_id is not null").select(key.alias("key"), F.col("doc_id").alias("name")).distinct())
+    found = materialize(near_duplicates(docs.select(key.alias("doc_id"), "text"), size, percent, bands, values))
+    groups = found.where("doc_id is not null").select(F.col("doc_id").alias("key"), "component_id").distinct().join(names, "key")
+    least = groups.groupBy("component_id").agg(F.min("name").alias("least"))
+    of = groups.join(least, "component_id").select("key", "name", "least")
+    return found.join(of, found.doc_id == of.key, "left").select(F.col("name").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+
+
 def without_near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Rows of `docs`, all columns: of each group of near copies the one with the smallest doc_id.
 
-    Rows with a null doc_id and those without words stay. Of repeated doc_ids one row stays, the one whose text is
-    the smallest.
+    Rows with a null doc_id and those without words stay. Rows are told apart by doc_id and text: unlike texts of one
+    doc_id all stay, near copies among them count like those of other ids, and of rows with both the same one stays.
     """
-    found = near_duplicates(docs, size, percent)
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
-    left = docs.join(small_list(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
-        return left
-    repeats = left.join(again, "doc_id", "left_semi").select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "text", F.xxhash64(*docs.columns))
-    one = repeats.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(one)
+        found = near_duplicates(docs, size, percent)
+        gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
+        return docs.join(small_list(gone), "doc_id", "left_anti").select(*docs.columns)
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("__key", key)
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), size, percent).where("doc_id is not null")
+    groups = materialize(found.select(F.col("doc_id").alias("__key"), "component_id").distinct())
+    ids = keyed.where("__key is not null").select("__key", "doc_id").distinct()
+    first = groups.join(ids, "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("first"))
+    gone = materialize(groups.join(first, "component_id").where("__key <> first.__key").select("__key"))
+    left = keyed.join(small_list(gone), "__key", "left_anti")
+    order = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))
+    copies = materialize(left.where("__key is not null").groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key"))
+    one = left.join(small_list(copies), "__key", "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
+    return left.join(small_list(copies), "__key", "left_anti").select(*docs.columns).union(one.select(*docs.columns))
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
