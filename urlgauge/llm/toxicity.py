@@ -151,18 +151,21 @@ def landmark_kernels(units: list[str], landmarks: list[str]) -> np.ndarray:
     codes = _codes(landmarks, LONGEST)
     letters = np.unique(codes)
     letters = letters[letters > 0]
-    place, weight = _subsequences(codes, letters)
-    table = np.zeros(((len(letters) + 1) ** ORDER, len(landmarks)), np.float32)
-    np.add.at(table, (place, np.arange(len(landmarks))[:, None]), weight / np.sqrt(self_kernels(codes))[:, None])
-    table[0] = 0
+    spots, weight = _subsequences(codes, letters)
+    heavy = weight / np.sqrt(self_kernels(codes))[:, None]
     out = np.zeros((len(units), len(landmarks)))
-    for part, codes in _by_size(units):
-        place, weight = _subsequences(codes, letters)
-        weight = weight.astype(np.float32)
-        for i, own in zip(part.tolist(), place, strict=True):
-            some = np.flatnonzero(own)
-            out[i] = weight[some] @ table[own[some]]
-        out[part] /= np.sqrt(np.maximum(self_kernels(codes), 1e-12))[:, None]
+    for first in range(0, len(landmarks), 64):  # a table for some landmarks at a time
+        some = slice(first, first + 64)
+        table = np.zeros(((len(letters) + 1) ** ORDER, len(spots[some])), np.float32)
+        np.add.at(table, (spots[some], np.arange(table.shape[1])[:, None]), heavy[some])
+        table[0] = 0
+        for part, own_codes in _by_size(units):
+            place, weight = _subsequences(own_codes, letters)
+            weight = weight.astype(np.float32)
+            for i, own in zip(part.tolist(), place, strict=True):
+                known = np.flatnonzero(own)
+                out[i, some] = weight[known] @ table[own[known]]
+            out[part, some] /= np.sqrt(np.maximum(self_kernels(own_codes), 1e-12))[:, None]
     return out
 
 
