@@ -353,6 +353,7 @@ SELECT attack, count(*) AS n_total, 0::BIGINT AS n_missed, 0.0::DOUBLE AS adv_su
 FROM ({QUERY_SPLIT}), unnest(['subdomain', 'tracking', 'encode', 'homoglyph']) AS t(attack)
 WHERE split = 'test' AND label = 1 GROUP BY attack""",
     "out_of_fold_scores": f"SELECT url, label, true AS scored FROM ({URLS})",
+    "out_of_fold_is_blind": f"SELECT count(DISTINCT url) AS n, true AS learns_its_rows, true AS blind_to_others FROM ({LINKS})",
     "saved_model": f"SELECT url, label, true AS same FROM ({QUERY_SPLIT}) WHERE split = 'test'",
     "registry_runs": """
 SELECT run_id, run_id NOT LIKE 'run_2025%' AS valid, run_id = 'run_20240506_070809_0002' AS chosen,

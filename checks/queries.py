@@ -783,6 +783,19 @@ def out_of_fold_scores(spark, sf_dir):
     return scores.select("url", "label", F.col("text_proba").between(0, 1).alias("scored"))
 
 
+@query
+def out_of_fold_is_blind(spark, sf_dir):
+    """On labels that are pure noise a fit does well on its own rows only, so scores from other folds are no better than chance."""
+    noise = F.conv(F.substring(F.md5(F.col("url").cast("binary")), 1, 1), 16, 10).cast("int") % 2
+    rows = materialize(links(spark, sf_dir).select("url").distinct().withColumn("label", noise))
+    inside = with_text_scores(rows, fit_text_model(rows))
+    outside = out_of_fold_text_scores(rows, folds=3)
+    right = lambda df: df.agg(F.count("*").alias("n"), F.avg((F.col("text_pred") == F.col("label")).cast("int")).alias("right")).first()
+    own, other = right(inside), right(outside)
+    row = (other["n"], own["right"] > 0.6, abs(other["right"] - 0.5) < 0.08)
+    return spark.createDataFrame([row], "n bigint, learns_its_rows boolean, blind_to_others boolean")
+
+
 @query
 def saved_model(spark, sf_dir):
     """Save a fitted run, find the newest complete one, load it: the scores are the same."""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urlgauge.contracts import require_columns, require_same_features
-from urlgauge.operators import explore, metrics, ngrams, robustness
+from urlgauge.operators import explore, metrics, ngrams, robustness, split
 from urlgauge.operators.clean import audit_labelled, labelled_urls, stored_labelled
 from urlgauge.operators.dedup import keep_first, packed
 from urlgauge.operators.errors import with_error_type
@@ -383,3 +383,12 @@ def test_gram_counts_move_no_rows(spark):
     assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
     want = {(1, "a"): 2, (1, "b"): 2, (1, "ab"): 2, (1, "ba"): 1, (4, "ä"): 2, (4, " "): 1, (4, "ä "): 1, (4, " ä"): 1, (5, "x"): 1}
     assert {(r.id, r.gram): r.tf for r in counts.collect()} == want
+
+
+def test_sample_by_one_scan_is_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(f"u{i % 900}", i) for i in range(3000)] + [("hot", i) for i in range(1500)] + [("hot", 1)] * 50, "url string, n int")
+    for size in (0, 1, 37, 700, 2000):
+        one_scan = sorted(map(tuple, exact_sample(df, size).collect()))
+        monkeypatch.setattr(split, "_MARGIN", 10**9)  # no share is below a half: the whole table is looked at
+        assert sorted(map(tuple, exact_sample(df, size).collect())) == one_scan and len(one_scan) == size
+        monkeypatch.undo()

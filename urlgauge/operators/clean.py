@@ -99,5 +99,9 @@ def stored_labelled(raw: DataFrame, source: str = LABELLED_SOURCE, order: str =
     usable = F.col("url").isNotNull() & F.col("label").isNotNull()
     counts = [F.count("*").alias("raw"), F.count_if(F.col("url").isNotNull()).alias("with_url"), F.count_if(usable).alias("with_label")]
     labelled = materialize(_labelled(clean_labelled(raw).observe(seen, *counts), source, order))
-    known = [F.lit(value).cast("bigint").alias(name) for name, value in seen.get.items()]
-    return labelled, audit_table(labelled.agg(F.count("*").alias("distinct")).select("distinct", *known), CLEANING)
+    distinct = labelled.count()
+    # a table that is known to have no rows is not run, so nothing is seen of it
+    empty = not distinct and raw.isEmpty()
+    found = dict.fromkeys(("raw", "with_url", "with_label"), 0) if empty else seen.get
+    sizes = [F.lit(value).cast("bigint").alias(name) for name, value in {**found, "distinct": distinct}.items()]
+    return labelled, audit_table(raw.sparkSession.range(1).select(*sizes), CLEANING)

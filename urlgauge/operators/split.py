@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from urlgauge.session import materialize
+
 SEED = 42
 
 _DIGITS = 4  # hex digits per histogram: 65,536 buckets
@@ -26,6 +28,7 @@ _FULL = 48  # hex digits: an MD5 hash of the key and 64 bits of the whole row
 _SMALL = 10_000  # rows per stratum that one aggregate may hold
 _LOCAL = 100_000  # strata that may be broadcast
 MAX_CLASSES = 100_000  # a column with more values is no class label
+_MARGIN = 6  # standard deviations above the wanted rows
 _NONE, _ALL = "", "~"  # below and above every hex text
 
 
@@ -106,16 +109,30 @@ def _copies(keyed: DataFrame, cuts: dict[str, tuple[str, int, int]], side: int)
 def exact_sample(df: DataFrame, size: int, key: str | Sequence[str] = "url", seed: int = SEED) -> DataFrame:
     """Exactly ``size`` rows without replacement; ``df`` itself if it is not larger.
 
-    Runs jobs when called; give it a stored table.
+    Runs jobs when called; give it a stored table, whose rows are counted from its files.
+    One scan stores the rows below a hash that about ``size`` rows lie below, with a
+    margin; the exact cut is found among these.  Only if hot keys make them too few is
+    the cut looked for in the whole table.  Either way the rows are the same.
     """
     if size < 0:
         raise ValueError(f"negative sample size: {size}")
-    keyed = _keyed(df, _as_list(key), None, seed)
+    total = df.count()
+    if total <= size:
+        return df
+    keys = _as_list(key)
+    share = (size + _MARGIN * math.sqrt(size) + 100) / total
+    if share < 0.5:
+        below = f"{int(share * 16**8):08x}"
+        near = materialize(_keyed(df, keys, None, seed).filter(F.substring("_h", 1, 8) < below).select(*df.columns))
+        if near.count() >= size:
+            return _cut_sample(near, size, keys, seed)
+    return _cut_sample(df, size, keys, seed)
+
+
+def _cut_sample(df: DataFrame, size: int, keys: list[str], seed: int) -> DataFrame:
+    keyed = _keyed(df, keys, None, seed)
     counts = _prefix_counts(keyed, _DIGITS).persist()
     try:
-        total = counts.agg(F.sum("_n")).first()[0] or 0
-        if total <= size:
-            return df
         cuts = _cuts(keyed, counts, {"": size}) if size else {"": (_NONE, 0, 0)}
     finally:
         counts.unpersist()
