@@ -1,18 +1,22 @@
 """Collocations: phrases whose parts meet far more often than chance, counted in HAT-tries.
 
-Each task counts the phrases of its texts in a trie over word numbers, shallow because its leaves are hash containers
-that hold the rest of the phrase. A container that grows too large bursts into one container per next word. When the trie
+Each task counts the phrases of its texts in tries over word numbers, shallow because their leaves are hash containers
+that hold the rest of the phrase. A container that grows too large bursts into one container per next word. When a trie
 holds too many phrases, its largest subtrees leave as sorted runs; the rest stays and goes on collecting. The runs are
 dealt by the prefix of the phrase and merged there by a sum.
 
-Longer phrases are counted only where their shorter ones are frequent: a phrase is never more frequent than its parts.
-The frequent phrases of a level are sent to the next one as a bit table of fixed size; what it lets through wrongly is
-counted, too, and falls to the exact threshold, so results do not depend on its size.
+Most phrases are rare, and these never enter a trie: hashes of phrases are counted first, which takes no strings. A
+hash counts at least as often as each phrase behind it, so what stays below the threshold is settled. A phrase is never
+more frequent than its parts, so longer ones are only looked at where their parts have passed. What has passed is sent
+on as bit tables of fixed size; what they let through wrongly is counted like the rest and falls to the exact threshold,
+so results do not depend on their size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,10 @@ from urlgauge.session import materialize
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Phrases that a container holds before it bursts, and that a trie holds before subtrees leave it.
 BURST, HELD = 4_096, 400_000
-#: Words of the prefix by which runs are dealt.
-PREFIX = 3
+#: Words of the prefix by which runs are dealt, and phrases that one part holds as a rule.
+PREFIX, PART_PHRASES = 3, 200_000
+#: Different hashes that a task holds before it passes them on.
+HELD_HASHES = 3_000_000
 #: Bits of the table of frequent phrases, and bits set for each.
 FILTER_BITS, FILTER_HASHES = 1 << 26, 2
 _BREAKS = np.zeros(256, bool)
@@ -51,22 +57,38 @@ class HatTrie:
         self.root: Branch | dict[bytes, int] = {}
 
     def add(self, phrases: np.ndarray, counts: np.ndarray) -> None:
-        """phrases: different rows of word numbers, in order."""
-        if len(phrases):
-            self.root = self._put(self.root, phrases, counts, 0)
+        """phrases: different rows of word numbers."""
+        if not len(phrases):
+            return
+        keys, root = _keys(phrases), self.root
+        if isinstance(root, dict):
+            self.root = self._put(root, keys, counts.tolist(), 0)
+            return
+        children = root.children
+        for word, key, count in zip(phrases[:, 0].tolist(), keys, counts.tolist(), strict=True):
+            node, rest = children.get(word), key[4:]
+            if type(node) is dict:
+                if rest in node:
+                    node[rest] += count
+                    continue
+                node[rest] = count
+                self.size += 1
+                if len(node) > self.burst and self.length > 2:
+                    children[word] = self._burst(node)
+            else:
+                children[word] = self._put({} if node is None else node, [rest], [count], 1)
 
-    def _put(self, node, phrases: np.ndarray, counts: np.ndarray, depth: int):
+    def _put(self, node, keys: list[bytes], counts: list[int], depth: int):
+        """Adds rests of phrases below a node; gives the node, or the branch that it has become."""
         if isinstance(node, dict):
             before, get = len(node), node.get
-            for key, count in zip(_keys(phrases[:, depth:]), counts.tolist(), strict=True):
+            for key, count in zip(keys, counts, strict=True):
                 node[key] = get(key, 0) + count
             self.size += len(node) - before
             return self._burst(node) if len(node) > self.burst and depth < self.length - 1 else node
-        edges = np.flatnonzero(np.diff(phrases[:, depth])) + 1
-        heads = np.concatenate([[0], edges, [len(phrases)]])
-        children = node.children
-        for word, a, b in zip(phrases[heads[:-1], depth].tolist(), heads[:-1].tolist(), heads[1:].tolist(), strict=True):
-            children[word] = self._put(children.get(word, {}), phrases[a:b], counts[a:b], depth + 1)
+        for key, count in zip(keys, counts, strict=True):
+            word = int.from_bytes(key[:4], "big")
+            node.children[word] = self._put(node.children.get(word, {}), [key[4:]], [count], depth + 1)
         return node
 
     @staticmethod
@@ -83,17 +105,24 @@ class HatTrie:
         found = [((word,), node, _phrases(node)) for word, node in self.root.children.items()]
         return sorted(found, key=lambda x: (-x[2], x[0]))
 
-    def spill(self, down_to: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Takes whole subtrees out until `down_to` phrases are left: their phrases and counts."""
+    def spill(self, down_to: int, together: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Takes whole subtrees out until `down_to` phrases are left: phrases and counts, of small subtrees `together`."""
+        keys: list[bytes] = []
+        counts: list[int] = []
         for path, node, held in self.subtrees():
             if self.size <= down_to:
-                return
+                break
             if path:
                 del self.root.children[path[0]]
             else:
                 self.root = {}
             self.size -= held
-            yield from _leaves(path, node)
+            _leaves(b"".join(w.to_bytes(4, "big") for w in path), node, keys, counts)
+            if len(keys) >= together:
+                yield _unpacked(keys, counts, self.length)
+                keys, counts = [], []
+        if keys:
+            yield _unpacked(keys, counts, self.length)
 
 
 def _keys(rest: np.ndarray) -> list[bytes]:
@@ -105,14 +134,17 @@ def _phrases(node) -> int:
     return len(node) if isinstance(node, dict) else sum(map(_phrases, node.children.values()))
 
 
-def _leaves(path: tuple[int, ...], node) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _leaves(path: bytes, node, keys: list[bytes], counts: list[int]) -> None:
     if isinstance(node, dict):
-        if node:
-            rest = np.frombuffer(b"".join(node), ">u4").reshape(len(node), -1).astype(np.int64)
-            yield np.hstack([np.tile(np.array(path, np.int64), (len(rest), 1)), rest]), np.fromiter(node.values(), np.int64, len(node))
+        keys.extend([path + rest for rest in node])
+        counts.extend(node.values())
         return
     for word, child in node.children.items():
-        yield from _leaves((*path, word), child)
+        _leaves(path + word.to_bytes(4, "big"), child, keys, counts)
+
+
+def _unpacked(keys: list[bytes], counts: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(keys), ">u4").reshape(-1, length).astype(np.int64), np.array(counts, np.int64)
 
 
 def _language_hash(lang: str) -> int:
@@ -142,84 +174,178 @@ def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([c[first] for c in columns], axis=1), counts
 
 
-def _counter(length: int, table, held: int, burst: int):
-    """Runs of counted phrases (lang, prefix, phrase, n) of a task's texts (lang, text)."""
+class _Chunk:
+    """The words of some texts, with the language in their hashes, and which runs of words are phrases."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, kinds: list[str]):
+        self.words = w = T.words(data, bounds, _CUTS)
+        known = {k: i for i, k in enumerate(dict.fromkeys(kinds))}
+        self.names = list(known)
+        salt = T.mix(np.array([_language_hash(k) for k in known], np.uint64))
+        self.code = np.array([known[k] for k in kinds], np.int64)[w.rows]
+        self.hashes = w.hashes ^ salt[self.code] if len(w.hashes) else w.hashes
+        self.hasher = T.Hasher(self.hashes)
+        self.piece = np.concatenate([[0], np.cumsum(_BREAKS[w.data])])[w.starts]
+
+    def phrases(self, length: int) -> np.ndarray:
+        rows = self.words.rows
+        at = np.arange(max(len(rows) - length + 1, 0))
+        end = at + length - 1
+        return at[(rows[at] == rows[end]) & (self.piece[at] == self.piece[end])]
+
+
+def _chunks(batches):
+    for batch in batches:
+        data, bounds = T.flat(batch.column(1))
+        kinds = batch.column(0).to_pylist()
+        for a, b in T.chunks(bounds):
+            yield _Chunk(data, bounds[a : b + 1], kinds[a:b])
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    hashes, counts = np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(hashes, kind="stable")
+    hashes, counts = hashes[order], counts[order]
+    heads = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+    return hashes[heads], np.add.reduceat(counts, heads) if len(heads) else counts
+
+
+def _hash_counts(lengths: range, known: int, table):
+    """(words, h, lang, n): counted hashes of a task's phrases whose runs of `known` words have passed; words 0: all words."""
+
+    def run(batches):
+        held: dict[int, list] = {k: [] for k in lengths}
+        size, totals = 0, {}
+
+        def out(down_to: int):
+            nonlocal size
+            size = 0
+            for k in lengths:
+                if held[k]:
+                    held[k] = [_added(held[k])]
+                    size += len(held[k][0][0])
+            if size > down_to:
+                for k in lengths:
+                    for hashes, counts in held[k]:
+                        yield pa.record_batch([np.full(len(hashes), k, np.int32), hashes.view(np.int64), pa.nulls(len(hashes), pa.string()), counts], names=["words", "h", "lang", "n"])
+                    held[k] = []
+                size = 0
+
+        for chunk in _chunks(batches):
+            if 1 in lengths:
+                for name, n in zip(chunk.names, np.bincount(chunk.code, minlength=len(chunk.names)).tolist(), strict=True):
+                    totals[name] = totals.get(name, 0) + n
+            good = _passes(table.value, chunk.hasher.runs(known)) if table is not None else None
+            for k in lengths:
+                spots = chunk.phrases(k)
+                for shift in range(k - known + 1) if good is not None else ():
+                    spots = spots[good[spots + shift]]
+                if len(spots):
+                    found = np.unique(chunk.hasher.runs(k)[spots], return_counts=True)
+                    held[k].append(found)
+                    size += len(found[0])
+            if size > HELD_HASHES:
+                yield from out(HELD_HASHES // 2)
+        yield from out(-1)
+        rows = [n for n in totals.items() if n[1]]
+        yield pa.record_batch([np.zeros(len(rows), np.int32), pa.nulls(len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["words", "h", "lang", "n"])
+
+    return run
+
+
+def _tables(passed: DataFrame, lengths: range, bits: int) -> list[np.ndarray]:
+    """Bit tables of the hashes that have passed, one for each length; of fixed size, whatever their number."""
+
+    def run(batches):
+        for batch in batches:
+            hashes = np.asarray(batch.column(1)).view(np.uint64)
+            for place in _bit_places(hashes, bits):
+                yield pa.record_batch([batch.column(0), place], names=["words", "place"])
+
+    places = passed.select("words", "h").mapInArrow(run, "words int, place bigint")
+    parts = places.groupBy("words", F.bitmap_bucket_number(F.col("place") + 1).alias("part"))
+    out = {k: np.zeros(max(bits // 8, 4096), np.uint8) for k in lengths}
+    for row in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("bitmap")).toLocalIterator():
+        at = (row["part"] - 1) * 4096
+        out[row["words"]][at : at + 4096] = np.frombuffer(row["bitmap"], np.uint8)
+    return [out[k][: bits // 8] for k in lengths]
+
+
+_RUN = "part int, words int, lang string, phrases array<string>, counts array<bigint>"
+
+
+def _counter(tables, parts: int, held: int, burst: int):
+    """Sorted runs of counted phrases (a row for each part, length and language) of a task's texts.
+
+    Only phrases whose own hashes have passed are counted. A phrase's part follows from its language and prefix.
+    """
 
     def run(batches):
         numbers: dict[tuple[str, int], int] = {}
         names: list[bytes] = []
         langs: list[str] = []
-        trie = HatTrie(length, burst)
+        tries = [HatTrie(k + 1, burst) for k in range(len(tables.value))]
 
-        def out(runs):
+        def out(runs, length):
             for phrases, counts in runs:
-                rows = sorted((langs[own[0]], b" ".join([names[w] for w in own]), n) for own, n in zip(phrases.tolist(), counts.tolist(), strict=True))
-                for at in range(0, len(rows), 20_000):
-                    lang, text, n = zip(*rows[at : at + 20_000], strict=True)
-                    prefix = [b" ".join(t.split(b" ", PREFIX)[:PREFIX]) for t in text] if length > PREFIX else text
-                    yield pa.record_batch([pa.array(lang, pa.string()), pa.array(prefix, pa.binary()).cast(pa.string()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "prefix", "phrase", "n"])
-
-        for batch in batches:
-            data, bounds = T.flat(batch.column(1))
-            kinds = batch.column(0).to_pylist()
-            for a, b in T.chunks(bounds):
-                w = T.words(data, bounds[a : b + 1], _CUTS)
-                if len(w.hashes) < length:
+                rows = []
+                for own, n in zip(phrases.tolist(), counts.tolist(), strict=True):
+                    lang, text = langs[own[0]], [names[w] for w in own]
+                    rows.append((crc32(b" ".join(text[:PREFIX]), crc32(lang.encode())) % parts, lang, b" ".join(text), n))
+                rows.sort()
+                found = [(*key, *zip(*((r[2], r[3]) for r in group), strict=True)) for key, group in groupby(rows, key=lambda r: r[:2])]
+                part, lang, text, n = zip(*found, strict=True)
+                yield pa.record_batch([pa.array(part, pa.int32()), np.full(len(part), length, np.int32), pa.array(lang, pa.string()), pa.array(text, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(n, pa.list_(pa.int64()))], names=["part", "words", "lang", "phrases", "counts"])
+
+        for chunk in _chunks(batches):
+            w = chunk.words
+            number = np.full(len(w.hashes), -1, np.int64)
+            for length, (trie, table) in enumerate(zip(tries, tables.value, strict=True), 1):
+                spots = chunk.phrases(length)
+                spots = spots[_passes(table, chunk.hasher.runs(length)[spots])]
+                if not len(spots):
                     continue
-                known = {k: i for i, k in enumerate(dict.fromkeys(kinds[a:b]))}
-                own = np.array([known[k] for k in kinds[a:b]])
-                salt = np.array([_language_hash(k) for k in known], np.uint64)
-                code = own[w.rows]
-                hashes = w.hashes ^ T.mix(salt[code])
                 # numbers of the words by language, the same for all texts of the task
-                _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-                number = np.empty(len(one), np.int64)
-                kind_names = list(known)
-                for i, (h, at, c) in enumerate(zip(hashes[one].tolist(), one.tolist(), code[one].tolist(), strict=True)):
-                    n = numbers.get((kind_names[c], h))
+                needed = np.unique((spots[:, None] + np.arange(length)).ravel())
+                needed = needed[number[needed] < 0]
+                _, one, which = np.unique(chunk.hashes[needed], return_index=True, return_inverse=True)
+                first = needed[one]
+                own = np.empty(len(first), np.int64)
+                for i, (h, at, c) in enumerate(zip(chunk.hashes[first].tolist(), first.tolist(), chunk.code[first].tolist(), strict=True)):
+                    n = numbers.get((chunk.names[c], h))
                     if n is None:
-                        n = numbers[(kind_names[c], h)] = len(names)
+                        n = numbers[(chunk.names[c], h)] = len(names)
                         names.append(w.data[w.starts[at] : w.ends[at]].tobytes())
-                        langs.append(kind_names[c])
-                    number[i] = n
-                words = number[which]
-                spots = np.arange(len(words) - length + 1)
-                if length > 1:
-                    breaks = np.concatenate([[0], np.cumsum(_BREAKS[w.data])])
-                    piece = breaks[w.starts]
-                    spots = spots[(w.rows[spots] == w.rows[spots + length - 1]) & (piece[spots] == piece[spots + length - 1])]
-                    shorter = T.Hasher(hashes).runs(length - 1)
-                    good = _passes(table.value, shorter)
-                    spots = spots[good[spots] & good[spots + 1]]
-                if len(spots):
-                    trie.add(*_distinct([words[spots + i] for i in range(length)]))
+                        langs.append(chunk.names[c])
+                    own[i] = n
+                number[needed] = own[which]
+                trie.add(*_distinct([number[spots + i] for i in range(length)]))
                 if trie.size > held:
-                    yield from out(trie.spill(held // 2))
-        yield from out(trie.spill(-1))
+                    yield from out(trie.spill(held // 2), length)
+        for length, trie in enumerate(tries, 1):
+            yield from out(trie.spill(-1), length)
 
     return run
 
 
-def _frequent_bits(frequent: DataFrame, length: int, bits: int) -> np.ndarray:
-    """The bit table of the frequent phrases of one length; of fixed size, whatever their number."""
+def _merged(least: int):
+    """(lang, words, phrase, f) of the phrases in a task's runs that occur `least` times; holds each phrase once."""
 
     def run(batches):
+        total: dict[tuple[str, int], dict[str, int]] = {}
         for batch in batches:
-            data, bounds = T.flat(batch.column(1))
-            salt = np.array([_language_hash(k) for k in batch.column(0).to_pylist()], np.uint64)
-            blank = np.zeros(256, bool)
-            blank[32] = True
-            w = T.words(data, bounds, blank, lower=False)
-            hashes = T.Hasher(w.hashes ^ T.mix(salt[w.rows])).runs(length)[w.firsts[:-1]]
-            yield pa.record_batch([np.concatenate(_bit_places(hashes, bits))], names=["place"])
-
-    places = frequent.select("lang", "phrase").mapInArrow(run, "place bigint")
-    parts = places.groupBy(F.bitmap_bucket_number(F.col("place") + 1).alias("part"))
-    table = np.zeros(bits // 8, np.uint8)
-    for row in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("bitmap")).collect():
-        at = (row["part"] - 1) * 4096
-        table[at : at + 4096] = np.frombuffer(row["bitmap"], np.uint8)[: bits // 8 - at]
-    return table
+            for words, lang, phrases, counts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                own = total.setdefault((lang, words), {})
+                get = own.get
+                for phrase, n in zip(phrases, counts, strict=True):
+                    own[phrase] = get(phrase, 0) + n
+        for (lang, words), own in total.items():
+            kept = [(p, n) for p, n in own.items() if n >= least]
+            for at in range(0, len(kept), 20_000):
+                phrase, n = zip(*kept[at : at + 20_000], strict=True)
+                yield pa.record_batch([pa.array([lang] * len(n), pa.string()), np.full(len(n), words, np.int32), pa.array(phrase, pa.string()), pa.array(n, pa.int64())], names=["lang", "words", "phrase", "f"])
+
+    return run
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, held: int = HELD, burst: int = BURST, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
@@ -227,22 +353,24 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, h
 
     docs: lang (null: und), text. See `collocations` for what a phrase is. Both are stored tables.
     """
+    send = docs.sparkSession.sparkContext.broadcast
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
-    found, totals, table = None, None, None
-    for length in range(1, longest + 1):
-        runs = texts.mapInArrow(_counter(length, table, held, burst), "lang string, prefix string, phrase string, n bigint")
-        dealt = runs.repartition("lang", "prefix") if length > 1 else runs
-        counted = dealt.groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("f"))
-        if length == 1:
-            counted = materialize(counted)
-            totals = materialize(counted.groupBy("lang").agg(F.sum("f").alias("n")))
-        frequent = materialize(counted.where(F.col("f") >= least).select("lang", F.lit(length).alias("words"), "phrase", "f"))
-        found = frequent if found is None else found.union(frequent)
-        if frequent.isEmpty():
-            break
-        if length < longest:
-            table = docs.sparkSession.sparkContext.broadcast(_frequent_bits(frequent, length, bits))
-    return found, totals
+    tables, totals, passed = [], None, 0
+    for lengths in (range(1, 2), range(2, min(longest, 2) + 1), range(3, longest + 1)):
+        if not lengths:
+            continue
+        known = lengths[0] - 1
+        counted = texts.mapInArrow(_hash_counts(lengths, known, send(tables[-1]) if tables else None), "words int, h bigint, lang string, n bigint")
+        summed = counted.groupBy("words", "h", "lang").agg(F.sum("n").alias("n")).where((F.col("words") == 0) | (F.col("n") >= least))
+        summed = materialize(summed)
+        totals = summed.where("words = 0").select("lang", "n") if totals is None else totals
+        passed += summed.where("words > 0").count()
+        tables += _tables(summed.where("words > 0"), lengths, bits)
+    # as many parts as keep the phrases that have passed, each held once, small in every task
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-passed // PART_PHRASES))
+    runs = texts.mapInArrow(_counter(send(tables), parts, held, burst), _RUN)
+    merged = runs.repartition(parts, "part").mapInArrow(_merged(least), "lang string, words int, phrase string, f bigint")
+    return materialize(merged), totals
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, **memory: int) -> DataFrame:
