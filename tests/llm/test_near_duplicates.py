@@ -53,7 +53,8 @@ def test_small(spark):
     assert rows(near_duplicates(df)) == brute(docs)
     kept = without_near_duplicates(df)
     assert kept.columns == df.columns
-    want = {d for d, _, c in brute(docs) if d is None or d == c}
+    # rows are told apart by id and text there, so both unlike texts of 12 stay
+    want = [*{d for d, _, c in brute(docs) if d is None or d == c}, 12]
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
