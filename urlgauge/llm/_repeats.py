@@ -100,7 +100,7 @@ def _marks(unit: Unit):
                     names=["doc_id", "row", "anchor", "seg", "n", "at", "before", "after"],
                 )
 
-    return run
+    return T.giving_back(run)
 
 
 def _contents(unit: Unit):
@@ -125,7 +125,7 @@ def _contents(unit: Unit):
             pick = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
             yield pa.record_batch([at.field("anchor"), at.field("seg"), at.field("n"), batch.column(0).take(pick), batch.column(1).take(pick), at.field("at"), at.field("before"), pa.array(parts, pa.binary())], names=["anchor", "seg", "n", "doc_id", "row", "at", "before", "content"])
 
-    return run
+    return T.giving_back(run)
 
 
 Engine = Callable[[list[bytes], np.ndarray, int, bool], list[np.ndarray]]
@@ -153,7 +153,7 @@ def _decided(unit: Unit, engine: Engine, keep_first: bool):
         if rows:
             yield settle(rows)
 
-    return run
+    return T.giving_back(run)
 
 
 _SPAN_TYPE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -186,7 +186,7 @@ def _parts(unit: Unit, step: int):
             number = lambda x: pa.array(x, pa.int64())
             yield pa.record_batch([take(0), take(1), number(first), number(size), number(key), number(part), *(take(c) for c in (2, 3, 4, 5)), number(high), pa.array(own, pa.binary())], names=names)
 
-    return run
+    return T.giving_back(run)
 
 
 def _group_spans(segs: DataFrame, unit: Unit, engine: Engine, keep_first: bool, group: int, step: int) -> DataFrame:
@@ -309,4 +309,5 @@ def apply_removal(docs: DataFrame, found: DataFrame, unit: Unit, make: Callable,
     keys = small_list(found.select("__row"))
     clean = docs.join(keys, "__row", "left_anti").select(*docs.columns, none.alias("__wanted"))
     dirty = docs.join(keys, "__row", "left_semi").join(found, "__row").select(*docs.columns, "__wanted")
-    return clean.mapInArrow(run, schema).union(dirty.mapInArrow(run, schema))
+    work = T.giving_back(run)
+    return clean.mapInArrow(work, schema).union(dirty.mapInArrow(work, schema))

@@ -7,7 +7,9 @@ some texts of 1,024 or more values apart, so longer words are hashed by BLAKE2;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -50,6 +52,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same work of a task; at its end the worker, which lives on, gives freed memory back to the machine."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library can
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 class Hasher:
     """Hashes of any slices of one array of numbers, after a single pass over it."""
 

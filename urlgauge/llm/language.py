@@ -248,7 +248,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, cut: float |
             yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), scores, accepted], names=["doc_id", "lang_pred", "score", "accepted"])
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, accepted boolean")
+    return docs.mapInArrow(T.giving_back(run), f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, accepted boolean")
 
 
 def known_language(docs: DataFrame, model: LanguageModel | None, cut: float | None = None) -> DataFrame:
@@ -259,7 +259,7 @@ def known_language(docs: DataFrame, model: LanguageModel | None, cut: float | No
         for batch in batches:
             yield batch.filter(pa.array(_predicted(sent.value, batch.column("text"), cut)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(T.giving_back(run), docs.schema)
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:

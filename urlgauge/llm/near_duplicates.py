@@ -81,7 +81,7 @@ def _sketched(size: int, bands: int, values: int):
                 nested = pa.ListArray.from_arrays(np.arange(0, (b - a) * bands + 1, bands, dtype=np.int32), pa.array(band.reshape(-1).view(np.int64)))
                 yield pa.record_batch([batch.column(0).slice(a, b - a), n, T.Hasher(sets)(at[:-1], at[1:]).view(np.int64), nested], names=["doc_id", "n", "set_key", "bands"])
 
-    return run
+    return T.giving_back(run)
 
 
 def _confirmed(size: int, percent: int):
@@ -105,7 +105,7 @@ def _confirmed(size: int, percent: int):
                     keep[row] = 100 * shared >= percent * (len(x) + len(y) - shared)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return run
+    return T.giving_back(run)
 
 
 def _rarest_first(size: int, percent: int, common: dict[int, int]):
@@ -133,7 +133,7 @@ def _rarest_first(size: int, percent: int, common: dict[int, int]):
                 keep = nth < (n - (percent * n + 99) // 100 + 1)[of]
                 yield pa.record_batch([values[order][keep], row[a + of[keep]], ids[a + of[keep]], n[of[keep]], nth[keep]], names=["key", "row", "id", "size", "pos"])
 
-    return run
+    return T.giving_back(run)
 
 
 def _all_shingles(size: int):
@@ -147,7 +147,7 @@ def _all_shingles(size: int):
                 values, at = shingle_sets(T.words(data, bounds[a : b + 1]), size)
                 yield pa.record_batch([values.view(np.int64), np.repeat(row[a:b], np.diff(at))], names=["key", "row"])
 
-    return run
+    return T.giving_back(run)
 
 
 def _maps(size: int):
@@ -163,7 +163,7 @@ def _maps(size: int):
                 words = np.packbits(flags, axis=1).view(np.int64)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), *(np.ascontiguousarray(w) for w in words.T)], names=["row", *BITS])
 
-    return run
+    return T.giving_back(run)
 
 
 def _by_rare_shingles(texts: DataFrame, size: int, percent: int) -> DataFrame:

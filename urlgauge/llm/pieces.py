@@ -223,7 +223,7 @@ def encode_pieces(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
         compiled(model).forget()  # workers live on, with other steps to run
 
     more = [K.StructField("ids", K.ArrayType(K.IntegerType())), K.StructField("round_trip", K.BooleanType())]
-    return docs.mapInArrow(run, K.StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(T.giving_back(run), K.StructType([*docs.schema.fields, *more]))
 
 
 def _encoded(model: Transducer, texts: list) -> tuple[pa.Array, list[bool]]:
@@ -242,7 +242,7 @@ def decode_pieces(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
             texts = [None if i is None else compiled(model).decode(i) for i in batch.column("ids").to_pylist()]
             yield pa.record_batch([*(batch.column(f.name) for f in rest), pa.array(texts, pa.string())], names=[*(f.name for f in rest), "text"])
 
-    return encoded.mapInArrow(run, K.StructType([*rest, K.StructField("text", K.StringType())]))
+    return encoded.mapInArrow(T.giving_back(run), K.StructType([*rest, K.StructField("text", K.StringType())]))
 
 
 def digest(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
@@ -258,7 +258,7 @@ def digest(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
                 yield pa.record_batch([part.column("doc_id"), np.diff(at), pa.array(sums, pa.string()), pa.array(back)], names=["doc_id", "n_ids", "ids_sha256", "round_trip"])
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_ids bigint, ids_sha256 string, round_trip boolean")
+    return docs.mapInArrow(T.giving_back(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_ids bigint, ids_sha256 string, round_trip boolean")
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
