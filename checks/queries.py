@@ -20,7 +20,7 @@ from urlgauge.functions.text import binary_label, char_ngrams
 from urlgauge.functions.url import ensure_http, exploration_domain, query_param_count, with_url_parts
 from urlgauge.models.batch import score_batches, with_batch_scores
 from urlgauge.models.forest import DeepForest
-from urlgauge.models.hybrid import attack_hybrid, fit_hybrid, fit_on_scores
+from urlgauge.models.hybrid import TRAIN_ROWS, attack_hybrid, fit_hybrid, fit_on_scores
 from urlgauge.models.tabular import (
     INPUT,
     boosted_small_trees,
@@ -615,10 +615,10 @@ def metrics_json_files(spark, sf_dir):
 
 
 def _feature_split(spark, sf_dir):
-    """Features of all URLs, labelled by whether they have a query."""
+    """Features of all URLs, labelled by whether they have a query; at most TRAIN_ROWS train, in one file."""
     features = url_features(urls(spark, sf_dir)).withColumn("label", (F.col("num_qmark") > 0).cast("int"))
     train, test = stratified_split(materialize(features))
-    return materialize(train), test
+    return materialize(exact_sample(materialize(train), TRAIN_ROWS).coalesce(1)), test
 
 
 def _noisy_links(spark, sf_dir):
