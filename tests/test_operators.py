@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urlgauge.contracts import require_columns, require_same_features
+from urlgauge.functions.text import gram_source
 from urlgauge.operators import explore, metrics, ngrams, robustness, split
 from urlgauge.operators.clean import audit_labelled, labelled_urls, stored_labelled
 from urlgauge.operators.dedup import keep_first, packed
@@ -385,6 +386,17 @@ def test_gram_counts_move_no_rows(spark):
     assert {(r.id, r.gram): r.tf for r in counts.collect()} == want
 
 
+def test_gram_counts_take_each_text_once(spark):
+    odd = ["aB\t\n c", "\x00\x00a", "İß é中😀\U0010ffff" * 40, "x" * (3 << 20), *("ab " * (i % 5) for i in range(3000))]
+    df = spark.createDataFrame(list(enumerate(odd)), "id int, text string")
+    counts = ngrams.gram_counts(df, "id", "text", 1, 4)
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1  # 8 before
+    assert dict(counts.dtypes) == {"id": "int", "gram": "string", "tf": "bigint"}
+    source = {r.id: r.s for r in df.select("id", gram_source(F.col("text")).alias("s")).collect()}
+    want = {(i, g): n for i, s in source.items() for g, n in Counter(s[a : a + k] for k in range(1, 5) for a in range(len(s) - k + 1)).items()}
+    assert {(r.id, r.gram): r.tf for r in counts.collect()} == want
+
+
 def test_sample_by_one_scan_is_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(f"u{i % 900}", i) for i in range(3000)] + [("hot", i) for i in range(1500)] + [("hot", 1)] * 50, "url string, n int")
     for size in (0, 1, 37, 700, 2000):
