@@ -70,3 +70,25 @@ def test_tables(spark, library, sf):
     want = {d: (len(ids := library.encode(t)), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), True) for d, t in docs}
     got = {r.doc_id: tuple(r)[1:] for r in op8_query(spark, f"/root/testdata/{sf}").collect()}
     assert got == want
+
+
+def test_pairs_are_worked_out_once_for_all_tasks_of_a_worker(library, monkeypatch):
+    own, asked = Transducer(DEFAULT_MODEL), []
+    follow = Transducer.follow
+    monkeypatch.setattr(Transducer, "follow", lambda self, *pair: asked.append(pair) or follow(self, *pair))
+    text = "Thhendsh undschpfber tihash. ofaninenan cióníqueos Êêelle 中😀ß\x00 " * 2
+    assert own.encode(text) == library.encode(text) and asked
+    own.forget()  # as at the end of a task
+    first = len(asked)
+    assert own.encode(text) == library.encode(text) and len(asked) == first  # each anew before
+    assert not own.known.older and len(own.known) == len(set(own.parts.findall(own.normalise(text))))
+
+
+def test_parts_that_leave_the_store_are_found_again(library, monkeypatch):
+    monkeypatch.setattr("urlgauge.llm.pieces.KEPT_PARTS", 3)
+    monkeypatch.setattr("urlgauge.llm.pieces.KEPT_PAIRS", 5)
+    own, rng = Transducer(DEFAULT_MODEL), random.Random(3)
+    for _ in range(50):
+        text = " ".join(rng.choice(["one", "twofold", "thräe", "中文", "hash###", "x" * 70, "ofaninenan"]) for _ in range(20))
+        assert own.encode(text) == library.encode(text)
+        assert len(own.known) <= 3 and len(own.known.older) <= 3 and len(own.pairs) <= 5

@@ -33,6 +33,9 @@ BLANK = "▁"
 #: kept too, so frequent ones stay.
 KEPT_PARTS = 250_000
 KEPT_PAIRS = 300_000
+#: A pair of pieces is one number: the left one, or START, and then so many bits of the right one.
+PIECE_BITS = 32
+START = (1 << PIECE_BITS) - 1
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 # Kinds of pieces and of models in the public file format.
@@ -68,21 +71,27 @@ class Transducer:
             else:
                 surface = b""
             self.surface.append(surface)
-        # of each beginning of a piece: 1 if it is a piece, 2 if longer ones begin with it, 3 if both
-        self.trie = {p[:k]: 2 for p in self.ids for k in range(1, len(p))}
-        for p in self.ids:
-            self.trie[p] = self.trie.get(p, 0) | 1
+        # from each beginning of a piece, by the next character: the piece's id or -1, and where longer ones go on
+        self.trie: dict[str, list] = {}
+        for p, i in self.ids.items():
+            on = self.trie
+            for c in p[:-1]:
+                on = on.setdefault(c, [-1, {}])[1]
+            on.setdefault(p[-1], [-1, {}])[0] = i
+        self.longest = max(map(len, self.ids), default=1)
+        self.none = len(self.surface)  # a character that no piece has counts as piece `none` + its code point
+        self.lengths = [len(piece.piece) for piece in model.pieces]
+        self.pieces = [piece.piece for piece in model.pieces]
         self.worst = min(self.scores.values(), default=0.0) - 10
         across = any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.parts = re.compile("(?s).+" if across else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
         self.fallback = len(self.bytes) == 256
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.known = Paths(self)
+        self.pairs: dict[int, bool] = {}
 
     def forget(self) -> None:
-        """Give back the memory of what is kept."""
-        self.known, self.older, self.pairs = {}, {}, {}
+        """Give back the memory of the parts that are kept; what pairs of pieces give is small and stays."""
+        self.known = Paths(self)
 
     def normalise(self, text: str) -> str:
         text = self.rules(text) if self.rules else text
@@ -91,18 +100,7 @@ class Transducer:
         return self.prefix + text.replace(" ", BLANK) if text else ""
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for part in self.parts.findall(self.normalise(text)):
-            ids = known.get(part)
-            if ids is None:
-                ids = self.older.get(part) or self.path(part)
-                if len(part) <= 64:
-                    if len(known) >= KEPT_PARTS:
-                        self.older, self.known = known, {}
-                        known = self.known
-                    known[part] = ids
-            out.append(ids)
-        found = list(chain.from_iterable(out))
+        found = list(chain.from_iterable(map(self.known.__getitem__, self.parts.findall(self.normalise(text)))))
         if not self.fallback:  # neighbouring unknown characters are one
             found = [x for x, before in zip(found, [-1, *found], strict=False) if x != self.unknown or before != self.unknown]
         return found
@@ -114,56 +112,63 @@ class Transducer:
 
     def path(self, part: str) -> tuple[int, ...]:
         """Ids along the path of least weight."""
-        found = self.merge_path(part) if self.bpe else self.least_path(part)
-        ids = self.ids
-        try:
-            return tuple([ids[p] for p in found])
-        except KeyError:  # characters without a piece
-            return tuple(chain.from_iterable(self.arc_ids(p) for p in found))
+        found, none = self.merge_path(part) if self.bpe else self.least_path(part), self.none
+        if max(found) < none:
+            return tuple(found)
+        return tuple(chain.from_iterable((p,) if p < none else self.character_ids(chr(p - none)) for p in found))
 
     def arcs(self, part: str, start: int) -> list[int]:
-        """Ends of the arcs that read from `start`, rising; a character that no piece has is an arc, too."""
-        trie, end, out = self.trie, start + 1, []
-        kind = trie.get(part[start:end], 0)
-        if not kind & 1:
-            out.append(end)
-        while kind:
-            if kind & 1:
-                out.append(end)
-            if kind == 1:
+        """The pieces that can be read from `start`, shortest first; a character that no piece has is one, too."""
+        on, out = self.trie, []
+        for c in part[start : start + self.longest]:
+            node = on.get(c)
+            if node is None:
                 break
-            end += 1
-            kind = trie.get(part[start:end], 0) if end <= len(part) else 0
-        return out
+            piece, on = node
+            if piece >= 0:
+                out.append(piece)
+        return out if out and self.lengths[out[0]] == 1 else [self.none + ord(part[start]), *out]
 
-    def least_path(self, part: str) -> list[str]:
-        n, scores = len(part), self.scores
+    def least_path(self, part: str) -> list[int]:
+        n, scores, pieces, none = len(part), self.scores, self.pieces, self.none
         weight = [0.0] + [np.inf] * n
-        last = [""] * (n + 1)
+        last = [-1] * (n + 1)
         for start in range(n):
-            for end in self.arcs(part, start):
-                piece = part[start:end]
-                total = weight[start] - scores.get(piece, self.worst)
+            for piece in self.arcs(part, start):
+                end, score = (start + self.lengths[piece], scores[pieces[piece]]) if piece < none else (start + 1, self.worst)
+                total = weight[start] - score
                 if total < weight[end]:
                     weight[end], last[end] = total, piece
         found, at = [], n
         while at:
             found.append(last[at])
-            at -= len(last[at])
+            at -= self.lengths[last[at]] if last[at] < none else 1
         return found[::-1]
 
-    def merge_path(self, part: str) -> list[str]:
+    def merge_path(self, part: str) -> list[int]:
         """The only complete path, all of whose arcs weigh 0: longest arcs first, and back from dead ends.
 
         One path leads to each place, so a place that cannot be left is never tried again.
         """
-        pairs, found, dead, at, before, n = self.pairs, [], set(), 0, "", len(part)
+        pairs, trie, longest, lengths, none = self.pairs, self.trie, self.longest, self.lengths, self.none
+        found, dead, at, before, n = [], set(), 0, START, len(part)
         while at < n:
-            for end in reversed(self.arcs(part, at)):
+            on, pieces = trie, []  # as in `arcs`, without a call
+            for c in part[at : at + longest]:
+                node = on.get(c)
+                if node is None:
+                    break
+                piece, on = node
+                if piece >= 0:
+                    pieces.append(piece)
+            if not pieces or lengths[pieces[0]] > 1:
+                pieces.insert(0, none + ord(part[at]))
+            while pieces:
+                piece = pieces.pop()
+                end = at + lengths[piece] if piece < none else at + 1
                 if end in dead:
                     continue
-                piece = part[at:end]
-                fits = pairs.get((before, piece))
+                fits = pairs.get(before << PIECE_BITS | piece)
                 if fits is None:
                     fits = self.follow(before, piece)
                 if fits:
@@ -172,20 +177,26 @@ class Transducer:
                     break
             else:
                 dead.add(at)
-                at -= len(found.pop())
-                before = found[-1] if found else ""
+                last = found.pop()
+                at -= lengths[last] if last < none else 1
+                before = found[-1] if found else START
         return found
 
-    def arc_ids(self, piece: str) -> tuple[int, ...]:
-        if piece in self.ids:
-            return (self.ids[piece],)
-        return tuple(self.bytes[b] for b in piece.encode()) if self.fallback else (self.unknown,)
+    def character_ids(self, character: str) -> tuple[int, ...]:
+        """Ids of a character that no piece has."""
+        return tuple(self.bytes[b] for b in character.encode()) if self.fallback else (self.unknown,)
+
+    def characters(self, piece: int) -> str:
+        if piece == START:
+            return ""
+        return self.pieces[piece] if piece < self.none else chr(piece - self.none)
 
-    def follow(self, left: str, right: str) -> bool:
-        """Whether an arc reads `right` after `left` ("" at the start): merging must not reach across."""
+    def follow(self, left: int, right: int) -> bool:
+        """Whether an arc reads `right` after `left` (START at first): merging must not reach across."""
         if len(self.pairs) >= KEPT_PAIRS:
             self.pairs.clear()
-        symbols = list(left + right)
+        first, second = self.characters(left), self.characters(right)
+        symbols = list(first + second)
         while len(symbols) > 1:
             best, at = None, -1
             for i in range(len(symbols) - 1):
@@ -195,10 +206,26 @@ class Transducer:
             if at < 0:
                 break
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        self.pairs[left, right] = fits = symbols == ([left, right] if left else [right])
+        self.pairs[left << PIECE_BITS | right] = fits = symbols == ([first, second] if first else [second])
         return fits
 
 
+class Paths(dict):
+    """The ids of parts of texts, found when first asked for; of those kept before the last KEPT_PARTS the store is kept, too."""
+
+    def __init__(self, model: Transducer):
+        self.model, self.older = model, {}
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        ids = self.older.get(part) or self.model.path(part)
+        if len(part) <= 64:
+            if len(self) >= KEPT_PARTS:
+                self.older = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 @lru_cache(maxsize=2)
 def compiled(path: str) -> Transducer:
     """The transducer of a model file, made once in each worker."""
