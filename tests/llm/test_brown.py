@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from urlgauge.llm import brown
@@ -122,3 +123,45 @@ def test_words_that_plain_polynomials_confuse(spark):
     docs = spark.createDataFrame([(i, f"{one} x") for i in range(20)], "doc_id bigint, text string")
     score = {r.doc_id: r for r in score_brown(spark.createDataFrame([(1, one), (2, other)], docs.schema), fit_brown(docs)).collect()}
     assert (score[1].n_known, score[2].n_known) == (2, 1)
+
+
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_tasks_combine_what_they_find():
+    """A key comes once from a task with several batches; each batch gave it anew before."""
+    rng, words = np.random.default_rng(5), [f"w{i}" for i in range(60)]
+    batches = [pa.record_batch([pa.array([" ".join(rng.choice(words, 30)) for _ in range(20)] + [None, ""])], names=["text"]) for _ in range(4)]
+    hashes = np.unique(brown.T.words(*brown.T.flat(pa.array([" ".join(words)]))).hashes)
+    units, of = hashes[::3], np.append(np.arange(20 + brown.GROUPS) % 5, 5)
+    for run, keys in ((brown._pair_counts(Sent(units)), ["pair"]), (brown._neighbours(Sent((units, of))), ["word", "side"])):
+        together = pa.Table.from_batches(run(batches)).to_pandas()
+        apart = pa.concat_tables(pa.Table.from_batches(run([b])) for b in batches).to_pandas()
+        assert not together.duplicated(keys).any() and len(together) < len(apart)
+        assert together.groupby(keys).n.sum().equals(apart.groupby(keys).n.sum())
+    # what _neighbours gives, sorted by word and cut anywhere, meets again word by word
+    gain, found = rng.normal(size=(12, 5)), together.sort_values("word", kind="stable")
+    want = np.zeros((len(hashes), 12))
+    words, at = np.unique(found.word, return_inverse=True)
+    np.add.at(want, (at, found.side), found.n)
+    for step in (1, 7, 10**6):
+        cut = [pa.RecordBatch.from_pandas(found.iloc[i : i + step], preserve_index=False) for i in range(0, len(found), step)]
+        got = pa.Table.from_batches(brown._placed(Sent(gain))([*cut, cut[0].slice(0, 0)])).to_pandas()
+        assert got.word.tolist() == words.tolist() and got.n.tolist() == want[: len(words), :6].sum(axis=1).tolist()
+        assert got.cls.tolist() == (want[: len(words)] @ gain).argmax(axis=1).tolist()
+
+
+def test_hashes_are_found_where_they_are():
+    rng = np.random.default_rng(6)
+    for size in (0, 1, 2, 1000):
+        hashes = np.unique(np.concatenate([rng.integers(0, 2**64, size, np.uint64), rng.integers(0, 50, size, np.uint64)]))
+        for held in (hashes, np.append(hashes, np.uint64(2**64 - 1))):
+            asked = np.concatenate([held, rng.integers(0, 2**64, 500, np.uint64), np.arange(60, dtype=np.uint64), [np.uint64(2**64 - 1)]])
+            at, there = brown.T.Places(held)(asked)
+            assert there.tolist() == np.isin(asked, held).tolist() and (held[at[there]] == asked[there]).all()
+    data = rng.integers(0, 256, 400).astype(np.uint8)
+    ends = rng.integers(0, 401, 300)
+    starts = np.maximum(ends - rng.integers(0, 4, 300), 0)
+    assert (brown.T.short_hashes(data, starts, ends, 3) == brown.T.Hasher(data)(starts, ends)).all()

@@ -88,6 +88,37 @@ class Hasher:
         return mix(raw + np.uint64(n * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
 
 
+def short_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
+    """What a Hasher gives for slices of at most `most` values, without its pass over all values."""
+    sizes, raw = ends - starts, np.zeros(len(starts), np.uint64)
+    for i in range(most):
+        held = sizes > i
+        raw[held] += (values[starts[held] + i].astype(np.uint64) + np.uint64(1)) * powers(_BASE, most)[i]
+    return mix(raw + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+class Places:
+    """Finds hashes in a sorted array of distinct ones: by their first bits, and a few steps on from there."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = len(hashes).bit_length() + 1
+        self.size, self.shift = len(hashes), np.uint64(64 - bits)
+        self.hashes = np.append(hashes, np.uint64(2**64 - 1))
+        self.first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __call__(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each, and whether it is there."""
+        at = self.first[asked >> self.shift].astype(np.int64)
+        behind = np.flatnonzero(self.hashes[at] < asked)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.hashes[at[behind]] < asked[behind]]
+        return at, (self.hashes[at] == asked) & (at < self.size)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the bounds of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

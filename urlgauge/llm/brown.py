@@ -39,11 +39,14 @@ MIXED = 0.98
 SMOOTHING = 20.0
 
 
-def _groups(w: T.Words) -> np.ndarray:
-    """The group of each word, by its last three bytes."""
-    if not len(w.starts):
-        return np.zeros(0, np.int64)
-    return (T.Hasher(w.data)(np.maximum(w.starts, w.ends - 3), w.ends) % np.uint64(GROUPS)).astype(np.int64)
+#: Tokens whose neighbours a task combines before it passes them on.
+SIDE_TOKENS = 1 << 20
+
+
+def _groups(w: T.Words, which: np.ndarray) -> np.ndarray:
+    """The group of each of these words (their places, or a flag for each), by its last three bytes."""
+    starts, ends = w.starts[which], w.ends[which]
+    return (T.short_hashes(w.data, np.maximum(starts, ends - 3), ends, 3) % np.uint64(GROUPS)).astype(np.int64)
 
 
 def _word_counts(batches):
@@ -52,15 +55,13 @@ def _word_counts(batches):
         for a, b in T.chunks(bounds):
             w = T.words(data, bounds[a : b + 1])
             words, first, n = np.unique(w.hashes, return_index=True, return_counts=True)
-            yield pa.record_batch([words.view(np.int64), _groups(w)[first].astype(np.int32), n], names=["word", "grp", "n"])
+            yield pa.record_batch([words.view(np.int64), _groups(w, first).astype(np.int32), n], names=["word", "grp", "n"])
 
 
-def _units(w: T.Words, words: np.ndarray) -> np.ndarray:
+def _units(w: T.Words, words: T.Places) -> np.ndarray:
     """Each word's unit: its own place among the sorted `words`, or after them its group."""
-    units = len(words) + _groups(w)
-    if len(words):
-        at = np.minimum(np.searchsorted(words, w.hashes), len(words) - 1)
-        units = np.where(words[at] == w.hashes, at, units)
+    units, known = words(w.hashes)
+    units[~known] = len(words) + _groups(w, ~known)
     return units
 
 
@@ -75,16 +76,20 @@ def _pairs_before(values: np.ndarray, firsts: np.ndarray, end: int) -> tuple[np.
 
 
 def _pair_counts(sent):
+    """How often each unit follows each, over all texts of a task."""
+
     def run(batches):
-        words = sent.value
+        words = T.Places(sent.value)
         end = len(words) + GROUPS
+        counts = np.zeros((end + 1) ** 2, np.int64)
         for batch in batches:
             data, bounds = T.flat(batch.column(0))
             for a, b in T.chunks(bounds):
                 w = T.words(data, bounds[a : b + 1])
                 before, after = _pairs_before(_units(w, words), w.firsts, end)
-                pair, n = np.unique(before * (end + 1) + after, return_counts=True)
-                yield pa.record_batch([pair, n], names=["pair", "n"])
+                np.add.at(counts, before * (end + 1) + after, 1)
+        pair = np.flatnonzero(counts)
+        yield pa.record_batch([pair, counts[pair]], names=["pair", "n"])
 
     return run
 
@@ -145,8 +150,9 @@ def _neighbours(sent):
     """(word, neighbouring class, n) of each word that is no unit; classes on the right come after those on the left."""
 
     def run(batches):
-        units, of = sent.value
-        end = int(of[-1])
+        words, of = sent.value
+        units, end = T.Places(words), int(of[-1])
+        kept, tokens = [], 0
         for batch in batches:
             data, bounds = T.flat(batch.column(0))
             for a, b in T.chunks(bounds):
@@ -155,15 +161,29 @@ def _neighbours(sent):
                 before, after = _pairs_before(of[unit], w.firsts, end)
                 place = np.flatnonzero(unit >= len(units))
                 slots = place + w.rows[place]
-                words, at = np.unique(w.hashes[place], return_inverse=True)
-                sides = 2 * (end + 1)
-                code = np.concatenate([at * sides + before[slots], at * sides + end + 1 + after[slots + 1]])
-                code, n = np.unique(code, return_counts=True)
-                yield pa.record_batch([words[code // sides].view(np.int64), (code % sides).astype(np.int32), n], names=["word", "side", "n"])
+                kept.append((w.hashes[place], before[slots].astype(np.int32), after[slots + 1].astype(np.int32)))
+                tokens += len(place)
+                if tokens >= SIDE_TOKENS:
+                    yield _sides(kept, end)
+                    kept, tokens = [], 0
+        if kept:
+            yield _sides(kept, end)
 
     return run
 
 
+def _sides(kept: list[tuple[np.ndarray, ...]], end: int) -> pa.RecordBatch:
+    hashes, left, right = (np.concatenate(x) for x in zip(*kept, strict=True))
+    words, at = np.unique(hashes, return_inverse=True)
+    sides = 2 * (end + 1)
+    code = np.concatenate([at * sides + left, at * sides + end + 1 + right])
+    code.sort()
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])[: len(code)])
+    n = np.diff(np.append(first, len(code)))
+    code = code[first]
+    return pa.record_batch([words[code // sides].view(np.int64), (code % sides).astype(np.int32), n], names=["word", "side", "n"])
+
+
 def fitting(follow: np.ndarray) -> np.ndarray:
     """What one neighbour adds to the log likelihood of each class: rows are left classes, then right ones.
 
@@ -178,17 +198,30 @@ def fitting(follow: np.ndarray) -> np.ndarray:
 
 
 def _placed(sent):
-    """Each word's count and best class, from its neighbours' classes."""
+    """Each word's count and best class, from its neighbours' classes; rows come sorted by word."""
 
-    def run(batches):
+    def best(words, counts):
         gain = sent.value
+        return pa.record_batch([words, counts[:, : len(gain) // 2].sum(axis=1).astype(np.int64), (counts @ gain).argmax(axis=1).astype(np.int32)], names=["word", "n", "cls"])
+
+    def run(batches):
+        sides = len(sent.value)
+        last, last_counts = np.zeros(0, np.int64), np.zeros((0, sides))  # the next batch may go on with this word
         for batch in batches:
-            lists = batch.column(1)
-            sides, n = (np.asarray(x) for x in lists.flatten().flatten())
-            of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
-            counts = np.zeros((batch.num_rows, len(gain)))
-            np.add.at(counts, (of, sides), n)
-            yield pa.record_batch([batch.column(0), counts[:, : len(gain) // 2].sum(axis=1).astype(np.int64), (counts @ gain).argmax(axis=1).astype(np.int32)], names=["word", "n", "cls"])
+            if not batch.num_rows:
+                continue
+            word, side, n = (np.asarray(x) for x in batch.columns)
+            new = np.ones(len(word), bool)
+            new[1:] = word[1:] != word[:-1]
+            words = word[new]
+            counts = np.bincount((np.cumsum(new) - 1) * sides + side, n, len(words) * sides).reshape(-1, sides)
+            if len(last) and last[0] == words[0]:
+                counts[0] += last_counts[0]
+            else:
+                words, counts = np.concatenate([last, words]), np.concatenate([last_counts, counts])
+            yield best(words[:-1], counts[:-1])
+            last, last_counts = words[-1:], counts[-1:]
+        yield best(last, last_counts)
 
     return run
 
@@ -256,8 +289,8 @@ def fit_brown(docs: DataFrame, classes: int = CLASSES, unit_words: int = UNIT_WO
     member[np.arange(units), of] = 1
     known = spark.sparkContext.broadcast((word[own], of))
     gain = spark.sparkContext.broadcast(fitting(member.T @ table @ member))
-    sides = texts.mapInArrow(_neighbours(known), "word bigint, side int, n bigint").groupBy("word", "side").agg(F.sum("n").alias("n"))
-    sides = sides.groupBy("word").agg(F.collect_list(F.struct("side", "n")).alias("sides"))  # at most twice the classes each
+    # tasks have combined what they found, so a word has few rows of each side; they are added up as they come
+    sides = texts.mapInArrow(_neighbours(known), "word bigint, side int, n bigint").repartition("word").sortWithinPartitions("word")
     placed = materialize(sides.mapInArrow(_placed(gain), "word bigint, n bigint, cls int"))
     held_classes = np.zeros(len(word), np.int64)
     more = placed.where(F.col("n") >= least).select("word", "cls").toArrow()
@@ -281,8 +314,9 @@ def _scored(sent):
     """Each text's tokens, seen ones, and sums of both scores, as far as held words and the end give them."""
 
     def run(batches):
+        held = T.Places(sent.value[2])
         for batch in batches:
-            yield from _in_parts(batch, sent.value)
+            yield from _in_parts(batch, sent.value, held)
 
     return run
 
@@ -296,28 +330,34 @@ def _rare(sent, held_pairs: bool = False):
     """A row (RARE) for each word that is not held; if asked, also one for each pair of held ones, with its count."""
 
     def run(batches):
+        held, size = T.Places(sent.value[2]), sent.value[7] + 1
+        pairs = np.zeros(size * size, np.int64)
         for batch in batches:
-            yield from _rare_parts(batch, sent.value, held_pairs)
+            yield from _rare_parts(batch, sent.value, held, pairs if held_pairs else None)
+        pair = np.flatnonzero(pairs)
+        first, second, none = (pair // size).astype(np.int32), (pair % size).astype(np.int32), np.zeros(len(pair), np.int64)
+        columns = [none, pair, first, none.astype(bool), pair, first, second, none, pairs[pair]]
+        yield pa.record_batch([pa.array(c) for c in columns], names=[c.split()[0] for c in RARE.split(", ")])
 
     return run
 
 
-def _classed(w: T.Words, tables):
+def _classed(w: T.Words, tables, held: T.Places):
     """Of each word: its place in the held ones, whether it is there, and its class, the group's if it is not held."""
-    _, _, held, _, held_classes, group_classes, *_ = tables
-    at = np.minimum(np.searchsorted(held, w.hashes), max(len(held) - 1, 0))
-    known = held[at] == w.hashes if len(held) else np.zeros(len(w.hashes), bool)
-    kinds = group_classes[_groups(w)]
+    _, _, _, _, held_classes, group_classes, *_ = tables
+    at, known = held(w.hashes)
+    kinds = np.zeros(len(at), np.int64)
     kinds[known] = held_classes[at[known]]
+    kinds[~known] = group_classes[_groups(w, ~known)]
     return at, known, kinds
 
 
-def _rare_parts(batch, tables, held_pairs: bool):
+def _rare_parts(batch, tables, held: T.Places, pairs: np.ndarray | None):
     counts, end_count, end = tables[3], tables[6], tables[7]
     data, bounds = T.flat(batch.column(2))
     for a, b in T.chunks(bounds):
         w = T.words(data, bounds[a : b + 1])
-        at, known, kinds = _classed(w, tables)
+        at, known, kinds = _classed(w, tables, held)
         before, after = _pairs_before(kinds, w.firsts, end)
         # the ends count as held
         before_held, after_held = _pairs_before(known, w.firsts, 1)
@@ -333,12 +373,9 @@ def _rare_parts(batch, tables, held_pairs: bool):
             before[own].astype(np.int32), np.where(after_held[own + 1] == 1, after[own + 1], -1).astype(np.int32), n[own + 1], np.zeros(len(place), np.int64),
         ]
         yield pa.record_batch([pa.array(c) for c in columns], names=[c.split()[0] for c in RARE.split(", ")])
-        if held_pairs:
+        if pairs is not None:
             both = (before_held == 1) & (after_held == 1)
-            pair, times = np.unique(before[both] * (end + 1) + after[both], return_counts=True)
-            first, second, none = (pair // (end + 1)).astype(np.int32), (pair % (end + 1)).astype(np.int32), np.zeros(len(pair), np.int64)
-            columns = [none, pair, first, none.astype(bool), pair, first, second, none, times]
-            yield pa.record_batch([pa.array(c) for c in columns], names=[c.split()[0] for c in RARE.split(", ")])
+            pairs += np.bincount(before[both] * (end + 1) + after[both], minlength=len(pairs))
 
 
 def _with_classes(rare: DataFrame, rest: DataFrame) -> DataFrame:
@@ -365,12 +402,12 @@ def _followers(texts: DataFrame, tables: tuple, rest: DataFrame) -> np.ndarray:
     return follow.reshape(size, size)
 
 
-def _in_parts(batch, tables):
+def _in_parts(batch, tables, held: T.Places):
     total, (seen, _, discount), _, counts, _, _, end_count, end = tables
     data, bounds = T.flat(batch.column(2))
     for a, b in T.chunks(bounds):
         w = T.words(data, bounds[a : b + 1])
-        at, known, kinds = _classed(w, tables)
+        at, known, kinds = _classed(w, tables, held)
         before, after = _pairs_before(kinds, w.firsts, end)
         before_held, own = _pairs_before(known, w.firsts, 1)
         slots = np.arange(len(kinds)) + w.rows
