@@ -72,15 +72,17 @@ def test_tables(spark, library, sf):
     assert got == want
 
 
-def test_pairs_are_worked_out_once_for_all_tasks_of_a_worker(library, monkeypatch):
+def test_pairs_are_worked_out_once_for_all_tasks_of_a_worker(library):
     own, asked = Transducer(DEFAULT_MODEL), []
-    follow = Transducer.follow
-    monkeypatch.setattr(Transducer, "follow", lambda self, *pair: asked.append(pair) or follow(self, *pair))
+    scores = type("Scores", (dict,), {"get": lambda self, piece: asked.append(piece) or dict.get(self, piece)})
+    own.scores = scores(own.scores)
     text = "Thhendsh undschpfber tihash. ofaninenan cióníqueos Êêelle 中😀ß\x00 " * 2
     assert own.encode(text) == library.encode(text) and asked
+    kept = dict(own.pairs)
     own.forget()  # as at the end of a task
+    assert not own.pairs and not own.known and own.packed.nbytes == 8 * len(kept)
     first = len(asked)
-    assert own.encode(text) == library.encode(text) and len(asked) == first  # each anew before
+    assert own.encode(text) == library.encode(text) and len(asked) == first and own.pairs == kept  # each anew before
     assert not own.known.older and len(own.known) == len(set(own.parts.findall(own.normalise(text))))
 
 

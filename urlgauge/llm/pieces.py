@@ -34,7 +34,7 @@ BLANK = "▁"
 KEPT_PARTS = 250_000
 KEPT_PAIRS = 300_000
 #: A pair of pieces is one number: the left one, or START, and then so many bits of the right one.
-PIECE_BITS = 32
+PIECE_BITS = 24
 START = (1 << PIECE_BITS) - 1
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -88,10 +88,14 @@ class Transducer:
         self.fallback = len(self.bytes) == 256
         self.known = Paths(self)
         self.pairs: dict[int, bool] = {}
+        self.packed: np.ndarray | None = None  # pairs of the tasks before, each with its answer as the last bit
 
     def forget(self) -> None:
-        """Give back the memory of the parts that are kept; what pairs of pieces give is small and stays."""
+        """Give back the memory of what is kept; the answers for pairs of pieces stay, as 8 bytes each."""
         self.known = Paths(self)
+        if self.pairs:
+            self.packed = np.fromiter((pair << 1 | fits for pair, fits in self.pairs.items()), np.int64, len(self.pairs))
+            self.pairs = {}
 
     def normalise(self, text: str) -> str:
         text = self.rules(text) if self.rules else text
@@ -193,6 +197,12 @@ class Transducer:
 
     def follow(self, left: int, right: int) -> bool:
         """Whether an arc reads `right` after `left` (START at first): merging must not reach across."""
+        pair = left << PIECE_BITS | right
+        if self.packed is not None:
+            packed, self.packed = self.packed, None
+            self.pairs.update(zip((packed >> 1).tolist(), (packed & 1).astype(bool).tolist(), strict=True))
+            if pair in self.pairs:
+                return self.pairs[pair]
         if len(self.pairs) >= KEPT_PAIRS:
             self.pairs.clear()
         first, second = self.characters(left), self.characters(right)
@@ -206,7 +216,7 @@ class Transducer:
             if at < 0:
                 break
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        self.pairs[left << PIECE_BITS | right] = fits = symbols == ([first, second] if first else [second])
+        self.pairs[pair] = fits = symbols == ([first, second] if first else [second])
         return fits
 
 
